@@ -24,6 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -33,6 +34,9 @@ from foliospark.llm.arrow import by_row, code_points, slices, words_of
 
 SAMPLE_DOCS, SAMPLE_TEXTS, BITS, LEAST_DOCS = 120, 12, 15, 3
 PASSAGE_CHARS = 130
+#: What text in a wrong encoding is full of; a page with more than one such character in DAMAGE_SHARE doesn't count.
+DAMAGED = regex.compile(r"[\x80-\x9f¢-©¬-¶¸¹¼-¾×÷ƒˆ˘˙˛˜˝ˇ†‡‰€™�∀-⋿─-▟]")
+DAMAGE_SHARE = 33
 # ISO 639-1 code, ISO 639-2/3 codes, English name.
 LANGUAGES = """ar ara Arabic|bg bul Bulgarian|bn ben Bengali|ca cat Catalan|cs ces,cze Czech|da dan Danish|de deu,ger German|el ell,gre Greek|en eng English|es spa Spanish|et est Estonian|eu eus,baq Basque|fa fas,per Persian|fi fin Finnish|fr fra,fre French|ga gle Irish|he heb Hebrew|hi hin Hindi|hr hrv Croatian|hu hun Hungarian|hy hye,arm Armenian|id ind Indonesian|is isl,ice Icelandic|it ita Italian|ja jpn Japanese|ka kat,geo Georgian|ko kor Korean|la lat Latin|lt lit Lithuanian|lv lav Latvian|nl nld,dut Dutch|no nor Norwegian|pl pol Polish|pt por Portuguese|ro ron,rum Romanian|ru rus Russian|sk slk,slo Slovak|sl slv Slovenian|sr srp Serbian|sv swe Swedish|ta tam Tamil|th tha Thai|tr tur Turkish|uk ukr Ukrainian|ur urd Urdu|vi vie Vietnamese|zh zho,chi,cmn Chinese"""
 
@@ -205,7 +209,8 @@ def train(texts: list[str], labels: list[str], docs: list[int], folds: int = 4)
 def texts_of(meta: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, block_id, passage, text): blocks of scanned documents and pages of native ones, block_id -1 for pages."""
     block = blocks.filter(F.length("text") > 0).select("doc_id", "block_id", (F.col("type").isin("text", "footnote") & (F.length("text") >= PASSAGE_CHARS)).alias("passage"), "text")
-    native = F.coalesce(F.when(F.length(F.trim("native_text")) > 0, F.col("native_text")), F.regexp_replace("native_html", r"(?s)<(head|script|style)\b.*?</\1\s*>|<[^>]*>", " "))
+    shown = F.regexp_replace("native_html", r"(?s)<(head|script|style)\b.*?</\1\s*>|<[^>]*>", " ")
+    native = F.explode(F.array("native_text", shown))
     page = pages.select("doc_id", F.lit(-1).cast("long").alias("block_id"), F.lit(False).alias("passage"), native.alias("text")).filter(F.length("text") > 0)
     return block.unionByName(page)
 
@@ -236,6 +241,10 @@ def classify(texts: DataFrame, model: Model) -> DataFrame:
             if pc.any(coded).as_py():
                 column = pa.array([html.unescape(t) if t and "&" in t else t for t in column.to_pylist()], pa.string())
             p, letters = model.scores(column)
+            for i in np.flatnonzero(np.asarray(batch.column("block_id").to_numpy(zero_copy_only=False)) == -1):
+                text = column[i].as_py() or ""
+                if not text.isascii() and len(DAMAGED.findall(text)) * DAMAGE_SHARE > len(text):
+                    letters[i] = 0  # decoded with a wrong encoding, so in no language
             best = p.argmax(axis=1)
             keep = np.flatnonzero(letters > 0)
             yield pa.RecordBatch.from_arrays(
