@@ -14,10 +14,13 @@ unchanged; a document recorded under two sources counts in both; repeated rows c
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_LETTERS, MIN_DOCS, MIN_SHARE = 16, 3, 0.10
+#: So many line hashes, of 8 bytes each, may be sent to every executor.
+MOST_SENT = 200_000
 
 
 def line_key(line: Column) -> Column:
@@ -30,19 +33,30 @@ def line_key(line: Column) -> Column:
 def site_lines(blocks: DataFrame) -> DataFrame:
     """(doc_id, block_id, line_no, variant, line): hashed lines long enough to count, line being the hash of the key."""
     lines = blocks.select("doc_id", "block_id", F.posexplode(F.split("text", "\n")).alias("line_no", "_raw")).filter(F.length("_raw") >= MIN_LETTERS)
-    keyed = lines.select("doc_id", "block_id", "line_no", F.xxhash64("_raw").alias("variant"), line_key(F.col("_raw")).alias("_key"))
+    keyed = lines.select("doc_id", "block_id", "line_no", F.hash("_raw").alias("variant"), line_key(F.col("_raw")).alias("_key"))
     letters = F.length(F.regexp_replace("_key", r"[^\p{L}]+", ""))
     return keyed.filter(letters >= MIN_LETTERS).select("doc_id", "block_id", "line_no", "variant", F.xxhash64("_key", F.length("_key")).alias("line"))
 
 
-def repeated_lines(blocks: DataFrame, meta: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, lines: DataFrame | None = None) -> DataFrame:
+def _shared(lines: DataFrame, min_docs: int) -> DataFrame:
+    """The rows of lines that stand in more than one document and on min_docs rows at least, whatever their source.
+
+    Rows of other lines can't qualify. Counting moves a hash and three numbers for each distinct line of a task; where few lines are
+    left, which is checked, they go to the executors, else both sides are joined on the hash.
+    """
+    often = lines.groupBy("line").agg(F.count("*").alias("_n"), F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).filter((F.col("_n") >= min_docs) & (F.col("_a") != F.col("_b"))).select("line").persist()
+    few = often.limit(MOST_SENT + 1).count() <= MOST_SENT
+    return lines.join(F.broadcast(often) if few else often, "line", "left_semi")
+
+
+def repeated_lines(blocks: DataFrame, meta: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, shared: DataFrame | None = None) -> DataFrame:
     """(source, line, container, documents, n_docs): the lines repeated too often, with their document bitmaps."""
-    lines = site_lines(blocks) if lines is None else lines
+    shared = _shared(site_lines(blocks), min_docs) if shared is None else shared
     sources = meta.filter(F.col("source").isNotNull()).select("doc_id", "source").distinct()
     having = blocks.select("doc_id").distinct().join(sources, "doc_id").groupBy("source").agg(F.count("*").alias("_docs"))
     need = F.greatest(F.lit(min_docs), F.ceil(F.col("_docs") * min_share - 1e-9)).cast("long")
     needed = having.select("source", need.alias("_need"))
-    of_source = lines.join(sources, "doc_id")
+    of_source = shared.join(sources, "doc_id")
     often = of_source.groupBy("source", "line").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_docs).join(needed, "source").filter("_n >= _need").select("source", "line", "_need")
     spelled = (
         of_source.join(often, ["source", "line"])
@@ -62,10 +76,10 @@ def _bit_is_set(bits: Column, position: Column) -> Column:
 
 def site_line_hits(blocks: DataFrame, meta: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
     """(block_id, line_no), distinct: the lines to delete, by bitmap lookup."""
-    lines = site_lines(blocks).persist()
-    found = repeated_lines(blocks, meta, min_docs, min_share, lines)
+    shared = _shared(site_lines(blocks).persist(StorageLevel.DISK_ONLY), min_docs).persist(StorageLevel.DISK_ONLY)
+    found = repeated_lines(blocks, meta, min_docs, min_share, shared)
     sources = meta.filter(F.col("source").isNotNull()).select("doc_id", "source").distinct()
-    here = lines.join(found.select("line").distinct(), "line", "left_semi").join(sources, "doc_id").withColumn("container", F.bitmap_bucket_number("doc_id"))
+    here = shared.join(sources, "doc_id").withColumn("container", F.bitmap_bucket_number("doc_id"))
     hit = here.join(found, ["source", "line", "container"]).filter(_bit_is_set(F.col("documents"), F.bitmap_bit_position("doc_id")))
     return hit.select("block_id", F.col("line_no").cast("int")).distinct()
 
