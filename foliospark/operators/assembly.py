@@ -18,34 +18,48 @@ OPEN_END = r"[\p{L}\p{N}\-\x{2010}\x{2011}\x{ad}\x{2013},;]$"
 PAGE = 100_000
 
 
-def elements(blocks: DataFrame, pages: DataFrame, furniture: bool = True, headings: bool = True) -> DataFrame:
-    """A page break for each page and its content in order: joined lines, words rejoined in running text, blanks left out.
+def page_breaks(pages: DataFrame) -> DataFrame:
+    """An element for each page's beginning."""
+    return pages.select("doc_id", (F.col("page_index").cast("long") * PAGE).alias("seq"), F.lit("page_break").alias("type"), F.lit("").alias("text"), *_empty(), "page_index").distinct()
+
+
+def _empty() -> list[Column]:
+    return [F.lit(0).alias("level"), F.lit(None).cast("string").alias("image_path"), F.lit(None).cast("string").alias("html")]
+
+
+def content(blocks: DataFrame, pages: DataFrame, furniture: bool = True, headings: bool = True) -> DataFrame:
+    """Pages' content in order: lines joined, words rejoined in running text, blanks left out.
 
-    Ties in block_order go by block_id. seq is page_index * PAGE + order; a document needs no pass over all its rows.
+    Ties in block_order go by block_id. seq is page_index * PAGE + the block's place, so a document needs no pass over all its rows. Places are
+    counted before anything is filtered: the window keeps Catalyst from pushing filters, with the whole labelling in them, below.
     """
     b = blocks
     if furniture:
         b = mark_furniture(b, pages).withColumn("type", F.coalesce("furniture", "type")).drop("furniture")
     if headings:
         b = promote_headings(b, pages)
-    text = X.normalise(F.coalesce("text", F.lit("")))
+    b = b.withColumn("_place", F.row_number().over(W.partitionBy("doc_id", "page_index").orderBy("block_order", "block_id")))
     kind = F.col("type")
+    b = b.filter(~F.coalesce(kind.isin(*FURNITURE), F.lit(False))).withColumn("_text", X.normalise(F.coalesce("text", F.lit(""))))
+    text = F.col("_text")
     body = F.when(kind.isin("table", "figure", "formula"), text).when(kind.isin("heading", "caption", "footnote"), X.join_lines(text)).otherwise(X.join_lines(X.dehyphenate(text)))
-    kept = b.filter(~F.coalesce(kind.isin(*FURNITURE), F.lit(False))).withColumn("_body", body)
-    kept = kept.filter(F.when(kind == "figure", F.col("image_path").isNotNull()).when(kind.isin("table", "formula"), F.lit(True)).otherwise(F.col("_body") != ""))
-    rank = F.row_number().over(W.partitionBy("doc_id", "page_index").orderBy("block_order", "block_id"))
-    content = kept.select(
+    # a body is blank just if its text is, so the filter is on the input
+    kept = b.filter(F.when(kind == "figure", F.col("image_path").isNotNull()).when(kind.isin("table", "formula"), F.lit(True)).otherwise(F.col("text").rlike(X.SHOWN)))
+    return kept.select(
         "doc_id",
-        (F.col("page_index").cast("long") * PAGE + rank).alias("seq"),
+        (F.col("page_index").cast("long") * PAGE + F.col("_place")).alias("seq"),
         F.when(kind.isin(*CONTENT), kind).otherwise("text").alias("type"),
-        F.col("_body").alias("text"),
+        body.alias("text"),
         F.when(kind == "heading", F.when(F.col("level") != 0, F.col("level")).otherwise(2)).otherwise(0).cast("int").alias("level"),
         F.when(kind == "figure", F.col("image_path")).alias("image_path"),
         F.when(kind.isin("table", "formula"), F.col("html")).alias("html"),
         "page_index",
     )
-    breaks = pages.select("doc_id", (F.col("page_index").cast("long") * PAGE).alias("seq"), F.lit("page_break").alias("type"), F.lit("").alias("text"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("image_path"), F.lit(None).cast("string").alias("html"), "page_index").distinct()
-    return breaks.unionByName(content)
+
+
+def elements(blocks: DataFrame, pages: DataFrame, furniture: bool = True, headings: bool = True) -> DataFrame:
+    """A page break for each page, and the content."""
+    return page_breaks(pages).unionByName(content(blocks, pages, furniture, headings))
 
 
 def goes_on(prev: Column, text: Column) -> Column:
@@ -54,14 +68,15 @@ def goes_on(prev: Column, text: Column) -> Column:
     return F.coalesce((X.strip(text) != "") & tail.rlike(OPEN_END) & ~X.is_list_start(X.strip(text)), F.lit(False))
 
 
-def stitch(els: DataFrame, least: int = 40) -> DataFrame:
+def stitch(els: DataFrame, breaks: DataFrame | None = None, least: int = 40) -> DataFrame:
     """Paragraphs split across columns and pages put together; page breaks stay where they are.
 
     A paragraph takes the seq of its first part; pages are all pages of its parts. A text is merged if it goes on from the one before
     and that, or a merged text before it, is long enough, which window functions over the document express exactly.
     A document is one window partition, which spills to disk; no row is collected into one value but a paragraph's parts.
+    Page breaks are taken out of els, or given apart, which spares reading the content twice.
     """
-    here = els.filter("type <> 'page_break'")
+    here = els.filter("type <> 'page_break'") if breaks is None else els
     doc = W.partitionBy("doc_id").orderBy("seq")
     prev_text, prev_type = F.lag("text").over(doc), F.lag("type").over(doc)
     a = here.withColumn("_a", F.coalesce((prev_type == "text") & (F.col("type") == "text") & goes_on(prev_text, F.col("text")), F.lit(False))).withColumn("_b", F.coalesce(F.length(F.regexp_replace(prev_text, f"{X.WS}+$", "")) >= least, F.lit(False)))
@@ -79,7 +94,10 @@ def stitch(els: DataFrame, least: int = 40) -> DataFrame:
     )
 
     def glue(done: Column, x: Column) -> Column:
-        tail, head = F.regexp_replace(done, f"{X.WS}+$", ""), F.regexp_replace(x["text"], f"^{X.WS}+", "")
+        return X.let(F.struct(F.regexp_replace(done, f"{X.WS}+$", "").alias("tail"), F.regexp_replace(x["text"], f"^{X.WS}+", "").alias("head")), joined)
+
+    def joined(z: Column) -> Column:
+        tail, head = z["tail"], z["head"]
         broken = tail.rlike(f"[{X.HYPHENS}]$") & head.rlike(r"^\p{Ll}")
         return F.when(broken, F.concat(F.substring(tail, F.lit(1), F.length(tail) - 1), head)).otherwise(F.concat(tail, F.lit(" "), head))
 
@@ -87,21 +105,19 @@ def stitch(els: DataFrame, least: int = 40) -> DataFrame:
     text = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), F.element_at(parts, 1)["text"], glue)
     pages = F.array_sort(F.array_distinct(F.transform(parts, lambda x: x["page_index"])))
     out = merged.select("doc_id", "seq", "type", text.alias("text"), "level", "image_path", "html", pages.alias("pages"), F.size("_parts").alias("n_parts"))
-    breaks = els.filter("type = 'page_break'").select("doc_id", "seq", "type", "text", "level", "image_path", "html", F.array("page_index").alias("pages"), F.lit(1).alias("n_parts"))
+    apart = els.filter("type = 'page_break'") if breaks is None else breaks
+    breaks = apart.select("doc_id", "seq", "type", "text", "level", "image_path", "html", F.array("page_index").alias("pages"), F.lit(1).alias("n_parts"))
     return out.unionByName(breaks)
 
 
-def native_elements(pages: DataFrame) -> DataFrame:
-    """Native pages (doc_id, page_index, native_text) cut at blank lines, normalised, words rejoined, lines joined; and page breaks.
+def native_content(pages: DataFrame) -> DataFrame:
+    """Native pages (doc_id, page_index, native_text) cut at blank lines, normalised, words rejoined, lines joined.
 
     Pages with HTML go through foliospark.operators.html instead. Repeated pages should be dropped before.
     """
     paras = pages.select("doc_id", "page_index", F.posexplode(F.split(X.strip(F.coalesce("native_text", F.lit(""))), f"\\n{X.WS}*\\n")).alias("_i", "_t"))
-    body = paras.withColumn("text", X.join_lines(X.normalise(X.dehyphenate(F.col("_t"))))).filter("text <> ''")
-    empty = [F.lit(0).alias("level"), F.lit(None).cast("string").alias("image_path"), F.lit(None).cast("string").alias("html")]
-    content = body.select("doc_id", (F.col("page_index").cast("long") * PAGE + 1 + F.col("_i")).alias("seq"), F.lit("text").alias("type"), "text", *empty, "page_index")
-    breaks = pages.select("doc_id", (F.col("page_index").cast("long") * PAGE).alias("seq"), F.lit("page_break").alias("type"), F.lit("").alias("text"), *empty, "page_index").distinct()
-    return breaks.unionByName(content)
+    body = X.join_lines(X.normalise(X.dehyphenate(F.col("_t"))))
+    return paras.filter(F.col("_t").rlike(X.SHOWN)).select("doc_id", (F.col("page_index").cast("long") * PAGE + 1 + F.col("_i")).alias("seq"), F.lit("text").alias("type"), body.alias("text"), *_empty(), "page_index")
 
 
 def infer_title(meta: DataFrame, els: DataFrame, first: int = 40) -> DataFrame:

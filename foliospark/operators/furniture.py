@@ -42,7 +42,8 @@ def promote_headings(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     sized = blocks.join(pages.select("doc_id", "page_index", "page_height"), ["doc_id", "page_index"], "left")
     yes = (F.col("type") == "text") & X.is_heading(F.col("text"))
     level = X.heading_level(F.col("text"), F.coalesce("level", F.lit(0)), F.col("y1") - F.col("y0"), F.coalesce("page_height", F.lit(1)))
-    return sized.withColumn("level", F.when(yes, level).otherwise(F.col("level"))).withColumn("type", F.when(yes, "heading").otherwise(F.col("type"))).select(*blocks.columns)
+    judged = sized.withColumn("_yes", F.coalesce(yes, F.lit(False))).withColumn("_level", F.when(F.col("_yes"), level))
+    return judged.withColumn("level", F.coalesce("_level", "level")).withColumn("type", F.when(F.col("_yes"), "heading").otherwise(F.col("type"))).select(*blocks.columns)
 
 
 def folio_map(blocks: DataFrame) -> DataFrame:

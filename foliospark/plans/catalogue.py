@@ -39,7 +39,8 @@ def elements(s: SparkSession, d: str) -> DataFrame:
 
 
 def stitched(s: SparkSession, d: str) -> DataFrame:
-    return assembly.stitch(elements(s, d))
+    p = pages(s, d)
+    return assembly.stitch(assembly.content(blocks(s, d), p), assembly.page_breaks(p))
 
 
 def _by_block(f: Callable, name: str) -> Query:
@@ -82,7 +83,8 @@ def stitch_paragraphs(s: SparkSession, d: str) -> DataFrame:
 
 
 def native_assembly(s: SparkSession, d: str) -> DataFrame:
-    got = assembly.stitch(assembly.native_elements(native(s, d)))
+    n = native(s, d)
+    got = assembly.stitch(assembly.native_content(n), assembly.page_breaks(n))
     return got.groupBy("doc_id").agg(F.count_if(F.col("type") == "text").alias("n_paragraphs"), F.count_if(F.col("type") == "page_break").alias("n_pages"), F.sum(X.word_count(F.col("text"))).cast("long").alias("n_words"))
 
 

@@ -83,13 +83,13 @@ need AS (SELECT doc_id, greatest(3, CAST(floor(count(*) * 0.30) AS INT)) AS need
 furn AS (SELECT block_id, doc_id, CASE WHEN {folio("text")} THEN 'page_number' WHEN n.n >= need THEN CASE band WHEN 'top' THEN 'header' ELSE 'footer' END END AS furniture FROM cand JOIN n USING (doc_id, band, k) JOIN need USING (doc_id))"""
 
 _ELS = f"""{_FURN},
-f1 AS (SELECT b.* REPLACE (coalesce(furniture, b.type) AS type), page_height FROM b LEFT JOIN furn USING (block_id, doc_id) LEFT JOIN pg USING (doc_id, page_index)),
+f1 AS (SELECT b.* REPLACE (coalesce(furniture, b.type) AS type), page_height, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY block_order, block_id) AS place FROM b LEFT JOIN furn USING (block_id, doc_id) LEFT JOIN pg USING (doc_id, page_index)),
 f2 AS (SELECT * REPLACE (CASE WHEN type = 'text' AND {is_heading("text")} THEN 'heading' ELSE type END AS type,
   CASE WHEN type = 'text' AND {is_heading("text")} THEN {level("text", "coalesce(level, 0)", "(y1 - y0)", "coalesce(page_height, 1)")} ELSE level END AS level) FROM f1),
 body AS (SELECT *, {normalised("coalesce(text, '')")} AS nt FROM f2 WHERE coalesce(type NOT IN ('header', 'footer', 'page_number'), true)),
 body2 AS (SELECT *, CASE WHEN type IN ('table', 'figure', 'formula') THEN nt WHEN type IN ('heading', 'caption', 'footnote') THEN {joined("nt")} ELSE {joined(dehyphenated("nt"))} END AS bt FROM body),
 kept AS (SELECT * FROM body2 WHERE CASE WHEN type = 'figure' THEN image_path IS NOT NULL WHEN type IN ('table', 'formula') THEN true ELSE bt <> '' END),
-els AS (SELECT doc_id, page_index * 100000 + row_number() OVER (PARTITION BY doc_id, page_index ORDER BY block_order, block_id) AS seq,
+els AS (SELECT doc_id, page_index * 100000 + place AS seq,
   CASE WHEN type IN ('text', 'list', 'table', 'figure', 'formula', 'heading', 'caption', 'footnote') THEN type ELSE 'text' END AS type, bt AS text,
   CAST(CASE WHEN type = 'heading' THEN CASE WHEN level <> 0 THEN level ELSE 2 END ELSE 0 END AS INT) AS level, page_index FROM kept
   UNION ALL SELECT DISTINCT doc_id, page_index * 100000, 'page_break', '', 0, page_index FROM pg)"""
@@ -166,7 +166,7 @@ SELECT doc_id, round(CASE WHEN length(t) < 40 OR lw = 0 THEN 0.0 ELSE round_even
     "largest_gap": f"WITH {_B}, r AS (SELECT doc_id, page_index, y0 - max(y1) OVER (PARTITION BY doc_id, page_index ORDER BY y0, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM b WHERE y0 IS NOT NULL AND y1 IS NOT NULL) SELECT doc_id, page_index, greatest(0.0, max(g)) AS gap FROM r GROUP BY doc_id, page_index",
     "order_validation": f"WITH {_B}, r AS (SELECT doc_id, page_index, block_order % 3 AS c, lag(block_order % 3) OVER (PARTITION BY doc_id, page_index ORDER BY block_order, block_id) AS p FROM b WHERE type IN ('text', 'list', 'heading') AND y1 > y0), n AS (SELECT doc_id, page_index, sum(CASE WHEN p <> c THEN 1 ELSE 0 END) AS s, count(*) AS k, max(c) + 1 AS n FROM r GROUP BY doc_id, page_index) SELECT doc_id, page_index, CAST(s AS BIGINT) AS switches, k AS singles, n >= 2 AND k >= 4 AND s > n + 1 AND s > 0.4 * k AS wrong FROM n",
     "page_geometry": "SELECT doc_id, page_index, round(least(14000.0, max(width) * 72 / max(CASE WHEN dpi > 0 THEN dpi ELSE 300.0 END)), 4) AS width_pt, round(least(14000.0, max(height) * 72 / max(CASE WHEN dpi > 0 THEN dpi ELSE 300.0 END)), 4) AS height_pt FROM source_pages GROUP BY doc_id, page_index",
-    "group_inputs": "WITH p AS (SELECT DISTINCT image_path AS path FROM source_pages WHERE image_path IS NOT NULL), g AS (SELECT regexp_replace(path, '/[^/]*$', '') AS document, path FROM p) SELECT document, CAST(count(*) AS INT) AS n_files, min(path) AS first_file, max(path) AS last_file FROM g GROUP BY document",
+    "group_inputs": "WITH p AS (SELECT DISTINCT image_path AS path FROM source_pages WHERE image_path <> ''), g AS (SELECT regexp_replace(path, '/[^/]*$', '') AS document, path FROM p) SELECT document, CAST(count(*) AS INT) AS n_files, min(path) AS first_file, max(path) AS last_file FROM g GROUP BY document",
     "natural_sort": "WITH f AS (SELECT DISTINCT source_file FROM document_meta WHERE source_file IS NOT NULL) SELECT source_file, array_to_string(list_transform(regexp_extract_all(lower(source_file), '\\p{Nd}+|[^\\p{Nd}]+'), lambda y: CASE WHEN regexp_matches(y, '^\\p{Nd}') AND length(y) < 12 THEN lpad(y, 12, '0') ELSE y END), '') AS sort_key FROM f",
     "resume_antijoin": "WITH s AS (SELECT DISTINCT doc_id, page_index FROM source_pages WHERE native_text IS NULL AND native_html IS NULL), c AS (SELECT DISTINCT doc_id, page_index FROM ocr_pages WHERE deskew_angle IS NOT NULL) SELECT doc_id, page_index FROM s ANTI JOIN c USING (doc_id, page_index)",
     "cache_complete": "WITH t AS (SELECT doc_id, count(DISTINCT page_index) AS total FROM source_pages GROUP BY doc_id), h AS (SELECT doc_id, count(DISTINCT page_index) AS have FROM ocr_pages WHERE page_index < 20 GROUP BY doc_id) SELECT doc_id, coalesce(have, 0) AS have, CAST(least(total, 20) AS BIGINT) AS needed, coalesce(have, 0) >= least(total, 20) AS complete FROM t LEFT JOIN h USING (doc_id)",
