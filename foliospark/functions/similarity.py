@@ -24,18 +24,16 @@ def ratio(a: str | None, b: str | None) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def token_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+    return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
 def guarded(pairs: DataFrame, original: str = "original", candidate: str = "candidate", alike: float = 0.72) -> DataFrame:
-    """The pairs with similarity and reason. Python sees only pairs that the cheap tests and the upper bound let through.
+    """The pairs with similarity and reason. Python compares only pairs that the cheap tests and the upper bound let through.
 
     Null texts count as empty. Similarity is null where it wasn't needed.
     """
-    early = X.guard_reason(F.col(original), F.col(candidate), alike=alike)
-    judged = pairs.withColumn("_early", early)
-    open_ = judged.filter(F.col("_early").isin("ok", "meta_response", "numbers_changed"))
-    done = judged.filter(~F.col("_early").isin("ok", "meta_response", "numbers_changed")).withColumn("similarity", F.lit(None).cast("double")).withColumn("reason", F.col("_early"))
-    near = open_.withColumn("similarity", token_similarity(F.coalesce(original, F.lit("")), F.coalesce(candidate, F.lit(""))))
-    near = near.withColumn("reason", F.when(F.col("similarity") < alike, "diverged").otherwise(F.col("_early")))
-    return done.unionByName(near).drop("_early")
+    o, c = F.coalesce(original, F.lit("")), F.coalesce(candidate, F.lit(""))
+    judged = pairs.withColumn("_early", X.guard_reason(o, c, alike=alike))
+    open_ = F.col("_early").isin("ok", "meta_response", "numbers_changed")
+    near = judged.withColumn("similarity", token_similarity(F.when(open_, o), F.when(open_, c)))
+    return near.withColumn("reason", F.when(F.col("similarity") < alike, "diverged").otherwise(F.col("_early"))).drop("_early")

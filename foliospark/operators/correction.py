@@ -49,8 +49,8 @@ def correct(els: DataFrame, corrector: Corrector = lambda t: t, max_chars: int =
                 answers.append(answer)
             yield b.assign(answer=answers)
 
-    asked = cut(chunks.mapInPandas(ask, "doc_id long, chunk int, seqs array<long>, original string, answer string"))
-    judged = similarity.guarded(asked.withColumn("candidate", X.unwrap_answer(F.col("answer"))))
+    asked = chunks.mapInPandas(ask, "doc_id long, chunk int, seqs array<long>, original string, answer string")
+    judged = cut(similarity.guarded(asked.withColumn("candidate", X.unwrap_answer(F.col("answer")))))
     parts = F.transform(F.split("candidate", r"\n\n"), X.strip)
     many = F.size("seqs") > 1
     reason = F.when(F.col("answer").isNull(), "error").when((F.col("reason") == "ok") & many & (F.size(parts) != F.size("seqs")), "paragraph_count").otherwise(F.col("reason"))
