@@ -9,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 MAX_CHARS = 2_000_000
 
@@ -56,8 +55,15 @@ def slot(word: str, bits: int) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) & ((1 << bits) - 1)
 
 
-def summed(df: DataFrame, keys: list[str], value: str = "n") -> DataFrame:
-    return df.groupBy(*keys).agg(F.sum(value).alias(value))
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that the frame has."""
+    have, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in have:
+            n = f"_{n}"
+        have.add(n.lower())
+        out.append(n)
+    return out
 
 
 class Tally:

@@ -18,6 +18,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm.arrow import fresh
+
 MIN_LETTERS, MIN_DOCS, MIN_SHARE = 16, 3, 0.10
 #: So many line hashes, of 8 bytes each, may be sent to every executor.
 MOST_SENT = 200_000
@@ -86,6 +88,7 @@ def site_line_hits(blocks: DataFrame, meta: DataFrame, min_docs: int = MIN_DOCS,
 
 def remove_site_lines(blocks: DataFrame, meta: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
     """The blocks, other columns unchanged, their text without the repeated lines; a text of nothing else becomes empty."""
-    hits = site_line_hits(blocks, meta, min_docs, min_share).groupBy("block_id").agg(F.collect_set("line_no").alias("_gone"))
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    return blocks.join(hits, "block_id", "left").withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*blocks.columns)
+    (gone,) = fresh(blocks, "_gone")
+    hits = site_line_hits(blocks, meta, min_docs, min_share).groupBy("block_id").agg(F.collect_set("line_no").alias(gone))
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(gone), i))
+    return blocks.join(hits, "block_id", "left").withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*blocks.columns)

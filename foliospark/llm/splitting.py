@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliospark.llm.arrow import fresh
+
 BOUNDARIES = (
     regex.compile(r"\n[ \t]*\n\s*"),
     regex.compile(r"\n"),
@@ -74,10 +76,12 @@ def split_oversized(items: DataFrame, limits: DataFrame, column: str = "text", k
     """
     added = ("piece_no", "n_pieces", "new_from")
     items = items.drop(*added)
-    least = limits.filter("max_chars > 0").groupBy(F.col(kind).alias("_kind")).agg(F.min(F.struct("max_chars", F.coalesce("overlap_chars", F.lit(0)).alias("o"))).alias("_l"))
+    own, most, lap = fresh(items, "_kind", "_max", "_over")
+    pick = F.min(F.struct("max_chars", F.coalesce("overlap_chars", F.lit(0)).alias("o")))
+    least = limits.filter("max_chars > 0").groupBy(F.col(kind).alias(own)).agg(pick.alias(most)).select(own, F.col(f"{most}.o").alias(lap), F.col(f"{most}.max_chars").alias(most))
     # limits has a row per type; the types are a fixed vocabulary, and Catalyst checks the size before it broadcasts
-    sized = items.filter(F.col(column).isNotNull()).join(least, items[kind] == F.col("_kind"), "left").select(*[items[c] for c in items.columns], F.col("_l.max_chars").alias("_max"), F.col("_l.o").alias("_over"))
-    over = F.coalesce(F.length(column) > F.col("_max"), F.lit(False))
+    sized = items.filter(F.col(column).isNotNull()).join(least, F.col(kind) == F.col(own), "left").drop(own)
+    over = F.coalesce(F.length(column) > F.col(most), F.lit(False))
     whole = sized.filter(~over).select(*items.columns, F.lit(0).alias("piece_no"), F.lit(1).alias("n_pieces"), F.lit(0).alias("new_from"))
     schema = T.StructType([*items.schema.fields, *(T.StructField(x, T.IntegerType()) for x in added)])
     names, kept = schema.names, items.columns
@@ -85,7 +89,7 @@ def split_oversized(items: DataFrame, limits: DataFrame, column: str = "text", k
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, rows, numbers = [], [], ([], [], [])
-            for i, (text, limit, overlap) in enumerate(zip(batch.column(column).to_pylist(), batch.column("_max").to_pylist(), batch.column("_over").to_pylist(), strict=True)):
+            for i, (text, limit, overlap) in enumerate(zip(batch.column(column).to_pylist(), batch.column(most).to_pylist(), batch.column(lap).to_pylist(), strict=True)):
                 parts = split_text(text, limit, overlap)
                 for k, (a, new, b) in enumerate(parts):
                     texts.append(text[a:b])
