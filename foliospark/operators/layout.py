@@ -6,6 +6,7 @@ Boxes with null coordinates take no part in column detection and come last in th
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -158,27 +159,68 @@ def order_is_wrong(columns: np.ndarray, n_columns: int) -> bool:
     return switches > n_columns + 1 and switches > 0.4 * len(c)
 
 
-def _page(p: pd.DataFrame, prefer_engine: bool, validate: bool, most: int, gap: float) -> tuple[Columns, np.ndarray, np.ndarray, str]:
-    x0, y0, x1, y1 = (p[c].to_numpy(float) for c in ("x0", "y0", "x1", "y1"))
+Arrays = dict[str, np.ndarray]
+
+
+def by_page(df: DataFrame, order: list[str], run: Callable[[Arrays], Arrays], schema: str) -> DataFrame:
+    """run over the rows of each page, given as arrays in order; its arrays are a page's output rows, doc_id and page_index added.
+
+    Pages are brought together by one exchange and read as a sorted stream, so a task holds a batch and a page, and no frame is made for
+    each page. Rows without doc_id or page_index are left out.
+    """
+    keys = ["doc_id", "page_index"]
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+
+    def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            p = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            doc, page = p["doc_id"].to_numpy(), p["page_index"].to_numpy()
+            cuts = np.flatnonzero((doc[1:] != doc[:-1]) | (page[1:] != page[:-1])) + 1
+            last = int(cuts[-1]) if len(cuts) else 0
+            rest = p.iloc[last:]
+            if last:
+                yield done(p.iloc[:last], [0, *cuts.tolist()])
+        if rest is not None and len(rest):
+            yield done(rest, [0, len(rest)])
+
+    def done(p: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
+        columns = {c: p[c].to_numpy() for c in p.columns}
+        parts = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            got = run({c: v[a:b] for c, v in columns.items()})
+            n = len(next(iter(got.values())))
+            parts.append({"doc_id": np.full(n, columns["doc_id"][a]), "page_index": np.full(n, columns["page_index"][a]), **got})
+        return pd.DataFrame({n: np.concatenate([x[n] for x in parts]) for n in names})
+
+    known = df.filter("doc_id IS NOT NULL AND page_index IS NOT NULL")
+    return known.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(pages, schema)
+
+
+def _page(p: Arrays, prefer_engine: bool, validate: bool, most: int, gap: float) -> tuple[Columns, np.ndarray, np.ndarray, str]:
+    x0, y0, x1, y1 = (p[c].astype(float) for c in ("x0", "y0", "x1", "y1"))
     known = ~np.isnan(x0 + y0 + x1 + y1)
-    width, height = float(p["page_width"].iloc[0] or 1), float(p["page_height"].iloc[0] or 1)
-    flowing = p["type"].isin(FLOWING).to_numpy() & known
-    found = detect_columns(*(np.nan_to_num(v) for v in (x0, y0, x1, y1)), flowing, width, most, gap)
-    column = np.where(known, found.of(np.nan_to_num(x0), np.nan_to_num(x1)), -1)
-    given = np.lexsort((p["block_id"].to_numpy(), p["block_order"].fillna(0).to_numpy()))
+    width, height = float(p["page_width"][0]), float(p["page_height"][0])
+    width, height = width if width > 0 else 1.0, height if height > 0 else 1.0
+    flowing = np.isin(p["type"].astype(str), FLOWING) & known
+    safe = [np.nan_to_num(v) for v in (x0, y0, x1, y1)]
+    found = detect_columns(*safe, flowing, width, most, gap)
+    column = np.where(known, found.of(safe[0], safe[2]), -1)
+    order_given = np.nan_to_num(p["block_order"].astype(float))
+    given = np.lexsort((p["block_id"], order_given))
     method = "engine"
-    if prefer_engine and (p["block_order"].fillna(0) != 0).any():
-        running = [i for i in given if p["type"].iat[i] in ("text", "list", "heading") and y1[i] > y0[i]]
+    if prefer_engine and (order_given != 0).any():
+        running = given[np.isin(p["type"].astype(str), ("text", "list", "heading"))[given] & (y1 > y0)[given]]
         if validate and order_is_wrong(column[running], len(found.spans)):
             method = "xy_cut(corrected)"
     else:
         method = "xy_cut"
     if method != "engine":
         at = given[known[given]]
-        cut = xy_cut(x0[at], y0[at], x1[at], y1[at], width, height)
+        cut = np.array(xy_cut(x0[at], y0[at], x1[at], y1[at], width, height), int)
         given = np.concatenate([at[cut], given[~known[given]]]).astype(int)
-    order = np.empty(len(p), int)
-    order[given] = np.arange(len(p))
+    order = np.empty(len(given), int)
+    order[given] = np.arange(len(given))
     return found, column, order, method
 
 
@@ -186,11 +228,12 @@ def reading_order(blocks: DataFrame, pages: DataFrame, prefer_engine: bool = Tru
     """(doc_id, page_index, block_id, new_order, new_column, n_columns, confidence, method). Ties in the given order go by block_id."""
     slim = blocks.select("doc_id", "page_index", "block_id", "block_order", "type", "x0", "y0", "x1", "y1").join(pages.select("doc_id", "page_index", "page_width", "page_height"), ["doc_id", "page_index"])
 
-    def resolve(p: pd.DataFrame) -> pd.DataFrame:
+    def resolve(p: Arrays) -> Arrays:
         found, column, order, method = _page(p, prefer_engine, validate, max_columns, gap_ratio)
-        return pd.DataFrame({"doc_id": p["doc_id"], "page_index": p["page_index"], "block_id": p["block_id"], "new_order": order, "new_column": column, "n_columns": len(found.spans), "confidence": found.confidence, "method": method})
+        n = len(order)
+        return {"block_id": p["block_id"], "new_order": order, "new_column": column, "n_columns": np.full(n, len(found.spans)), "confidence": np.full(n, found.confidence), "method": np.full(n, method, object)}
 
-    return slim.groupBy("doc_id", "page_index").applyInPandas(resolve, "doc_id long, page_index int, block_id long, new_order int, new_column int, n_columns int, confidence double, method string")
+    return by_page(slim, ["block_id"], resolve, "doc_id long, page_index int, block_id long, new_order int, new_column int, n_columns int, confidence double, method string")
 
 
 def split_axis(blocks: DataFrame, lo: str, hi: str, gap: float) -> DataFrame:
@@ -227,19 +270,27 @@ def group_lines(lines: DataFrame, pages: DataFrame, max_columns: int = 4, gap_ra
     """
     slim = lines.select("doc_id", "page_index", "line_id", "text", "x0", "y0", "x1", "y1", "confidence").dropna(subset=["x0", "y0", "x1", "y1"]).join(pages.select("doc_id", "page_index", "page_width"), ["doc_id", "page_index"])
 
-    def group(p: pd.DataFrame) -> pd.DataFrame:
-        x0, y0, x1, y1 = (p[c].to_numpy(float) for c in ("x0", "y0", "x1", "y1"))
-        found = detect_columns(x0, y0, x1, y1, np.ones(len(p), bool), float(p["page_width"].iloc[0] or 1), max_columns, gap_ratio)
+    def group(p: Arrays) -> Arrays:
+        x0, y0, x1, y1 = (p[c].astype(float) for c in ("x0", "y0", "x1", "y1"))
+        found = detect_columns(x0, y0, x1, y1, np.ones(len(x0), bool), float(p["page_width"][0] or 1), max_columns, gap_ratio)
         column = found.of(x0, x1)
-        height = float(np.sort(y1 - y0)[len(p) // 2]) or 12.0
-        label, left, block, prev = np.empty(len(p), int), 0.0, -1, -1
-        for i in np.lexsort((p["line_id"], x0, y0, column)):
+        height = float(np.sort(y1 - y0)[len(x0) // 2]) or 12.0
+        order = np.lexsort((p["line_id"], x0, y0, column))
+        starts, left, prev = [], 0.0, -1
+        for k, i in enumerate(order.tolist()):
             new = prev < 0 or column[i] != column[prev] or y0[i] - y1[prev] > height * 0.9 or x0[i] - left > height * 1.2
-            block, left = (block + 1, x0[i]) if new else (block, min(left, x0[i]))
-            label[i] = block
+            if new:
+                starts.append(k)
+            left = x0[i] if new else min(left, x0[i])
             prev = i
-        p = p.assign(_b=label).sort_values(["_b", "y0", "x0", "line_id"])
-        out = p.groupby("_b").agg(text=("text", lambda t: "\n".join(t.dropna())), x0=("x0", "min"), y0=("y0", "min"), x1=("x1", "max"), y1=("y1", "max"), confidence=("confidence", "mean"), n_lines=("line_id", "size")).reset_index()
-        return out.rename(columns={"_b": "block_order"}).assign(doc_id=p["doc_id"].iloc[0], page_index=p["page_index"].iloc[0])[["doc_id", "page_index", "block_order", "text", "x0", "y0", "x1", "y1", "confidence", "n_lines"]]
-
-    return slim.groupBy("doc_id", "page_index").applyInPandas(group, "doc_id long, page_index int, block_order int, text string, x0 double, y0 double, x1 double, y1 double, confidence double, n_lines int")
+        text = p["text"][order]
+        ends = [*starts[1:], len(order)]
+        n = np.diff([*starts, len(order)])
+        least, most = ({c: f.reduceat(v[order], starts) for c, v in cs.items()} for f, cs in ((np.minimum, {"x0": x0, "y0": y0}), (np.maximum, {"x1": x1, "y1": y1})))
+        joined = np.array(["\n".join(t for t in text[a:b] if t is not None) for a, b in zip(starts, ends, strict=True)], object)
+        confidence = p["confidence"].astype(float)[order]
+        known = ~np.isnan(confidence)
+        mean = np.add.reduceat(np.where(known, confidence, 0), starts) / np.maximum(np.add.reduceat(known.astype(int), starts), 1)
+        return {"block_order": np.arange(len(starts)), "text": joined, **least, **most, "confidence": mean, "n_lines": n}
+
+    return by_page(slim, ["line_id"], group, "doc_id long, page_index int, block_order int, text string, x0 double, y0 double, x1 double, y1 double, confidence double, n_lines int")
