@@ -7,7 +7,7 @@ which fits to other documents hold for something else are left out of the final
 texts are then classified whole, the words of a batch once for each distinct word: with L1-normalised term frequencies
 the score of a text is the mean of its words' scores.
 
-A document's language is the one in which most of its letters stand.
+A document's language is the one of most of its texts, each weighed by the root of its letters.
 
 Defined results: null, empty and letterless texts have no language and don't count; a document without any text is not
 reported; ties go to the code that comes first; repeated rows count once; other columns are ignored.
@@ -256,8 +256,11 @@ def classify(texts: DataFrame, model: Model) -> DataFrame:
 
 
 def document_languages(classified: DataFrame) -> DataFrame:
-    """(doc_id, lang, confidence): the language of most letters; the confidence is its share times its texts' mean confidence."""
-    by = classified.groupBy("doc_id", "lang").agg(F.sum("letters").alias("n"), F.sum(F.col("letters") * F.col("confidence")).alias("sure"))
+    """(doc_id, lang, confidence): the language of most text; the confidence is its share times its texts' mean confidence.
+
+    A text weighs as the root of its letters: scripts need very different numbers of letters for the same text.
+    """
+    by = classified.groupBy("doc_id", "lang").agg(F.sum(F.sqrt("letters")).alias("n"), F.sum(F.sqrt("letters") * F.col("confidence")).alias("sure"))
     return by.groupBy("doc_id").agg(F.min_by("lang", F.struct(-F.col("n"), "lang")).alias("lang"), (F.min_by("sure", F.struct(-F.col("n"), "lang")) / F.sum("n")).alias("confidence"))
 
 
