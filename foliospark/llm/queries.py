@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliospark.llm import encoding, language, leaks, lookalikes, mixing, scans, sentences, sitelines, splitting
+from foliospark.operators import chunking
 from foliospark.session import table as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +32,18 @@ def p3_pieces(s: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(blocks, t(s, d, "chunk_limits")).filter("n_pieces > 1").select("block_id", "piece_no", "n_pieces", "new_from", F.length("text").alias("n_chars"), "text")
 
 
+def p3_chunks(s: SparkSession, d: str) -> DataFrame:
+    """Each correction run's chunks as counted then, and as they are with oversized blocks cut."""
+    place = F.row_number().over(W.partitionBy("doc_id", "page_index").orderBy("block_order", "block_id"))
+    blocks = t(s, d, "blocks").filter(F.col("type").isin(*chunking.CLEANABLE)).select("block_id", "doc_id", "page_index", "block_order", "type", "text").dropDuplicates(["block_id"]).withColumn("place", place)
+    pieces = splitting.split_oversized(blocks, t(s, d, "chunk_limits"))
+    runs = t(s, d, "clean_stats").select("run_id", "doc_id", "first_page", "last_page", F.col("chunks").cast("int").alias("stored")).dropDuplicates(["run_id"])
+    seq = (F.col("page_index").cast("long") * 100_000 + F.col("place")) * 100_000 + F.col("piece_no")
+    els = pieces.join(runs, "doc_id").filter("page_index BETWEEN first_page AND last_page").select(F.col("run_id").alias("doc_id"), seq.alias("seq"), "type", "text")
+    now = chunking.pack_chunks(els).groupBy(F.col("doc_id").alias("run_id")).agg((F.max("chunk") + 1).cast("int").alias("chunks"))
+    return runs.join(now, "run_id", "left").select("run_id", "stored", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+
+
 def p4_documents(s: SparkSession, d: str) -> DataFrame:
     return language.languages(t(s, d, "document_meta"), t(s, d, "blocks"), t(s, d, "source_pages"))[0]
 
@@ -48,6 +62,7 @@ def queries() -> dict[str, Query]:
         "p2_lines": p2_lines,
         "p3_found": lambda s, d: splitting.oversized_blocks(t(s, d, "blocks"), t(s, d, "chunk_limits")),
         "p3_pieces": p3_pieces,
+        "p3_chunks": p3_chunks,
         "p4_found": lambda s, d: language.language_faults(t(s, d, "document_meta"), t(s, d, "blocks"), t(s, d, "source_pages")),
         "p4_documents": p4_documents,
         "p5_found": lambda s, d: scans.scan_noise(t(s, d, "blocks"), t(s, d, "document_meta")),
