@@ -6,9 +6,11 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MAX_CHARS = 2_000_000
 
@@ -66,6 +68,26 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def dense_tables(counts: DataFrame, tables: int, bits: int) -> np.ndarray:
+    """Counters (k, slot, n) summed up as a tables x 2**bits array on the driver.
+
+    They come as compressed chunks of 2**14 counters, four bytes each, so the driver gets at most tables * 2**(bits + 2) bytes whatever the
+    corpus, and less where few are used.
+    """
+    low = min(bits, 14)
+
+    def pack(p: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(1 << low, np.float32)
+        np.add.at(out, p["slot"].to_numpy() & ((1 << low) - 1), p["n"].to_numpy())
+        return pd.DataFrame({"k": [p["k"].iloc[0]], "chunk": [p["chunk"].iloc[0]], "data": [zlib.compress(out.tobytes(), 1)]})
+
+    summed = counts.groupBy("k", "slot").agg(F.sum("n").alias("n")).withColumn("chunk", F.shiftright("slot", low))
+    out = np.zeros((tables, 1 << bits), np.float32)
+    for r in summed.groupBy("k", "chunk").applyInPandas(pack, "k int, chunk int, data binary").toLocalIterator():
+        out[r["k"], r["chunk"] << low : (r["chunk"] + 1) << low] = np.frombuffer(zlib.decompress(r["data"]), np.float32)
+    return out
+
+
 class Tally:
     """Counts with a bounded number of keys in memory: beyond it, what is there goes out as partial sums."""
 

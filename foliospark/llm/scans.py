@@ -22,12 +22,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.arrow import slices, words_of
+from foliospark.llm.arrow import dense_tables, slices, words_of
 from foliospark.llm.encoding import BITS, Corpus, gram_slots, word_slots
 from foliospark.llm.lookalikes import ALIKE
 
@@ -49,13 +50,17 @@ MIXED_WORD = regex.compile(r"^(?=.*\p{L})(?=.*[\p{Nd}!|$@€(])[\p{L}\p{M}\p{Nd}
 PURE_WORD = regex.compile(r"^[\p{L}\p{M}'’]+$")
 COUNTED = regex.compile(r"^[\p{L}\p{M}'’]+(?:-[\p{L}\p{M}'’]+)*$")
 YEAR = regex.compile(r"^(?=.*[\p{L}!|])[0-9lIi!|OoQSsBbZzgqAT]{4}$")
-FOLIO = r"(?i)^[\s\W_]*(?:[\p{L}]{1,6}\.?\s+)?(?:[0-9lIiOoSsBbZzgqAT!|]*[0-9][0-9lIiOoSsBbZzgqAT!|]*|[ivxlcdm]{1,8}|[lI!|O]{1,4}|\p{Nd}{1,5})[\s\W_]*$"
-NUMBER_PART = regex.compile(r"^[\W_]*(?:[0-9lIiOoSsBbZzgqAT!|]{1,5}|[ivxlcdmIVXLCDM]{1,8}|\p{Nd}{1,5})[\W_]*$")
+FOLIO = r"(?i)^[\s\W_]*(?:[\p{L}]{1,6}\.?\s+)?(?:[0-9lIiOoSsBbZzgqAT!|]*[0-9][0-9lIiOoSsBbZzgqAT!|]*|[ivxlcdm]{1,10}|(?-i:[lI!|OSBZ]{1,3})|\p{Nd}{1,5})[\s\W_]*$"
+NUMBER_PART = regex.compile(r"^[\W_]*(?:[0-9lIiOoSsBbZzgqAT!|]{1,5}|[ivxlcdmIVXLCDM]{1,10}|\p{Nd}{1,5})[\W_]*$")
 LATIN_ONLY = regex.compile(r"\p{Latin}")
 MIXED_SCRIPTS = regex.compile(r"\p{Latin}.*[\p{Cyrillic}\p{Greek}]|[\p{Cyrillic}\p{Greek}].*\p{Latin}")
 
 _SAME = str.maketrans({c: row[0].lower() for row in ALIKE for c in row[1:]} | {"ς": "σ"})
-_HEAD = str.maketrans("e06bn1!|ijr59tqуи", "cohhallllllsgfgyн")
+#: Characters misread for each other as one; what is misread for two letters as these.
+_HEAD = str.maketrans(
+    dict.fromkeys("il1!|jr", "l") | dict.fromkeys("na", "a") | dict.fromkeys("ec", "c") | dict.fromkeys("o0", "o") | dict.fromkeys("tf7", "t") | dict.fromkeys("s5", "s") | dict.fromkeys("gq9", "g")
+    | dict.fromkeys("hb6u8бв", "ll") | {"m": "la", "w": "vv", "d": "cl", "3": "з", "4": "ч"} | dict.fromkeys("плни", "н")
+)
 
 
 def plain_word(token: str) -> str:
@@ -109,9 +114,7 @@ def vocabulary(blocks: DataFrame) -> Corpus:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(at, pa.int32()), pa.array(t[at].astype(np.int64))], ["k", "slot", "n"])
 
     prose = blocks.filter(F.col("type").isin(*PROSE) & (F.length("text") > 0)).select("text")
-    rows = prose.mapInArrow(count, "k int, slot int, n long").groupBy("k", "slot").agg(F.sum("n").alias("n")).toPandas()
-    tables = np.zeros((5, 1 << BITS), np.float32)
-    tables[rows["k"].to_numpy(), rows["slot"].to_numpy()] = rows["n"].to_numpy()
+    tables = dense_tables(prose.mapInArrow(count, "k int, slot int, n long"), 5, BITS)
     return Corpus(tables[:3], tables[3:], "")
 
 
@@ -285,10 +288,7 @@ def head_key(text: str) -> str:
         words = words[:-1]
     folded = unicodedata.normalize("NFKD", " ".join(words).lower())
     base = "".join(c for c in folded if unicodedata.category(c) not in ("Mn", "Cf")).translate(_SAME).translate(_HEAD)
-    base = "".join(c for c in base if c.isalnum())
-    for a, b in (("cl", "d"), ("la", "m"), ("lm", "m"), ("al", "m"), ("ll", "h")):
-        base = base.replace(a, b)
-    return base
+    return "".join(c for c in base if c.isalnum())
 
 
 def edge_lines(blocks: DataFrame) -> DataFrame:
@@ -308,8 +308,9 @@ def running_heads(blocks: DataFrame, meta: DataFrame, site_docs: int = 3, site_s
 
     A long line that stands at page edges in several documents of a source is a notice of the source, not a title.
     """
-    edges = edge_lines(blocks).persist()
-    groups = edges.groupBy("doc_id", "key").agg(F.countDistinct("page_index").alias("pages"))
+    edges = edge_lines(blocks).persist(StorageLevel.DISK_ONLY)
+    once = edges.select("doc_id", "key", "page_index").distinct()
+    groups = once.groupBy("doc_id", "key").agg(F.count("*").alias("pages")).persist(StorageLevel.DISK_ONLY)
     # fuzzy: keys of a document that share a third of their letters at one place may be one title; thirds are joined on, never all pairs
     third = F.ceil(F.length("key") / 3).cast("int")
     parts = F.array(*(F.struct(F.lit(p).alias("at"), F.substring(F.col("key"), 1 + third * p, third).alias("part")) for p in range(3)), F.struct(F.lit(3).alias("at"), F.substring(F.reverse("key"), F.lit(1), third).alias("part")))
@@ -319,11 +320,11 @@ def running_heads(blocks: DataFrame, meta: DataFrame, site_docs: int = 3, site_s
     led = by_part.withColumn("head", F.first("key").over(lead)).filter("head <> key AND levenshtein(head, key) <= greatest(1, length(head) div 6)")
     best = led.groupBy("doc_id", "key").agg(F.min("head").alias("head"))
     merged = groups.join(best, ["doc_id", "key"], "left").withColumn("head", F.coalesce("head", "key"))
-    titled = edges.join(merged.select("doc_id", "key", "head"), ["doc_id", "key"])
+    titled = edges.join(merged.select("doc_id", "key", "head"), ["doc_id", "key"]).persist(StorageLevel.DISK_ONLY)
     enough = titled.groupBy("doc_id", "head").agg(F.countDistinct("page_index").alias("pages")).filter(F.col("pages") >= MIN_PAGES)
     sources = meta.filter("source IS NOT NULL").select("doc_id", "source").distinct()
     sized = sources.join(blocks.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("source").agg(F.count("*").alias("docs"))
-    notices = groups.filter(F.length("key") >= 12).join(sources, "doc_id").groupBy("source", "key").agg(F.countDistinct("doc_id").alias("n")).filter(F.col("n") >= site_docs).join(sized, "source").filter(F.col("n") >= site_share * F.col("docs"))
+    notices = groups.filter(F.length("key") >= 12).join(sources, "doc_id").groupBy("source", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= site_docs).join(sized, "source").filter(F.col("n") >= site_share * F.col("docs"))
     found = titled.join(enough.select("doc_id", "head"), ["doc_id", "head"], "left_semi")
     of_site = found.join(sources, "doc_id").join(notices.select("source", "key"), ["source", "key"], "left_semi").select("block_id")
     return found.select("block_id").distinct().join(of_site.distinct(), "block_id", "left_anti")
