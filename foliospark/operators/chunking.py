@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,7 +60,7 @@ def pack_chunks(els: DataFrame, max_chars: int = 4000) -> DataFrame:
     Others are skipped and don't end a chunk; blank and null texts are skipped.
     """
     some = els.filter(F.col("type").isin(*CLEANABLE) & (X.strip(F.coalesce("text", F.lit(""))) != "")).select("doc_id", "seq", F.length("text").alias("n"))
-    numbered = some.withColumn("_seg", F.floor((F.row_number().over(W.partitionBy("doc_id").orderBy("seq")) - 1) / SEGMENT).cast("int"))
+    numbered = some.withColumn("_seg", F.floor((F.row_number().over(W.partitionBy("doc_id").orderBy("seq")) - 1) / SEGMENT).cast("int")).persist(StorageLevel.DISK_ONLY)  # read twice
 
     def summarise(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("seq")
@@ -96,6 +97,8 @@ def split_chapters(els: DataFrame, most: int = 400) -> DataFrame:
     """
     doc = W.partitionBy("doc_id").orderBy("seq")
     heading = (F.col("type") == "heading") & (F.coalesce("level", F.lit(0)) > 0)
+    # read several times: without texts but headings', on disk
+    els = els.select("doc_id", "seq", "type", F.when(F.col("type") == "heading", F.col("text")).alias("text"), "level").persist(StorageLevel.DISK_ONLY)
     top = els.filter(heading).groupBy("doc_id").agg(F.min("level").alias("_top"))
     base = els.select("doc_id", "seq", "type", "text", "level").join(top, "doc_id", "left").withColumn("_first", F.row_number().over(doc) == 1)
     base = base.withColumn("_cut", F.coalesce((F.col("type") == "heading") & (F.col("level") == F.col("_top")) & ~F.col("_first"), F.lit(False)))
