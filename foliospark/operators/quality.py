@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.functions import aggregates
+
 METRICS = ("sharpness", "contrast", "skew_deg", "noise", "illumination_range", "border_ratio")
 
 
@@ -61,6 +63,23 @@ def render_dpi(width_pt: Column, height_pt: Column, native_dpi: Column, target_p
     return F.bround(F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), F.least(target_px / (long_side / 72), native_dpi)))).cast("int")
 
 
+def probe_route(pages: DataFrame, sample: int = 12, scan_share: float = 0.55, least_quality: float = 0.80, force_ocr: bool = False) -> DataFrame:
+    """(doc_id, n_pages, coverage, dpi, quality, is_scan, mode) from up to `sample` evenly spaced pages of each document.
+
+    pages has doc_id, page_index (from 0, once each), coverage, dpi and quality. Values are upper medians, of dpi of those over 0, 300 for
+    none. A document is native if it is no scan and its text layer is good enough.
+    """
+    total = pages.groupBy("doc_id").agg((F.max("page_index") + 1).alias("n_pages"))
+    some = pages.join(total, "doc_id").filter(aggregates.evenly_spaced("page_index", "n_pages", sample))
+    out = total
+    for name in ("coverage", "dpi", "quality"):
+        values = some.filter(F.col("dpi") > 0) if name == "dpi" else some
+        out = out.join(aggregates.upper_median(values, ["doc_id"], name, name), "doc_id", "left")
+    scan = F.coalesce(F.col("coverage") >= scan_share, F.lit(False))
+    native = ~scan & F.coalesce(F.col("quality") >= least_quality, F.lit(False)) & F.lit(not force_ocr)
+    return out.select("doc_id", "n_pages", "coverage", F.coalesce("dpi", F.lit(300.0)).alias("dpi"), "quality", scan.alias("is_scan"), F.when(native, "native").otherwise("ocr").alias("mode"))
+
+
 def missing_pages(jobs: DataFrame, cached: DataFrame) -> DataFrame:
     """The pages still to be read."""
     return jobs.join(cached.select("doc_id", "page_index").distinct(), ["doc_id", "page_index"], "left_anti")

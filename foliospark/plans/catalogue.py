@@ -175,6 +175,20 @@ def xhtml(s: SparkSession, d: str) -> DataFrame:
     return render.paragraph_classes(stitched(s, d)).withColumn("part", render.xhtml_part()).filter("part <> ''").select("doc_id", "seq", "part")
 
 
+def epub_packages(s: SparkSession, d: str) -> DataFrame:
+    els = stitched(s, d).persist()
+    m = t(s, d, "document_meta").groupBy("doc_id").agg(*(F.min(c).alias(c) for c in ("author", "language", "identifier")))
+    meta = assembly.infer_title(t(s, d, "document_meta"), els).join(m, "doc_id", "left")
+    packed = render.epubs(els, chunking.split_chapters(els), meta, "2025-01-01T00:00:00Z")
+    return packed.select("doc_id", F.octet_length("content").alias("n_bytes"), F.sha2("content", 256).alias("digest"))
+
+
+def probe_routes(s: SparkSession, d: str) -> DataFrame:
+    """Coverage stands in: a page without a text layer is all image."""
+    p = t(s, d, "source_pages").dropDuplicates(["page_id"]).groupBy("doc_id", "page_index").agg(F.max("native_text").alias("x"), F.max("dpi").alias("dpi"))
+    return quality.probe_route(p.select("doc_id", "page_index", F.when(F.col("x").isNull(), 1.0).otherwise(0.0).alias("coverage"), "dpi", F.round(F.coalesce(X.text_quality(F.col("x")), F.lit(0.0)), 2).alias("quality")))
+
+
 def text_runs(s: SparkSession, d: str) -> DataFrame:
     return textlayer.text_runs(blocks(s, d), lines(s, d), textlayer.page_geometry(t(s, d, "source_pages")))
 
@@ -272,6 +286,8 @@ def queries() -> dict[str, Query]:
         "html_elements": html_elements,
         "markdown": markdown,
         "xhtml": xhtml,
+        "epub_packages": epub_packages,
+        "probe_route": probe_routes,
         "text_runs": text_runs,
         "page_geometry": page_geometry,
         "group_inputs": group_inputs,

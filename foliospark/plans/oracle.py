@@ -172,4 +172,12 @@ SELECT doc_id, round(CASE WHEN length(t) < 40 OR lw = 0 THEN 0.0 ELSE round_even
     "cache_complete": "WITH t AS (SELECT doc_id, count(DISTINCT page_index) AS total FROM source_pages GROUP BY doc_id), h AS (SELECT doc_id, count(DISTINCT page_index) AS have FROM ocr_pages WHERE page_index < 20 GROUP BY doc_id) SELECT doc_id, coalesce(have, 0) AS have, CAST(least(total, 20) AS BIGINT) AS needed, coalesce(have, 0) >= least(total, 20) AS complete FROM t LEFT JOIN h USING (doc_id)",
     "run_report": "WITH r AS (SELECT DISTINCT run_id, errors, first_page, last_page, chunks FROM clean_stats WHERE chunks IS NOT NULL) SELECT count(*) FILTER (errors = 0) AS n_ok, count(*) FILTER (errors <> 0) AS n_failed, CAST(sum(last_page - first_page + 1) AS BIGINT) AS n_pages, round(sum(CAST(chunks AS DOUBLE)) / sum(last_page - first_page + 1), 6) AS seconds_per_page FROM r",
     "page_feed": f"WITH {_B}, x AS (SELECT block_id, {joined(dehyphenated(normalised('text')))} AS text FROM b WHERE coalesce(type NOT IN ('header', 'footer', 'page_number'), true)) SELECT block_id, text FROM x WHERE text <> ''",
+    "probe_route": f"""WITH p AS (SELECT doc_id, page_index, max(native_text) AS x, max(dpi) AS dpi FROM source_pages GROUP BY doc_id, page_index),
+q AS (SELECT doc_id, page_index, dpi, CASE WHEN x IS NULL THEN 1.0 ELSE 0.0 END AS coverage, {strip("x")} AS t FROM p),
+m AS (SELECT *, {words("t")} AS nw, len(list_filter(regexp_split_to_array(t, '{X.LINE_BREAK}'), lambda y: {strip("y")} <> '')) AS nl, len(regexp_extract_all(t, '{X.LATIN_WORD}')) AS lw, len(list_filter(regexp_extract_all(t, '{X.LATIN_WORD}'), lambda y: length(y) >= 4)) AS ll, length(regexp_replace(t, '{X.NOT_ALPHA}', '', 'g')) AS al FROM q),
+s AS (SELECT doc_id, page_index, dpi, coverage, round(coalesce(CASE WHEN t IS NULL THEN NULL WHEN length(t) < 40 OR lw = 0 THEN 0.0 ELSE round_even(0.45 * least(1.0, CAST(nw AS DOUBLE) / nl / 6.0) + 0.30 * (CAST(al AS DOUBLE) / length(t)) + 0.25 * least(1.0, CAST(ll AS DOUBLE) / lw / 0.45), 3) END, 0.0), 2) AS quality FROM m),
+n AS (SELECT doc_id, max(page_index) + 1 AS n_pages FROM s GROUP BY doc_id),
+e AS (SELECT s.* FROM s JOIN n USING (doc_id) WHERE list_contains(list_transform(range(12), lambda i: i * n_pages // 12), page_index)),
+g AS (SELECT doc_id, list_sort(list(coverage))[count(*) // 2 + 1] AS coverage, list_sort(list(dpi) FILTER (dpi > 0))[count(*) FILTER (dpi > 0) // 2 + 1] AS dpi, list_sort(list(quality))[count(*) // 2 + 1] AS quality FROM e GROUP BY doc_id)
+SELECT doc_id, n_pages, CAST(coverage AS DOUBLE) AS coverage, coalesce(dpi, 300.0) AS dpi, CAST(quality AS DOUBLE) AS quality, coalesce(coverage >= 0.55, false) AS is_scan, CASE WHEN NOT coalesce(coverage >= 0.55, false) AND coalesce(quality >= 0.80, false) THEN 'native' ELSE 'ocr' END AS mode FROM n LEFT JOIN g USING (doc_id)""",
 }
