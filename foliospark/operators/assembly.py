@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as X
+from foliospark.operators import html
 from foliospark.operators.furniture import FURNITURE, mark_furniture, promote_headings
 
 CONTENT = ("text", "list", "table", "figure", "formula", "heading", "caption", "footnote")
@@ -113,13 +114,23 @@ def stitch(els: DataFrame, breaks: DataFrame | None = None, least: int = 40) ->
 def native_content(pages: DataFrame) -> DataFrame:
     """Native pages (doc_id, page_index, native_text) cut at blank lines, normalised, words rejoined, lines joined.
 
-    Pages with HTML go through foliospark.operators.html instead. Repeated pages should be dropped before.
+    It reads the plain text only; native_elements sends pages with HTML through foliospark.operators.html instead. Repeated pages should be dropped before.
     """
     paras = pages.select("doc_id", "page_index", F.posexplode(F.split(X.strip(F.coalesce("native_text", F.lit(""))), f"\\n{X.WS}*\\n")).alias("_i", "_t"))
     body = X.join_lines(X.normalise(X.dehyphenate(F.col("_t"))))
     return paras.filter(F.col("_t").rlike(X.SHOWN)).select("doc_id", (F.col("page_index").cast("long") * PAGE + 1 + F.col("_i")).alias("seq"), F.lit("text").alias("type"), body.alias("text"), *_empty(), "page_index")
 
 
+def native_elements(pages: DataFrame) -> DataFrame:
+    """The content of native pages (doc_id, page_index, native_text, native_html): the HTML's elements where a page has any, else its plain text's.
+
+    HTML gives its elements normalised with lines joined, and those left without text go, but for figures. Repeated pages should be dropped before.
+    """
+    marked = F.coalesce(F.col("native_html") != "", F.lit(False))
+    of_html = html.html_elements(pages.filter(marked)).withColumn("text", X.join_lines(X.normalise(F.col("text")))).filter("text <> '' OR type = 'figure'")
+    return of_html.unionByName(native_content(pages.filter(~marked)))
+
+
 def infer_title(meta: DataFrame, els: DataFrame, first: int = 40) -> DataFrame:
     """(doc_id, title): where the title is missing or a placeholder, the first heading of 3 to 120 characters among the first elements, else the file's stem."""
     name = F.regexp_extract("source_file", r"([^/\\]*)$", 1)

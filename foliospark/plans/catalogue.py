@@ -34,6 +34,17 @@ def native(s: SparkSession, d: str) -> DataFrame:
     return t(s, d, "source_pages").filter("native_text IS NOT NULL").select("doc_id", "page_index", "page_id", "native_text").dropDuplicates(["page_id"])
 
 
+def native_pages(s: SparkSession, d: str) -> DataFrame:
+    """Every native page, whether it has plain text, HTML or both."""
+    some = t(s, d, "source_pages").filter("native_text IS NOT NULL OR native_html IS NOT NULL")
+    return some.select("doc_id", "page_index", "page_id", "native_text", "native_html").dropDuplicates(["page_id"])
+
+
+def native_stitched(s: SparkSession, d: str) -> DataFrame:
+    p = native_pages(s, d)
+    return assembly.stitch(assembly.native_elements(p), assembly.page_breaks(p))
+
+
 def elements(s: SparkSession, d: str) -> DataFrame:
     return assembly.elements(blocks(s, d), pages(s, d))
 
@@ -83,11 +94,24 @@ def stitch_paragraphs(s: SparkSession, d: str) -> DataFrame:
 
 
 def native_assembly(s: SparkSession, d: str) -> DataFrame:
+    """Pages' plain text alone, as SQL can express it; native_documents has all native pages."""
     n = native(s, d)
     got = assembly.stitch(assembly.native_content(n), assembly.page_breaks(n))
     return got.groupBy("doc_id").agg(F.count_if(F.col("type") == "text").alias("n_paragraphs"), F.count_if(F.col("type") == "page_break").alias("n_pages"), F.sum(X.word_count(F.col("text"))).cast("long").alias("n_words"))
 
 
+def native_documents(s: SparkSession, d: str) -> DataFrame:
+    """Elements and words of every native document, from HTML where a page has it, else from plain text."""
+    kind = F.col("type")
+    return native_stitched(s, d).groupBy("doc_id").agg(
+        F.count_if(kind == "page_break").alias("n_pages"),
+        F.count_if(kind == "heading").alias("n_headings"),
+        F.count_if(kind == "figure").alias("n_figures"),
+        F.count_if(~kind.isin("page_break", "heading", "figure")).alias("n_paragraphs"),
+        F.sum(X.word_count(F.col("text"))).cast("long").alias("n_words"),
+    )
+
+
 def infer_titles(s: SparkSession, d: str) -> DataFrame:
     return assembly.infer_title(t(s, d, "document_meta"), elements(s, d))
 
@@ -161,6 +185,10 @@ def chapters(s: SparkSession, d: str) -> DataFrame:
     return chunking.split_chapters(stitched(s, d)).groupBy("doc_id", "chapter").agg(F.min("title").alias("title"), F.count("*").alias("n_elements"))
 
 
+def native_chapters(s: SparkSession, d: str) -> DataFrame:
+    return chunking.split_chapters(native_stitched(s, d)).groupBy("doc_id", "chapter").agg(F.min("title").alias("title"), F.count("*").alias("n_elements"))
+
+
 def html_elements(s: SparkSession, d: str) -> DataFrame:
     some = t(s, d, "source_pages").filter("native_html IS NOT NULL").select("doc_id", "page_index", "page_id", "native_html").dropDuplicates(["page_id"])
     return html.html_elements(some).select("doc_id", "seq", "type", "text", "level")
@@ -171,24 +199,44 @@ def markdown(s: SparkSession, d: str) -> DataFrame:
     return render.markdown_parts(els, assembly.infer_title(t(s, d, "document_meta"), elements(s, d)), furniture.folio_map(blocks(s, d)))
 
 
+def native_markdown(s: SparkSession, d: str) -> DataFrame:
+    els = native_stitched(s, d).persist()
+    return render.markdown_parts(els, assembly.infer_title(t(s, d, "document_meta"), els), s.createDataFrame([], "doc_id long, page_index int, folio string"))
+
+
 def xhtml(s: SparkSession, d: str) -> DataFrame:
     return render.paragraph_classes(stitched(s, d)).withColumn("part", render.xhtml_part()).filter("part <> ''").select("doc_id", "seq", "part")
 
 
-def epub_packages(s: SparkSession, d: str) -> DataFrame:
-    els = stitched(s, d).persist()
+def _epubs(s: SparkSession, d: str, els: DataFrame) -> DataFrame:
+    els = els.persist()
     m = t(s, d, "document_meta").groupBy("doc_id").agg(*(F.min(c).alias(c) for c in ("author", "language", "identifier")))
     meta = assembly.infer_title(t(s, d, "document_meta"), els).join(m, "doc_id", "left")
     packed = render.epubs(els, chunking.split_chapters(els), meta, "2025-01-01T00:00:00Z")
     return packed.select("doc_id", F.octet_length("content").alias("n_bytes"), F.sha2("content", 256).alias("digest"))
 
 
+def epub_packages(s: SparkSession, d: str) -> DataFrame:
+    return _epubs(s, d, stitched(s, d))
+
+
+def native_epubs(s: SparkSession, d: str) -> DataFrame:
+    return _epubs(s, d, native_stitched(s, d))
+
+
 def probe_routes(s: SparkSession, d: str) -> DataFrame:
-    """Coverage stands in: a page without a text layer is all image."""
+    """Coverage stands in: a page without a text layer is all image. Only plain text counts, as in the SQL; native_routes has HTML too."""
     p = t(s, d, "source_pages").dropDuplicates(["page_id"]).groupBy("doc_id", "page_index").agg(F.max("native_text").alias("x"), F.max("dpi").alias("dpi"))
     return quality.probe_route(p.select("doc_id", "page_index", F.when(F.col("x").isNull(), 1.0).otherwise(0.0).alias("coverage"), "dpi", F.round(F.coalesce(X.text_quality(F.col("x")), F.lit(0.0)), 2).alias("quality")))
 
 
+def native_routes(s: SparkSession, d: str) -> DataFrame:
+    """As probe_routes, with a page's HTML as its text where it has any, as assembly reads it."""
+    x = F.coalesce(F.when(F.col("native_html") != "", X.tag_strip(F.col("native_html"))), F.col("native_text"))
+    p = t(s, d, "source_pages").dropDuplicates(["page_id"]).withColumn("x", x).groupBy("doc_id", "page_index").agg(F.max("x").alias("x"), F.max("dpi").alias("dpi"))
+    return quality.probe_route(p.select("doc_id", "page_index", F.when(F.col("x").isNull(), 1.0).otherwise(0.0).alias("coverage"), "dpi", F.round(F.coalesce(X.text_quality(F.col("x")), F.lit(0.0)), 2).alias("quality")))
+
+
 def text_runs(s: SparkSession, d: str) -> DataFrame:
     return textlayer.text_runs(blocks(s, d), lines(s, d), textlayer.page_geometry(t(s, d, "source_pages")))
 
@@ -265,6 +313,11 @@ def queries() -> dict[str, Query]:
         "assemble_elements": lambda s, d: elements(s, d).select("doc_id", "seq", "type", "text", F.col("level").cast("int").alias("level")),
         "stitch_paragraphs": stitch_paragraphs,
         "native_assembly": native_assembly,
+        "native_documents": native_documents,
+        "native_chapters": native_chapters,
+        "native_markdown": native_markdown,
+        "native_epubs": native_epubs,
+        "native_routes": native_routes,
         "infer_titles": infer_titles,
         "word_counts": word_counts,
         "table_of_contents": table_of_contents,

@@ -201,6 +201,32 @@ def test_html():
     assert html.pieces(page, void_tags=False) == [] and html.pieces(None) == [] and html.pieces("") == []
 
 
+def test_native_pages_by_html_or_text(spark, tmp_path):
+    pages = "page_id long, doc_id long, page_index int, native_text string, native_html string, dpi double"
+    long = "The clerk carried the letters over the river to the old mill and"
+    rows = [
+        (1, 1, 0, None, f"<h1>One</h1><p>{long}</p>", 300.0),
+        (1, 1, 0, None, f"<h1>One</h1><p>{long}</p>", 300.0),
+        (2, 1, 1, "WRONG FIELD", "<p>came back.</p><img src='i.png'><p>\u200b</p>", 300.0),
+        (3, 1, 2, "Plain one.\n\nPlain two.", None, 300.0),
+        (4, 1, 3, "Empty markup.", "", 300.0),
+        (5, 2, 0, None, "<p>Only markup here.</p>", None),
+        (6, 3, 0, None, None, 300.0),
+    ]
+    spark.createDataFrame(rows, pages).write.parquet(str(tmp_path / "source_pages.parquet"))
+    spark.createDataFrame([(1, "One", "a/one.epub", None, None, None), (2, None, "a/two.epub", None, None, None)], "doc_id long, title string, source_file string, author string, language string, identifier string").write.parquet(str(tmp_path / "document_meta.parquet"))
+    run = lambda name: catalogue.queries()[name](spark, str(tmp_path)).collect()
+    els = {(r.doc_id, r.seq): (r.type, r.text, r.pages) for r in catalogue.native_stitched(spark, str(tmp_path)).collect() if r.type != "page_break"}
+    assert els == {
+        (1, 1): ("heading", "One", [0]), (1, 2): ("text", f"{long} came back.", [0, 1]), (1, 100_002): ("figure", "", [1]), (1, 200_001): ("text", "Plain one.", [2]),
+        (1, 200_002): ("text", "Plain two.", [2]), (1, 300_001): ("text", "Empty markup.", [3]), (2, 1): ("text", "Only markup here.", [0]),
+    }
+    assert {r.doc_id: (r.n_pages, r.n_headings, r.n_figures, r.n_paragraphs) for r in run("native_documents")} == {1: (4, 1, 1, 4), 2: (1, 0, 0, 1)}
+    assert {r.doc_id for r in run("native_chapters")} == {r.doc_id for r in run("native_epubs")} == {1, 2}
+    assert {r.part for r in run("native_markdown")} >= {"## One", "Only markup here.", "Plain two.", "![figure](i.png)"}
+    assert {r.doc_id: r.is_scan for r in run("native_routes")} == {1: False, 2: False, 3: True}
+
+
 def test_correction(spark):
     els = spark.createDataFrame([(1, 0, "text", "The clerk carried teh letters to the mill on the river.", 0, None, None, 0), (1, 1, "text", "Another paragraph stands here beside it, and is right.", 0, None, None, 0), (1, 2, "heading", "Head", 1, None, None, 0)], ELEMENT)
     out, outcomes = correction.correct(els, lambda t: t.replace("teh", "the"))
