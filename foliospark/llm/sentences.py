@@ -7,8 +7,8 @@ before small letters and digits, and at a paragraph's end, where only a sentence
 word of a script without capitals, is judged by how often that word begins paragraphs and how often it stands within
 sentences; a proper name stands within sentences with its capital.
 
-The corpus tables hold only words with at least one in SUPPORT of all observations (three at least), so they have at most
-SUPPORT rows for each kind of observation, whatever the corpus; rarer words get the defaults.
+The corpus' counts are kept whole. Documents go into buckets of about BUCKET bytes of text, and each bucket gets the counts of the words
+it asks about by a join, so a word is judged by its evidence alone, whatever the size of the corpus: from EVIDENCE observations on.
 
 Defined results: null and blank texts have no sentence; a text without terminator is one; a blank line always ends one;
 repeated documents give repeated sentences, which p9_found counts once; other columns are ignored.
@@ -16,7 +16,8 @@ repeated documents give repeated sentences, which p9_found counts once; other co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -24,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.arrow import Tally, slices, words_of
+from foliospark.session import cut
 
-SUPPORT = 100_000
+BUCKET, EVIDENCE = 1_000_000, 3
 CLOSERS = "\"'»”“’›)]」』）］】〉》"
 OPENERS = "\"'«“„‘‹([「『（［【〈《¿¡‚"
 STOPS = ".!?…。！？｡।॥؟۔;።។။"
@@ -40,7 +42,11 @@ CASELESS = regex.compile(r"[֐-ࣿऀ-෿฀-႟ក-៿぀-ヿ㐀-鿿가-힯]")
 SPACELESS = regex.compile(r"[぀-ヿ㐀-鿿]")
 NEXT_WORD = regex.compile(r"[\p{L}\p{M}]+")
 CHAIN = regex.compile(r"\p{L}\p{M}*\.(?:\s|$)")
+LONG_WORD = regex.compile(r"[\p{L}\p{M}]{1,40}(?=\.)")
+RUN = re.compile(rf"[{re.escape(STOPS)}]{{2,}}|…|[{re.escape(STOPS)}](?=[^\W\d_])")
 KINDS = ("small", "digit", "capital", "other", "end")
+WHAT = (*KINDS, "begins", "anywhere")
+_COUNTED = ["what", "word", "bucket", "n"]
 
 
 def paragraphs(text: str) -> Iterator[tuple[int, int]]:
@@ -88,13 +94,22 @@ class Knowledge:
     def __init__(self, stops: dict[str, list[int]], begins: dict[str, int], anywhere: dict[str, int], n_begins: int, n_words: int) -> None:
         self.begins, self.anywhere, self.n_begins, self.n_words = begins, anywhere, max(1, n_begins), max(1, n_words)
         self.never, self.final = set(), set()
-        for word, (small, digit, capital, other, end) in stops.items():
-            total = small + digit + capital + other + end
-            within = small + digit
-            if end * 25 >= total:
-                self.final.add(word)
-            elif within * 8 >= total:
-                self.never.add(word)
+        for word, counts in stops.items():
+            self._judge(word, *counts)
+
+    def learn(self, word: str, stops: list[int], begins: int, anywhere: int) -> None:
+        self.begins[word], self.anywhere[word] = begins, anywhere
+        self._judge(word, *stops)
+
+    def _judge(self, word: str, small: int, digit: int, capital: int, other: int, end: int) -> None:
+        total = small + digit + capital + other + end
+        within = small + digit
+        if total < EVIDENCE:
+            return
+        if end * 25 >= total:
+            self.final.add(word)
+        elif within * 8 >= total:
+            self.never.add(word)
 
     def begins_sentence(self, word: str, default: bool) -> bool:
         """Whether the word is more at home at a sentence's beginning than within one."""
@@ -243,79 +258,110 @@ class Splitter:
         return len(word) > 3
 
 
-def knowledge(documents: DataFrame) -> Knowledge:
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
-
-        def rows(n: dict) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["what", "word", "n"])
+def _asked(text: str, a: int, b: int) -> Iterator[str]:
+    """The words whose counts may decide about text[a:b], besides those of observations."""
+    for m in RUN.finditer(text, a, b):
+        s, nxt = m.span()
+        while nxt < b and text[nxt].isspace():
+            nxt += 1
+        for back in (24, 40):
+            if w := LAST_WORD.search(text, max(a, s - back), s):
+                yield w[0]
+        if w := NEXT_WORD.match(text, nxt, b):
+            yield w[0]
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts (what, word) with bucket -1, and the words that each bucket asks about."""
+    tally, asks = Tally(), Tally()
+
+    def counted(n: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.int32()), pa.array([k[1] for k in n], pa.string()), pa.array([-1] * len(n), pa.int32()), pa.array(list(n.values()), pa.int64())], _COUNTED)
+
+    def asked(n: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([-1] * len(n), pa.int32()), pa.array([k[1] for k in n], pa.string()), pa.array([k[0] for k in n], pa.int32()), pa.array([0] * len(n), pa.int64())], _COUNTED)
+
+    begins, anywhere = WHAT.index("begins"), WHAT.index("anywhere")
+    for batch in slices(batches, "text"):
+        for text, bucket in zip(batch.column("text").to_pylist(), batch.column("bucket").to_pylist(), strict=True):
+            words = set()
+            for a, b in paragraphs(text):
+                for word, kind in observations(text, a, b):
+                    tally.add((KINDS.index(kind), word))
+                    if kind not in ("small", "end"):
+                        words.add(word)
+                        if len(word) == 24:  # cut short
+                            words.update(w[0] for w in LONG_WORD.finditer(text, a, b))
+                words.update(_asked(text, a, b))
+                if (m := NEXT_WORD.match(text, a, b)) and text[b - 1] in STOPS:
+                    tally.add((begins, m[0]))
+            for word in words:
+                asks.add((bucket, word))
+        codes, distinct, _ = words_of(batch.column("text"))
+        for k, n in zip(distinct, pa.array(codes).value_counts().field(1).to_pylist() if len(codes) else [], strict=False):
+            if k.isalpha() or NEXT_WORD.fullmatch(k):
+                tally.add((anywhere, k), n)
+        if tally.full():
+            yield from tally.drain(counted)
+        if asks.full():
+            yield from asks.drain(asked)
+    yield from tally.drain(counted)
+    yield from asks.drain(asked)
+
+
+def _with_knowledge(documents: DataFrame) -> tuple[DataFrame, int, int]:
+    """Documents (bucket, told false, doc_id, text) and, before each bucket's, the counts of the words it asks about (told true, text the word); the totals of begins and anywhere.
+
+    All counts are kept and joined by word, so nothing of the corpus goes to the driver but the totals, and to a task but its buckets' words.
+    """
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text <> ''")
+    n = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET))
+    docs = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    sums = [F.sum(F.when(F.col("what") == i, F.col("n")).otherwise(0)).alias(k) for i, k in enumerate(WHAT)]
+    seen = cut(docs.select("text", "bucket").mapInArrow(_gather, "what int, word string, bucket int, n long").groupBy("word", "bucket").agg(*sums))
+    counts, asks = seen.filter("bucket < 0").drop("bucket"), seen.filter("bucket >= 0").select("word", "bucket")
+    totals = counts.agg(F.sum("begins"), F.sum("anywhere")).first()
+    enough = counts.filter(" + ".join(f"`{k}`" for k in KINDS) + f" >= {EVIDENCE} OR begins + anywhere >= {EVIDENCE}")
+    told = asks.join(enough, "word").select("bucket", F.lit(True).alias("told"), F.lit(None).cast("long").alias("doc_id"), F.col("word").alias("text"), *WHAT)
+    both = told.unionByName(docs.withColumn("told", F.lit(False)), allowMissingColumns=True)
+    return both.repartition("bucket").sortWithinPartitions("bucket", F.desc("told")), totals[0] or 0, totals[1] or 0
+
+
+def _split(documents: DataFrame, make: Callable[[str, list[int]], list], schema: str, types: list[pa.DataType]) -> DataFrame:
+    """make's rows for each text and its sentences' ends, after doc_id."""
+    rows_of, n_begins, n_words = _with_knowledge(documents)
+    names = [c.split()[0] for c in schema.split(", ")]
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known = None, None
         for batch in slices(batches, "text"):
-            for text in batch.column("text").to_pylist():
-                if not text:
-                    continue
-                for a, b in paragraphs(text):
-                    for word, kind in observations(text, a, b):
-                        tally.add((kind, word))
-                    if (m := NEXT_WORD.match(text, a, b)) and text[b - 1] in STOPS:
-                        tally.add(("begins", m[0]))
-            codes, distinct, _ = words_of(batch.column("text"))
-            for k, n in zip(distinct, pa.array(codes).value_counts().field(1).to_pylist() if len(codes) else [], strict=False):
-                if k.isalpha() or NEXT_WORD.fullmatch(k):
-                    tally.add(("anywhere", k), n)
-            if tally.full():
-                yield from tally.drain(rows)
-        yield from tally.drain(rows)
-
-    counts = documents.select("text").mapInArrow(gather, "what string, word string, n long").groupBy("what", "word").agg(F.sum("n").alias("n")).persist()
-    try:
-        totals = {r["what"]: r["n"] for r in counts.groupBy("what").agg(F.sum("n").alias("n")).collect()}
-        stops = sum(totals.get(k, 0) for k in KINDS)
-        least = {**dict.fromkeys(KINDS, max(3, stops // SUPPORT)), "begins": max(3, totals.get("begins", 0) // SUPPORT), "anywhere": max(3, totals.get("anywhere", 0) // SUPPORT)}
-        by_word = counts.filter(F.col("what").isin(*KINDS)).groupBy("word").pivot("what", list(KINDS)).agg(F.sum("n")).fillna(0)
-        enough = by_word.filter(" + ".join(f"`{k}`" for k in KINDS) + f" >= {least['small']}").toPandas()
-        table = {r[0]: [int(x) for x in r[1:]] for r in enough[["word", *KINDS]].itertuples(index=False)}
-        begins = {r["word"]: r["n"] for r in counts.filter(f"what = 'begins' AND n >= {least['begins']}").toLocalIterator()}
-        rows = counts.filter(f"what = 'anywhere' AND n >= {least['anywhere']}").select("word", "n").toPandas()
-        return Knowledge(table, begins, dict(zip(rows["word"], rows["n"].tolist(), strict=True)), totals.get("begins", 0), totals.get("anywhere", 0))
-    finally:
-        counts.unpersist()
+            rows, out = [], []
+            counts = [batch.column(k).to_pylist() for k in WHAT]
+            for i, (bucket, told, text) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("bucket", "told", "text")), strict=True)):
+                if bucket != at:
+                    at, known = bucket, Knowledge({}, {}, {}, n_begins, n_words)
+                if told:
+                    *stops, begins, anywhere = (c[i] for c in counts)
+                    known.learn(text, stops, begins, anywhere)
+                else:
+                    found = make(text, Splitter(known).ends(text))
+                    out += found
+                    rows += [i] * len(found)
+            columns = zip(*out, strict=True) if out else [[] for _ in types]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())).cast(pa.int64()), *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))], names)
+
+    return rows_of.mapInArrow(split, schema)
 
 
 def sentence_ends(documents: DataFrame) -> DataFrame:
     """(doc_id, end_pos), a row for each sentence."""
-    told = documents.sparkSession.sparkContext.broadcast(knowledge(documents))
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(told.value)
-        for batch in slices(batches, "text"):
-            rows, ends = [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                if text:
-                    found = splitter.ends(text)
-                    ends += found
-                    rows += [i] * len(found)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())).cast(pa.int64()), pa.array(ends, pa.int32())], ["doc_id", "end_pos"])
-
-    return documents.select("doc_id", "text").mapInArrow(split, "doc_id long, end_pos int")
+    return _split(documents, lambda text, ends: [(e,) for e in ends], "doc_id long, end_pos int", [pa.int32()])
 
 
 def sentences(documents: DataFrame) -> DataFrame:
     """(doc_id, sentence_no, sentence): each document's sentences in order, line wraps as spaces."""
-    told = documents.sparkSession.sparkContext.broadcast(knowledge(documents))
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(told.value)
-        for batch in slices(batches, "text"):
-            rows, numbers, parts = [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                if text:
-                    at = 0
-                    for k, end in enumerate(splitter.ends(text)):
-                        rows.append(i)
-                        numbers.append(k)
-                        parts.append(" ".join(text[at:end].split()))
-                        at = end
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())).cast(pa.int64()), pa.array(numbers, pa.int32()), pa.array(parts, pa.string())], ["doc_id", "sentence_no", "sentence"])
-
-    return documents.select("doc_id", "text").mapInArrow(split, "doc_id long, sentence_no int, sentence string")
+    def make(text: str, ends: list[int]) -> list[tuple[int, str]]:
+        return [(k, " ".join(text[a:b].split())) for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False))]
+
+    return _split(documents, make, "doc_id long, sentence_no int, sentence string", [pa.int32(), pa.string()])

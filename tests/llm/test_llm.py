@@ -276,6 +276,40 @@ def test_sentences(spark):
     assert sentences.sentence_ends(docs.limit(0)).count() == 0
 
 
+def test_sentences_judged_alike_in_large_corpora(spark):
+    """Words of few occurrences: an abbreviation with no evidence in its document, and one that opens two paragraphs."""
+    known = [(i, "They saw qv. the mill. They saw qv. the bridge.\n\nIt was ach so ach and ach.") for i in range(2)] + [(i, "Ach was.") for i in (2, 3)]
+    asked = [(10, "See qv. Miller here. So it was."), (11, "Wait… Ach was it.")]
+    want = {10: [20, 31], 11: [5, 17]}
+    large = [(20, ("mill. " * 25_000 + "\n\n") * 20)]
+    for rows in (known + asked, known + asked + large):
+        ends = sentences.sentence_ends(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id IN (10, 11)").collect()
+        assert {d: sorted(r.end_pos for r in ends if r.doc_id == d) for d in want} == want
+
+
+@needs_data
+def test_sentences_ask_for_what_they_look_up(spark):
+    class Noted(sentences.Knowledge):
+        def begins_sentence(self, word, default):
+            looked.add(word)
+            return super().begins_sentence(word, default)
+
+    class Words(set):
+        def __contains__(self, word):
+            looked.add(word)
+            return False
+
+    texts = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect() if r.text] + ["w?. A etc!Next ab.Cd x…. B " + "l" * 30 + ". C " + "m" * 50 + ".”“ D"]
+    for text in texts:
+        looked = set()
+        known = Noted({}, {}, {}, 0, 0)
+        known.never = known.final = Words()
+        sentences.Splitter(known).ends(text)
+        batch = pa.RecordBatch.from_arrays([pa.array([text]), pa.array([0], pa.int32())], ["text", "bucket"])
+        asked = {r["word"] for b in sentences._gather(iter([batch])) for r in b.to_pylist() if r["bucket"] == 0}
+        assert looked <= asked
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="aB .!?\n“”»()1。」と…ก", max_size=80))
 def test_sentences_cover(text):
