@@ -3,9 +3,13 @@
 Possible ends are terminators of the script (with closing quotes and brackets) and, in Thai, spaces. Whether a full stop ends a sentence
 is taken from unambiguous occurrences: a word whose full stop is followed by a small letter or a digit elsewhere in the
 document is an abbreviation there; where the document doesn't tell, the corpus does: how often the word's full stop stands
-before small letters and digits, and at a paragraph's end, where only a sentence's end can be. A capital after an ellipsis, or a
+before small letters and digits, and at a paragraph's end, where only a sentence's end can be. An abbreviation before a capital ends a
+sentence if the capitalised word is a common one: if the document has it more often in small letters than with a capital within a
+sentence, where proper names stand; where the document doesn't tell, by its counts in the corpus. One that can end sentences, as it ends
+paragraphs too, ends none before a proper name. Abbreviations that by enough observations hardly ever end a paragraph, as titles before names
+do, end no sentence whatever follows, since names are often common words too. A capital after an ellipsis, or a
 word of a script without capitals, is judged by how often that word begins paragraphs and how often it stands within
-sentences; a proper name stands within sentences with its capital.
+sentences.
 
 The corpus' counts are kept whole. Documents go into buckets of about BUCKET bytes of text, and each bucket gets the counts of the words
 it asks about by a join, so a word is judged by its evidence alone, whatever the size of the corpus: from EVIDENCE observations on.
@@ -41,6 +45,7 @@ GREEK = regex.compile(r"[Ͱ-Ͽἀ-῿]")
 CASELESS = regex.compile(r"[֐-ࣿऀ-෿฀-႟ក-៿぀-ヿ㐀-鿿가-힯]")
 SPACELESS = regex.compile(r"[぀-ヿ㐀-鿿]")
 NEXT_WORD = regex.compile(r"[\p{L}\p{M}]+")
+WITHIN = regex.compile(r"[\p{L}\p{M}\p{Nd},](?:[^\S\n]+|[^\S\n]*\n[^\S\n]*)$")
 CHAIN = regex.compile(r"\p{L}\p{M}*\.(?:\s|$)")
 LONG_WORD = regex.compile(r"[\p{L}\p{M}]{1,40}(?=\.)")
 RUN = re.compile(rf"[{re.escape(STOPS)}]{{2,}}|…|[{re.escape(STOPS)}](?=[^\W\d_])")
@@ -74,8 +79,8 @@ def _kind(text: str, at: int, end: int) -> str:
     return "small" if c.islower() else "digit" if c.isdigit() else "capital" if c.isupper() else "other"
 
 
-def observations(text: str, a: int, b: int) -> Iterator[tuple[str, str]]:
-    """(word, kind of what follows) for each single full stop after a word."""
+def observations(text: str, a: int, b: int) -> Iterator[tuple[str, str, int]]:
+    """(word, kind of what follows, where it begins) for each single full stop after a word."""
     at = text.find(".", a, b)
     while at >= 0:
         nxt = at + 1
@@ -84,16 +89,26 @@ def observations(text: str, a: int, b: int) -> Iterator[tuple[str, str]]:
             if m and not (m[0].isdigit()):
                 while nxt < b and text[nxt].isspace():
                     nxt += 1
-                yield m[0], _kind(text, nxt, b)
+                yield m[0], _kind(text, nxt, b), nxt
         at = text.find(".", at + 1, b)
 
 
+def _occurrences(text: str, word: str) -> Iterator[int]:
+    """Where the word stands as a whole one."""
+    at = text.find(word)
+    while at >= 0:
+        end = at + len(word)
+        if not (at and NEXT_WORD.match(text, at - 1, at)) and not NEXT_WORD.match(text, end, end + 1):
+            yield at
+        at = text.find(word, end)
+
+
 class Knowledge:
     """What the corpus tells: stops of words, words at paragraph beginnings, and words anywhere."""
 
     def __init__(self, stops: dict[str, list[int]], begins: dict[str, int], anywhere: dict[str, int], n_begins: int, n_words: int) -> None:
         self.begins, self.anywhere, self.n_begins, self.n_words = begins, anywhere, max(1, n_begins), max(1, n_words)
-        self.never, self.final = set(), set()
+        self.never, self.final, self.both, self.inner = set(), set(), set(), set()
         for word, counts in stops.items():
             self._judge(word, *counts)
 
@@ -106,8 +121,12 @@ class Knowledge:
         within = small + digit
         if total < EVIDENCE:
             return
+        if total >= 25 * EVIDENCE and end * 100 < total:
+            self.inner.add(word)
         if end * 25 >= total:
             self.final.add(word)
+            if within * 8 >= total:
+                self.both.add(word)
         elif within * 8 >= total:
             self.never.add(word)
 
@@ -125,10 +144,11 @@ class Splitter:
 
     def ends(self, text: str) -> list[int]:
         out: list[int] = []
+        self._told: dict[str, tuple[int, int]] = {}
         local: dict[str, list[int]] = {}
         spans = list(paragraphs(text))
         for a, b in spans:
-            for word, kind in observations(text, a, b):
+            for word, kind, _ in observations(text, a, b):
                 seen = local.setdefault(word, [0, 0])
                 seen[kind == "end"] += kind in ("small", "digit", "end")
         here = {w for w, (within, end) in local.items() if within and not end}
@@ -252,11 +272,40 @@ class Splitter:
         if CHAIN.match(text, nxt, b) and word not in self.known.final:
             return False  # an abbreviation of several parts, or initials
         if word in self.known.never or (word in here and word not in self.known.final):
-            return False
+            return c.isupper() and word not in self.known.inner and self._is_name(text, nxt, b) is False
+        if word in self.known.both and c.isupper():
+            return not self._is_name(text, nxt, b)
         if word in self.known.final or not c.isdigit():
             return True
         return len(word) > 3
 
+    def _is_name(self, text: str, nxt: int, b: int) -> bool | None:
+        """Whether the capitalised word at nxt is a proper name rather than a common word that begins a sentence; None if neither the document nor the corpus tells.
+
+        In the document a word in small letters is a common one, and a capital within a sentence a name; the more frequent counts.
+        """
+        m = NEXT_WORD.match(text, nxt, b)
+        if not m:  # a capital that is no letter, as a Roman numeral's sign
+            return None
+        word = m[0]
+        small, within = self._evidence(text, word)
+        if small != within:
+            return within > small
+        small, capital = self.known.anywhere.get(word.lower(), 0), self.known.anywhere.get(word, 0)
+        if small + capital < EVIDENCE or small == capital:
+            return None
+        return capital > small
+
+    def _evidence(self, text: str, word: str) -> tuple[int, int]:
+        """How often the document has the word in small letters, and with its capital where no sentence can begin: after a word, a number or a comma."""
+        if word not in self._told:
+            small, low = 0, word.lower()
+            if low != word:
+                small = sum(1 for _ in _occurrences(text, low))
+            within = sum(1 for at in _occurrences(text, word) if WITHIN.search(text, max(0, at - 8), at))
+            self._told[word] = small, within
+        return self._told[word]
+
 
 def _asked(text: str, a: int, b: int) -> Iterator[str]:
     """The words whose counts may decide about text[a:b], besides those of observations."""
@@ -269,6 +318,7 @@ def _asked(text: str, a: int, b: int) -> Iterator[str]:
                 yield w[0]
         if w := NEXT_WORD.match(text, nxt, b):
             yield w[0]
+            yield w[0].lower()
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,10 +336,12 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, bucket in zip(batch.column("text").to_pylist(), batch.column("bucket").to_pylist(), strict=True):
             words = set()
             for a, b in paragraphs(text):
-                for word, kind in observations(text, a, b):
+                for word, kind, nxt in observations(text, a, b):
                     tally.add((KINDS.index(kind), word))
                     if kind not in ("small", "end"):
                         words.add(word)
+                        if kind == "capital" and (w := NEXT_WORD.match(text, nxt, b)):
+                            words.update((w[0], w[0].lower()))
                         if len(word) == 24:  # cut short
                             words.update(w[0] for w in LONG_WORD.finditer(text, a, b))
                 words.update(_asked(text, a, b))
