@@ -199,11 +199,27 @@ def markdown(s: SparkSession, d: str) -> DataFrame:
     return render.markdown_parts(els, assembly.infer_title(t(s, d, "document_meta"), elements(s, d)), furniture.folio_map(blocks(s, d)))
 
 
-def native_markdown(s: SparkSession, d: str) -> DataFrame:
-    els = native_stitched(s, d).persist()
+def _native_markdown(s: SparkSession, d: str, els: DataFrame) -> DataFrame:
+    els = els.persist()
     return render.markdown_parts(els, assembly.infer_title(t(s, d, "document_meta"), els), s.createDataFrame([], "doc_id long, page_index int, folio string"))
 
 
+def native_markdown(s: SparkSession, d: str) -> DataFrame:
+    return _native_markdown(s, d, native_stitched(s, d))
+
+
+def html_markdown(s: SparkSession, d: str) -> DataFrame:
+    """The Markdown of the pages that have HTML."""
+    p = native_pages(s, d).filter("native_html <> ''")
+    return _native_markdown(s, d, assembly.stitch(assembly.native_elements(p), assembly.page_breaks(p)))
+
+
+def links_images(s: SparkSession, d: str) -> DataFrame:
+    """The images that a page's HTML names, in order."""
+    p = native_pages(s, d).filter("native_html <> ''")
+    return p.select("page_id", F.posexplode(X.images_of(F.col("native_html"))).alias("image_no", "src"))
+
+
 def xhtml(s: SparkSession, d: str) -> DataFrame:
     return render.paragraph_classes(stitched(s, d)).withColumn("part", render.xhtml_part()).filter("part <> ''").select("doc_id", "seq", "part")
 
@@ -337,6 +353,9 @@ def queries() -> dict[str, Query]:
         "order_validation": order_validation,
         "group_lines": group_lines,
         "html_elements": html_elements,
+        "html_markdown": html_markdown,
+        "links_images": links_images,
+        "table_markdown": lambda s, d: blocks(s, d).filter("type = 'table' AND html IS NOT NULL").select("block_id", X.table_markdown(F.col("html")).alias("markdown")),
         "markdown": markdown,
         "xhtml": xhtml,
         "epub_packages": epub_packages,

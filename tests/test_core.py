@@ -225,6 +225,16 @@ def test_native_pages_by_html_or_text(spark, tmp_path):
     assert {r.doc_id for r in run("native_chapters")} == {r.doc_id for r in run("native_epubs")} == {1, 2}
     assert {r.part for r in run("native_markdown")} >= {"## One", "Only markup here.", "Plain two.", "![figure](i.png)"}
     assert {r.doc_id: r.is_scan for r in run("native_routes")} == {1: False, 2: False, 3: True}
+    assert {(r.page_id, r.image_no, r.src) for r in run("links_images")} == {(2, 0, "i.png")}
+    assert {r.part for r in run("html_markdown") if not r.part.startswith("<!--")} == {"## One", f"{long} came back.", "![figure](i.png)", "Only markup here."}
+
+
+def test_table_markdown_query(spark, tmp_path):
+    rows = [_block(i, i, "", 1.0, 2.0, kind) for i, kind in ((1, "table"), (2, "table"), (3, "text"))]
+    tables = {1: "<table><tr><td>a</td><td>b</td></tr><tr><td>c</td></tr></table>", 2: "<table><tr><td colspan=2>a</td></tr></table>"}
+    spark.createDataFrame(rows, BLOCK).drop("html").join(spark.createDataFrame(list(tables.items()), "block_id long, html string"), "block_id", "left").write.parquet(str(tmp_path / "blocks.parquet"))
+    got = {r.block_id: r.markdown for r in catalogue.queries()["table_markdown"](spark, str(tmp_path)).collect()}
+    assert got == {1: "| a | b |\n| --- | --- |\n| c |  |", 2: None}
 
 
 def test_correction(spark):
