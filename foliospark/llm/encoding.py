@@ -1,64 +1,79 @@
 """Text decoded with the wrong character encoding: find the affected fields and restore them by noisy-channel decoding.
 
-The channel is a pair of encodings, the one that was used and the right one, up to three times over. A word is put
-back into bytes by the one used, with a wildcard for each byte that was lost, and the resulting byte lattice is read in the right
-encoding: Viterbi search finds the characters, of those the corpus knows, that fit the bytes best under the corpus' letter
-sequences. Readings and the word as it stands are then compared under corpus word frequencies, with letter trigrams where a
-word is rare; a reading is taken if it wins by a margin.
-
-Corpus statistics cover all texts, in hashed tables of fixed size (2**20 counters each), which bounds what goes to the driver and
-the executors whatever the corpus. Words whose shape already shows damage don't count.
-
-Defined results: null and empty fields are no case; entities count as their characters and tags as spaces; a passage
-beyond recovery (a replacement character within a word of letters) is a case and stays; repeated rows give one found row;
-other columns pass through.
+A channel is a pair of encodings, the one that was used and the right one, up to three times over where text was read as UTF-8 wrongly
+again and again. A unit of text (what stands between white space, cut where scripts without spaces begin) is put back into bytes by the
+encoding used; characters lost are wildcards of a byte lattice. The lattice is read in the right encoding: by the most frequent word of
+the corpus that fits it, and by Viterbi search over all known letters that fit, under the corpus' letter sequences. A second Viterbi
+search runs over a field's units with the channels as states: a unit gains what its reading is likelier than its own characters under
+the corpus' word frequencies, and entering a channel costs a fixed amount. So one channel is found for a damaged passage from all of
+its units, undamaged passages cost nothing, and all units of the passage are read alike.
+
+Words are counted exactly, by pages, and joined to the fields that ask for them; a field's own occurrence doesn't speak for it. Letter
+sequences, which only smooth words that the corpus lacks, are in hashed tables of fixed size (2**20 counters each, for letters, pairs and
+triples). Units whose shape already shows damage are left out of both.
+
+Defined results: null and empty fields are no case; of HTML the text is judged, entities as their characters, and markup stays as it
+is; a unit with replacement or control characters that nothing fits is a case and stays; where fewer than half of a unit's letters are
+left, or over eight are lost in a row, no reading is tried; repeated rows give one found row; other columns pass through.
 """
 
 from __future__ import annotations
 
-import codecs
 import html
-import zlib
+import itertools
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.llm.arrow import by_row, code_points, dense_tables, slices
+from foliospark.llm.vocabulary import in_buckets, informed
+from foliospark.session import cut
 
 BITS = 20
-LATIN_USED = ("cp1252", "latin-1", "cp1250", "iso8859-2", "cp1254", "mac-roman", "cp437", "cp850")
-OTHER_USED = ("cp1251", "koi8-r", "cp866", "iso8859-5", "mac-cyrillic", "cp1253", "iso8859-7", "cp874", "cp1256")
-WIDE_USED = ("gb18030", "cp932", "big5", "euc-kr")
-NARROW_RIGHT = ("cp1252", "cp1250", "iso8859-2", "mac-roman", "cp437", "cp850", "cp1251", "koi8-r", "cp866", "iso8859-5", "mac-cyrillic", "cp1253", "iso8859-7", "cp874", "cp1256", "cp1254")
-WIDE_RIGHT = ("gb18030", "cp932", "euc-jp", "big5", "euc-kr")
-MARGIN, MARGIN_UTF8, ROUNDS, BEAM = 5.0, 0.0, 3, 12
+USED = ("cp1252", "cp1250", "iso8859-2", "cp1254", "mac-roman", "cp437", "cp850", "cp1251", "koi8-r", "cp866", "iso8859-5", "mac-cyrillic", "cp1253", "iso8859-7", "cp874", "cp1256")
+WIDE = ("gb18030", "cp932", "euc-jp", "big5", "euc-kr")
+RIGHT = (*USED, "iso8859-6", "cp1255")
+AGAIN = ("cp1252", "cp1250", "mac-roman", "cp437", "cp850", "cp1251")
+#: What entering a channel costs: as UTF-8, between other encodings, and each time over.
+ENTER_UTF8, ENTER_OTHER, ENTER_AGAIN, ROUNDS = 1.5, 8.0, 1.0, 3
+#: The logarithm of the probability of a character that text can't hold, and of a capital after a small letter within a word.
+IMPOSSIBLE, CAPITAL_WITHIN = -40.0, -4.0
+#: The least logarithm of a letter's probability after two others that raises no doubt about a word.
+DOUBT = -8.5
+MOST_LOST = 8
 LOST = "�"
-#: Words end at white space of ASCII, which no wrong encoding makes, and where a script of its own letters meets others.
-OWN = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Devanagari}\p{Arabic}\p{Hangul}、。「」『』，！？：；（）・ー।"
-SPACE = regex.compile(rf"[ \t\r\n\f]+|(?<=[{OWN}])(?=[^{OWN} \t\r\n\f])|(?<=[^{OWN} \t\r\n\f])(?=[{OWN}])")
-TAGS = regex.compile(r"(?s)<(script|style)\b.*?</\1\s*>|<[^>]*>")
+UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}ー々〆"
+OWN = UNSPACED + r"\p{Devanagari}\p{Arabic}\p{Hangul}、。「」『』，！？：；（）・"
+CUT = regex.compile(rf"(?<=[{OWN}])(?=[^{OWN}])|(?<=[^{OWN}])(?=[{OWN}])|(?<=[。！？，、])")
+HAS_OWN = regex.compile(rf"[{OWN}]")
+PIECE = regex.compile(rf"(?V1)[[\p{{L}}\p{{M}}]--[{UNSPACED}]]+|[{UNSPACED}]+|\p{{Nd}}+|[^ \t\r\n\f\v]")
+SPACE = regex.compile(r"[ \t\r\n\f\v]+")
+MARKUP = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|</?[a-z][^<>]*>|<[!?][^>]*>"
+HTML_GAP = regex.compile(rf"{MARKUP}|[ \t\r\n\f\v]+")
 #: What stands within words of undamaged text only by mistake.
-ODD = regex.compile(r"[\p{L}\p{M}][\p{So}\p{Sm}\p{Sc}\p{No}\p{Cc}¡¿§¶¨¯´¸¬­†‡‰ˆ˜˘˝˙˛•]|[\p{So}\p{Sm}\p{Sc}\p{No}\p{Cc}¨¯´¸¬†‡‰ˆ˜˘˝˙˛•][\p{L}\p{M}]|[\x80-\x9f]|�")
-KEPT = regex.compile(r"[^\x00-\x7f]")
-KEPT_RUN = regex.compile(r"[^\x00-\x7f]+")
-WIDE_LETTER = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
+SIGNS = r"\p{So}\p{Sm}\p{Sc}\p{No}\p{Cc}¨¯´¸¬†‡‰ˆ˜˘˝˙˛•"
+ODD = regex.compile(rf"[\p{{L}}\p{{M}}][{SIGNS}¡¿§¶­]|[{SIGNS}][\p{{L}}\p{{M}}]|[\x80-\x9f]|�")
+DAMAGED = regex.compile(rf"[\p{{L}}\p{{M}}][{SIGNS}]|[{SIGNS}]\p{{Ll}}\p{{L}}{{2}}|[\x80-\x9f]|�")
+GONE = regex.compile(r"[�\x80-\x84\x86-\x9f]")
+ASKED = regex.compile(r"(?<=\p{L})\?+(?=\p{Ll})")
+UTF8_BYTES = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+UTF8_ENDS = re.compile(rb"^[\x80-\xbf]{1,3}|(?:[\xc2-\xf4]|[\xe0-\xf4][\x80-\xbf]|[\xf0-\xf4][\x80-\xbf]{2})$")
+ONE_LETTER = regex.compile(r"^\P{L}*\p{L}\p{M}*[\p{P}\s]*$")
 LETTER = regex.compile(r"\p{L}")
-SCRIPTS_MIXED = regex.compile(r"\p{Latin}\P{L}*[\p{Cyrillic}\p{Greek}]|[\p{Cyrillic}\p{Greek}]\P{L}*\p{Latin}")
-IN_PART = ("cp1252", "cp1250", "mac-roman", "cp437", "cp850")
-ASCII_LETTER = regex.compile(r"[A-Za-z]")
-#: More lost bytes in a word than these are beyond recovery; the word is a case all the same.
-MOST_LOST = 8
-#: The least logarithm of a letter's probability after two others that raises no doubt about a word.
-DOUBT = -8.5
-LETTERS_LOST = regex.compile(r"\p{L}�+|�+\p{L}|�{2,}|[\x80-\x84\x86-\x9f]")
+CAMEL = regex.compile(r"\p{Ll}(?=\p{Lu})")
+WIDE_LETTER = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
+ALPHABETS = tuple(regex.compile(rf"\p{{{s}}}") for s in ("Latin", "Greek", "Cyrillic", "Arabic", "Hebrew", "Thai"))
+HALF_WIDTH = regex.compile(r"[｡-ﾟ]")
+
+Channel = tuple[str, ...]
 
 
 @lru_cache(None)
@@ -73,138 +88,87 @@ def narrow(name: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+class _ToBytes(dict):
+    """For str.translate: characters to those of the same number as their byte; others to U+0100, which has none."""
+
+    def __missing__(self, c: int) -> int:
+        return c if c < 0x80 else 0x100
+
+
 @lru_cache(None)
-def to_bytes(name: str) -> dict[str, int]:
-    return {c: b for b, c in reversed(list(enumerate(narrow(name))))} | ({chr(b): b for b in range(0x80, 0xA0)} if name == "cp1252" else {})
+def _to_bytes(name: str) -> _ToBytes:
+    table = _ToBytes({ord(c): b for b, c in reversed(list(enumerate(narrow(name))))})
+    if name == "cp1252":  # and Latin 1, which differs in control characters
+        table.update({b: b for b in range(0x80, 0xA0) if b not in table})
+    return table
 
 
-def bytes_of(word: str, used: str) -> list[int | None] | None:
-    """The bytes of the word in the encoding that was used, None for a lost one; None if it can't be from there."""
-    if used in WIDE_USED:
-        try:
-            return list(word.encode(used))
-        except UnicodeEncodeError:
-            return None
-    table, out = to_bytes(used), []
-    for c in word:
-        b = table.get(c)
-        if b is None and c != LOST:
-            if used != "cp1252" or not 0x80 <= ord(c) < 0x100:
-                return None
-            b = ord(c)
-        out.append(b)
-    return out
-
-
-@dataclass
-class Corpus:
-    """Hashed counts of letter trigrams, pairs and letters, and of words, and the letters known."""
-
-    grams: np.ndarray  # 3 x 2**BITS
-    words: np.ndarray  # 2 x 2**BITS
-    letters: str
-
-    def __post_init__(self) -> None:
-        self.n_letters = max(1.0, float(self.grams[0].sum()))
-        self.n_words = max(1.0, float(self.words[0].sum()))
-        self._patterns: dict[tuple, list[tuple[str, int]]] = {}
-        self._forms: dict[str, dict[bytes, str]] = {}
-        self._known = frozenset(self.letters)
-
-    def knows(self, word: str) -> bool:
-        return all(c in self._known or c < "\x80" for c in word)
-
-    def word_counts(self, words: list[str]) -> np.ndarray:
-        a, b = word_slots(words)
-        return np.minimum(self.words[0][a], self.words[1][b])
-
-    def _spelled(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The logarithm of each letter's probability after the two before it, and the words' offsets."""
-        one, two, three, offsets = gram_slots(words)
-        n1, n2, n3 = (self.grams[k][s] for k, s in enumerate((one, two, three)))
-        p1 = (n1 + 0.02) / (self.n_letters + 0.02 * 60_000)
-        p2 = (n2 + 3 * p1) / (self.grams[0][np.roll(one, 1)] + 3)
-        p3 = (n3 + 2 * p2) / (self.grams[1][np.roll(two, 1)] + 2)
-        p3[offsets[:-1]] = 1.0  # the padding before a word
-        second = offsets[:-1] + 1
-        p3[second] = p2[second]
-        return np.log(np.minimum(1, p3)), offsets
+@lru_cache(None)
+def _to_letters(name: str) -> dict[int, str]:
+    return {b: c for b, c in enumerate(narrow(name)) if ord(c) != b}
 
-    def logs(self, words: list[str]) -> np.ndarray:
-        """The logarithm of each word's probability."""
-        if not words:
-            return np.zeros(0)
-        p, offsets = self._spelled(words)
-        return np.logaddexp(np.log(0.3) + by_row(np.add, p, offsets), np.log(0.7) + np.log(np.maximum(self.word_counts(words).astype(float) / self.n_words, 1e-300)))
 
-    def spelled(self, words: list[str]) -> np.ndarray:
-        """The logarithm of each word's probability by its letters alone."""
-        return by_row(np.add, *self._spelled(words)) if words else np.zeros(0)
+def raw_of(text: str, used: str) -> bytes | None:
+    """The text's bytes in the encoding that was used; None if it can't be from there."""
+    if used not in WIDE:
+        table = _to_bytes(used)
+        return text.translate(table).encode("latin-1") if table.keys() >= {ord(c) for c in set(text) if c >= "\x80"} else None
+    try:
+        return text.encode(used)
+    except UnicodeEncodeError:
+        return None
+
+
+def as_read(raw: bytes, right: str) -> str | None:
+    if right in RIGHT:
+        return raw.decode("latin-1").translate(_to_letters(right))
+    try:
+        return raw.decode(right)
+    except UnicodeDecodeError:
+        return None
 
-    def least(self, words: list[str]) -> np.ndarray:
-        """The logarithm of each word's least likely letter."""
-        return by_row(np.minimum, *self._spelled(words))
-
-    def forms(self, right: str) -> dict[bytes, str]:
-        """The known letters by their bytes in an encoding."""
-        if right not in self._forms:
-            out = {}
-            for c in self.letters:
-                try:
-                    out[c.encode(right)] = c
-                except UnicodeEncodeError:
-                    continue
-            self._forms[right] = out
-        return self._forms[right]
-
-    def fitting(self, right: str, pattern: tuple[int | None, ...]) -> list[str]:
-        key = (right, pattern)
-        if key not in self._patterns:
-            if len(self._patterns) > 20_000:
-                self._patterns.clear()
-            self._patterns[key] = [c for b, c in self.forms(right).items() if len(b) == len(pattern) and all(p is None or p == x for p, x in zip(pattern, b, strict=True))]
-        return self._patterns[key]
-
-    def viterbi(self, lattice: list[int | None], right: str) -> str | None:
-        """The best reading of the byte lattice: states are the last two letters, edges letters that fit the next bytes."""
-        states: list[dict[str, tuple[float, str]]] = [{} for _ in range(len(lattice) + 1)]
-        states[0][""] = (0.0, "")
-        most = {"utf-8": 4, "gb18030": 4, "euc-jp": 3}.get(right, 2 if right in WIDE_RIGHT else 1)
-        for i, here in enumerate(states[:-1]):
-            if not here:
-                continue
-            best = sorted(here.values(), reverse=True)[:BEAM]
-            for n in range(1, min(most, len(lattice) - i) + 1):
-                pattern = tuple(lattice[i : i + n])
-                letters = self.fitting(right, pattern)
-                if not letters and None not in pattern:
-                    try:
-                        letters = [x] if len(x := bytes(pattern).decode(right)) == 1 else []
-                    except UnicodeDecodeError:
-                        letters = []
-                if not letters:
-                    continue
-                tails = [f"{t[-2:]}{c}" for _, t in best for c in letters]
-                costs = self._steps(tails)
-                k = 0
-                for score, text in best:
-                    for c in letters:
-                        new = (score + costs[k], text + c)
-                        k += 1
-                        state = new[1][-2:]
-                        if state not in states[i + n] or states[i + n][state] < new:
-                            states[i + n][state] = new
-        return max(states[-1].values())[1] if states[-1] else None
-
-    def _steps(self, tails: list[str]) -> list[float]:
-        """The logarithm of the last letter's probability after the ones before it."""
-        padded = [t.rjust(3, "\x02") for t in tails]
-        points = np.array([[ord(c) for c in t] for t in padded], np.uint64)
-        one, two, three = _hashes(points[:, 2]), _hashes(points[:, 1], points[:, 2]), _hashes(points[:, 0], points[:, 1], points[:, 2])
-        p1 = (self.grams[0][one] + 0.02) / (self.n_letters + 0.02 * 60_000)
-        p2 = (self.grams[1][two] + 3 * p1) / (self.grams[0][_hashes(points[:, 1])] + 3)
-        p3 = (self.grams[2][three] + 2 * p2) / (self.grams[1][_hashes(points[:, 0], points[:, 1])] + 2)
-        return np.log(np.minimum(1, p3)).tolist()
+
+def utf8_of(unit: str, used: str) -> str | None:
+    """The unit with all of it that is UTF-8 read so, what is cut off at its ends left out; None if nothing is."""
+    raw = raw_of(unit, used)
+    if raw is None or not UTF8_BYTES.search(raw):
+        return None
+    try:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError:
+        pass
+    raw = UTF8_ENDS.sub(b"", raw) if len(raw) > 8 else raw
+    if used in WIDE:
+        return as_read(raw, "utf-8")
+    table, out, at = narrow(used), [], 0
+    for m in UTF8_BYTES.finditer(raw):
+        out += (*map(table.__getitem__, raw[at : m.start()]), m[0].decode("utf-8", "replace"))
+        at = m.end()
+    return "".join((*out, *map(table.__getitem__, raw[at:])))
+
+
+@lru_cache(1)
+def utf8_shaped() -> regex.Pattern:
+    """What reads as UTF-8 in one of the usual wrong encodings."""
+    parts = []
+    for used in ("cp1252", "cp1250", "mac-roman", "cp437", "cp850", "cp1251", "cp1253"):
+        at = lambda a, b: "[" + "".join(regex.escape(c, special_only=True) for c in narrow(used)[a:b]) + "]"  # noqa: B023, E731
+        rest = at(0x80, 0xC0)
+        parts += [at(0xC2, 0xE0) + rest, at(0xE0, 0xF0) + rest + "{2}", at(0xF0, 0xF5) + rest + "{3}"]
+    return regex.compile("|".join(parts))
+
+
+def units(token: str) -> list[str]:
+    """The token cut where scripts without spaces begin and end, and after their sentences."""
+    return CUT.split(token) if HAS_OWN.search(token) else [token]
+
+
+@lru_cache(1)
+def _unspaced() -> regex.Pattern:
+    return regex.compile(rf"[{UNSPACED}]")
+
+
+# --- what the corpus holds
 
 
 def _hashes(*points: np.ndarray) -> np.ndarray:
@@ -227,188 +191,535 @@ def gram_slots(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return _hashes(p), _hashes(b, p), _hashes(a, b, p), offsets
 
 
-def word_slots(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    raw = [w.encode("utf-8", "surrogatepass") for w in words]
-    mask = (1 << BITS) - 1
-    return np.array([zlib.crc32(x) & mask for x in raw], np.int64), np.array([zlib.adler32(x[::-1]) * 2654435761 >> 9 & mask for x in raw], np.int64)
-
+class Letters:
+    """A model of letter sequences, and how often each character stands alone or in words, by pages."""
 
-def plain(text: str, is_html: bool) -> str:
-    return html.unescape(TAGS.sub(" ", text)) if is_html else text
+    def __init__(self, grams: np.ndarray, chars: dict[str, int], n_pieces: float) -> None:
+        self.grams, self.chars, self.n_pieces = grams, chars, max(1.0, n_pieces)
+        self.n_letters = max(1.0, float(grams[0].sum()))
+        self._kept: dict[str, float] = {}
+        self._by_script: dict[int, list[str]] = {}
 
+    def known(self, text: str) -> bool:
+        return all(c < "\x80" or c in self.chars for c in text.lower())
 
-def tokens(text: str) -> list[str]:
-    return [x for x in SPACE.split(text) if x]
-
-
-def _utf8_shaped(word: str) -> bool:
-    """Whether the word reads as UTF-8 in one of the usual wrong encodings."""
-    for used in LATIN_USED[:6] + OTHER_USED[:2]:
-        b = bytes_of(word, used)
-        if b is not None and None not in b:
-            try:
-                if bytes(b).decode("utf-8") != word:
-                    return True
-            except UnicodeDecodeError:
-                continue
-    return False
-
+    def spelled(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The logarithm of each letter's probability after the two before it, and the words' offsets."""
+        one, two, three, offsets = gram_slots(words)
+        n1, n2, n3 = (self.grams[k][s] for k, s in enumerate((one, two, three)))
+        p1 = (n1 + 0.02) / (self.n_letters + 0.02 * 60_000)
+        p2 = (n2 + 3 * p1) / (self.grams[0][np.roll(one, 1)] + 3)
+        p3 = (n3 + 2 * p2) / (self.grams[1][np.roll(two, 1)] + 2)
+        p3[offsets[:-1]] = 1.0  # the padding before a word
+        second = offsets[:-1] + 1
+        p3[second] = p2[second]
+        return np.log(np.minimum(1, p3)), offsets
 
-def corpus_statistics(texts: DataFrame) -> Corpus:
-    """Of all texts; the frame has (text, is_html)."""
+    def learn(self, words: list[str]) -> None:
+        """Keeps the words' probabilities by their letters."""
+        new = [w for w in dict.fromkeys(words) if w not in self._kept]
+        if len(self._kept) > 500_000:
+            self._kept.clear()
+            new = list(dict.fromkeys(words))
+        if new:
+            self._kept.update(zip(new, by_row(np.add, *self.spelled(new)).tolist(), strict=True))
+
+    def of_word(self, word: str) -> float:
+        if word not in self._kept:
+            self.learn([word])
+        return self._kept[word]
+
+    def of_char(self, c: str, own: int = 0) -> float:
+        if GONE.match(c):
+            return IMPOSSIBLE
+        return float(np.log((max(0, self.chars.get(c, 0) - own) + 0.05) / self.n_pieces))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, words = np.zeros((3, 1 << BITS)), np.zeros((2, 1 << BITS))
-        letters: set[str] = set()
-        judged: dict[str, bool] = {}
-        for batch in slices(batches, "text"):
-            n: dict[str, int] = {}
-            for text, is_html in zip(batch.column("text").to_pylist(), batch.column("is_html").to_pylist(), strict=True):
-                for w in tokens(plain(text or "", is_html)):
-                    n[w] = n.get(w, 0) + 1
-            if len(judged) > 300_000:
-                judged.clear()
-            clean = []
-            for w in n:
-                ok = judged.get(w)
-                if ok is None:
-                    ok = judged[w] = not KEPT.search(w) or not (ODD.search(w) or _utf8_shaped(w))
-                if ok:
-                    clean.append(w)
-            if not clean:
+    def least(self, words: list[str]) -> np.ndarray:
+        """The logarithm of each word's least likely letter."""
+        return by_row(np.minimum, *self.spelled(words))
+
+    def step(self, before: np.ndarray, last: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The logarithm of each letter's probability after the two before, as code points."""
+        before, last, c = (x.astype(np.uint64) for x in (before, last, c))
+        p1 = (self.grams[0][_hashes(c)] + 0.02) / (self.n_letters + 0.02 * 60_000)
+        p2 = (self.grams[1][_hashes(last, c)] + 3 * p1) / (self.grams[0][_hashes(last)] + 3)
+        p3 = (self.grams[2][_hashes(before, last, c)] + 2 * p2) / (self.grams[1][_hashes(before, last)] + 2)
+        return np.log(np.minimum(1, np.where(before == 2, np.where(last == 2, p2, p3), p3)))
+
+
+def plain_column(batch: pa.RecordBatch) -> pa.Array:
+    """The batch's texts, of HTML without its markup."""
+    text = pc.fill_null(batch.column("text"), "")
+    return pc.if_else(pc.fill_null(batch.column("is_html"), False), pc.replace_substring_regex(text, MARKUP, " "), text)
+
+
+def tokens_of(batch: pa.RecordBatch) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Codes into the distinct tokens, these, and row offsets."""
+    lists = pc.ascii_split_whitespace(plain_column(batch))
+    flat = lists.flatten().dictionary_encode()
+    offsets = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).astype(np.int64)
+    return flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary.to_pylist(), offsets
+
+
+def _value(token: str) -> str:
+    return html.unescape(token) if "&" in token else token
+
+
+WORD, CHAR, GRAM = 0, 1, 2
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, word, slot, n): by rows, how many have a word (k 0) or a character (k 1); slots of letter sequences (k 2 to 4)."""
+    grams = np.zeros((3, 1 << BITS))
+    cut_up: dict[str, tuple[str, ...]] = {}
+    for batch in slices(batches, "text"):
+        codes, distinct, offsets = tokens_of(batch)
+        if len(cut_up) > 300_000:
+            cut_up.clear()
+        index: dict[str, int] = {}
+        flat, starts = [], [0]
+        for t in distinct:
+            parts = cut_up.get(t)
+            if parts is None:
+                v = _value(t)
+                damaged = not v.isascii() and bool(DAMAGED.search(v) or utf8_shaped().search(v))
+                parts = cut_up[t] = () if damaged else tuple(dict.fromkeys(p for p in PIECE.findall(v.lower()) if not (p.isdecimal() and p.isascii())))
+            flat += [index.setdefault(p, len(index)) for p in parts]
+            starts.append(len(flat))
+        if not index:
+            continue
+        flat_, starts_ = np.array(flat, np.int64), np.array(starts, np.int64)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        pairs = np.unique(row * len(distinct) + codes)
+        row, code = pairs // len(distinct), pairs % len(distinct)
+        n = starts_[code + 1] - starts_[code]
+        at = np.repeat(starts_[code] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        held = np.unique(np.repeat(row, n) * len(index) + flat_[at]) % len(index)
+        many = np.bincount(held, minlength=len(index))
+        pieces = list(index)
+        wordy = [i for i, p in enumerate(pieces) if p[0].isalpha() or len(p) > 1]
+        one, two, three, gram_offsets = gram_slots([pieces[i] for i in wordy])
+        each = np.repeat(many[wordy].astype(float), np.diff(gram_offsets))
+        for k, s in enumerate((one, two, three)):
+            grams[k] += np.bincount(s, each, 1 << BITS)
+        chars: dict[str, int] = {}
+        words: dict[str, int] = {}
+        for p, m in zip(pieces, many.tolist(), strict=True):
+            if len(p) == 1 and not p.isalpha():
+                chars[p] = chars.get(p, 0) + m
                 continue
-            letters.update(*clean)
-            many = np.array([n[w] for w in clean], float)
-            one, two, three, offsets = gram_slots(clean)
-            each = np.repeat(many, np.diff(offsets))
-            for k, s in enumerate((one, two, three)):
-                grams[k] += np.bincount(s, each, 1 << BITS)
-            for k, s in enumerate(word_slots(clean)):
-                words[k] += np.bincount(s, many, 1 << BITS)
-        tables = [*grams, *words]
-        for k, t in enumerate(tables):
-            at = np.flatnonzero(t)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(at, pa.int32()), pa.array(t[at].astype(np.int64))], ["k", "slot", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([9] * len(letters), pa.int32()), pa.array([ord(c) for c in letters], pa.int32()), pa.array([1] * len(letters), pa.int64())], ["k", "slot", "n"])
-
-    counts = texts.mapInArrow(count, "k int, slot int, n long").persist(StorageLevel.DISK_ONLY)
-    try:
-        tables = dense_tables(counts.filter("k < 5"), 5, BITS)
-        letters = [r["slot"] for r in counts.filter("k = 9").select("slot").distinct().toLocalIterator()]  # code points
-    finally:
-        counts.unpersist()
-    return Corpus(tables[:3], tables[3:], "".join(map(chr, sorted(letters))))
-
-
-class Restorer:
-    def __init__(self, corpus: Corpus) -> None:
-        self.corpus = corpus
-        self.known: dict[str, tuple[str, bool]] = {}
-
-    def readings(self, word: str, first: bool = True) -> list[tuple[str, bool]]:
-        """(reading, whether as UTF-8) in each pair of encodings that fits; after a first reading only as UTF-8."""
-        out: dict[str, bool] = {}
-        lost, lattices = LOST in word, set()
-        n_letters = len(LETTER.findall(word))
-        narrow_too = first and (n_letters > 2 or (n_letters == 2 and (SCRIPTS_MIXED.search(word) or ODD.search(word))))
-        for used in (*LATIN_USED, *OTHER_USED, *(() if lost else WIDE_USED)):
-            b = bytes_of(word, used)
-            if used in IN_PART and not lost and (part := self.in_part(word, used)) != word:
-                out[part] = True
-            if b is None:
+            for c in set(p):
+                if c >= "\x80":
+                    chars[c] = chars.get(c, 0) + m
+            if not _unspaced().match(p):
+                words[p] = words.get(p, 0) + m
+        for k, found in ((WORD, words), (CHAR, chars)):
+            m = len(found)
+            yield pa.RecordBatch.from_arrays([pa.array([k] * m, pa.int32()), pa.array(list(found), pa.string()), pa.array([0] * m, pa.int32()), pa.array(list(found.values()), pa.int64())], ["k", "word", "slot", "n"])
+    for k, t in enumerate(grams):
+        at = np.flatnonzero(t)
+        m = len(at)
+        yield pa.RecordBatch.from_arrays([pa.array([GRAM + k] * m, pa.int32()), pa.nulls(m, pa.string()), pa.array(at, pa.int32()), pa.array(t[at].astype(np.int64))], ["k", "word", "slot", "n"])
+
+
+def skeletons(word: str) -> list[str]:
+    """How a word looks when the bytes of its letters beyond ASCII are lost, in UTF-8 and in an encoding of one byte each."""
+    return list(dict.fromkeys("".join(c if c < "\x80" else LOST * n(c) for c in word) for n in (lambda c: len(c.encode()), lambda c: 1)))
+
+
+def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words, n = batch.column("word").to_pylist(), batch.column("n").to_pylist()
+        rows = [(s, w, m) for w, m in zip(words, n, strict=True) for s in skeletons(w) if LETTER.search(s)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["word", "meant", "n"])
+
+
+def statistics(texts: DataFrame) -> tuple[DataFrame, Letters]:
+    """The words' exact counts (word, meant, n) and the model of letters. To the driver come the letter tables, of fixed size, and a number for each code point.
+
+    Words that lost letters are rows too: `word` as it looks then, `meant` the most frequent that looks so.
+    """
+    counted = cut(texts.select("text", "is_html").mapInArrow(_count, "k int, word string, slot int, n long"))
+    words = counted.filter(F.col("k") == WORD).groupBy("word").agg(F.sum("n").alias("n"))
+    chars = counted.filter(F.col("k") == CHAR).groupBy("word").agg(F.sum("n").alias("n"))
+    total = counted.filter(F.col("k") <= CHAR).agg(F.sum("n")).first()[0] or 0
+    grams = dense_tables(counted.filter(F.col("k") >= GRAM).select((F.col("k") - GRAM).alias("k"), "slot", "n"), 3, BITS)
+    letters = Letters(grams, {r["word"]: r["n"] for r in chars.toLocalIterator()}, float(total))
+    lost = words.filter(F.col("word").rlike(r"[^\x00-\x7f]")).mapInArrow(_skeletons, "word string, meant string, n long")
+    lost = lost.groupBy("word").agg(F.max_by("meant", F.struct("n", "meant")).alias("meant"), F.max("n").alias("n"))
+    return words.select("word", F.lit(None).cast("string").alias("meant"), "n").unionByName(lost), letters
+
+
+# --- channels
+
+
+def read(unit: str, channel: Channel) -> str | None:
+    """The unit through a channel, the encodings used and the right one last; None if it can't be from there."""
+    *used, right = channel
+    if right != "utf-8":
+        raw = raw_of(unit, used[0])
+        return None if raw is None else as_read(raw, right)
+    for u in used:
+        got = utf8_of(unit, u)
+        if got is None:
+            return None
+        unit = got
+    return unit
+
+
+class Channels:
+    """The readings of units in doubt, each found once."""
+
+    def __init__(self, letters: Letters) -> None:
+        self.letters = letters
+        self._of: dict[str, dict[Channel, str]] = {}
+        self._doubt: dict[str, bool] = {}
+        self._read: dict[Channel, dict[str, str | None]] = {}
+
+    def judge(self, tokens: list[str]) -> None:
+        """Finds which tokens are in doubt, all at once: by their shape, and by their least likely letter."""
+        if len(self._doubt) > 400_000:
+            self._doubt.clear()
+        words, where = [], []
+        for t in dict.fromkeys(tokens):
+            if t in self._doubt:
                 continue
-            if lost:
-                if tuple(b) in lattices or b.count(None) > MOST_LOST:
-                    continue
-                lattices.add(tuple(b))
-                for right in ("utf-8",) if ASCII_LETTER.search(word) else ("utf-8", *WIDE_RIGHT[:3]):
-                    if (got := self.corpus.viterbi(b, right)) and got != word and len(got) < len(word):
-                        out.setdefault(got, right == "utf-8")
+            v = _value(t)
+            if v.isascii():
+                self._doubt[t] = bool(ASKED.search(v))
                 continue
-            raw = bytes(b)
-            for right in ("utf-8", *(WIDE_RIGHT if first and used not in WIDE_USED else ()), *(NARROW_RIGHT if narrow_too and used not in WIDE_USED else ())):
-                if right == used:
-                    continue
-                if right in NARROW_RIGHT:
-                    got = "".join(map(narrow(right).__getitem__, raw))
-                    if not self.corpus.knows(got) or ODD.search(got):
+            self._doubt[t] = bool(ODD.search(v) or CAMEL.search(v))
+            for p in () if self._doubt[t] else PIECE.findall(v.lower()):
+                if len(p) == 1 and not p.isalpha():
+                    if p >= "\x80" and self.letters.of_char(p) < DOUBT:
+                        self._doubt[t] = True
+                elif not p.isascii():
+                    words.append(p)
+                    where.append(t)
+        if words:
+            for t, x in zip(where, self.letters.least(words).tolist(), strict=True):
+                if x <= DOUBT:
+                    self._doubt[t] = True
+
+    def in_doubt(self, token: str) -> bool:
+        return self._doubt[token]
+
+    def readings(self, unit: str) -> dict[Channel, str]:
+        got = self._of.get(unit)
+        if got is None:
+            if len(self._of) > 100_000:
+                self._of.clear()
+            got = {} if LOST in unit or unit.isascii() else self._as_utf8(unit)
+            if not any(self.letters.known(x) for x in got.values()):  # what is UTF-8 by its bytes and known letters is nothing else
+                got |= {} if LOST in unit or unit.isascii() else self._in_pairs(unit)
+            self._of[unit] = got
+        return got
+
+    def read(self, unit: str, channel: Channel) -> str | None:
+        kept = self._read.setdefault(channel, {})
+        if unit not in kept:
+            if len(kept) > 50_000:
+                kept.clear()
+            kept[unit] = read(unit, channel)
+        return kept[unit]
+
+    def _as_utf8(self, unit: str) -> dict[Channel, str]:
+        out: dict[Channel, str] = {}
+        live, had = {(): unit}, {unit}
+        for k in range(ROUNDS):
+            step: dict[Channel, str] = {}
+            for chain, text in live.items():
+                for used in AGAIN if k else (*USED, *WIDE):
+                    got = utf8_of(text, used)
+                    if got is None or got == text or (k and got in had):
                         continue
-                else:
-                    try:
-                        got = raw.decode(right)
-                    except UnicodeDecodeError:
-                        if right != "utf-8" or len(raw) < 9 or used not in LATIN_USED[:2]:
-                            continue
-                        # cut off within a character at either end
-                        got = codecs.decode(raw, "utf-8", "ignore")
-                        if 3 * len(got.encode()) < 2 * len(raw) or got.isascii():
-                            continue
-                    if right == "utf-8":
-                        # letters the corpus doesn't know speak against a single one being meant
-                        if not self.corpus.knows(got) and len(raw) - len(got) < 4 and not _utf8_shaped(got):
-                            continue
-                    elif not (self.corpus.knows(got) and (WIDE_LETTER.search(got) or (n_letters > 2 and ODD.search(word)))) or ODD.search(got):
-                        continue
-                if got != word:
-                    out[got] = out.get(got, False) or right == "utf-8"
-        return list(out.items())
-
-    def in_part(self, word: str, used: str) -> str:
-        """The word with those runs of it read as UTF-8 that can be, and the rest as it is."""
-
-        def one(m: regex.Match) -> str:
-            b = bytes_of(m[0], used)
-            if b is None or None in b:
-                return m[0]
-            try:
-                got = bytes(b).decode("utf-8")
-            except UnicodeDecodeError:
-                return m[0]
-            return got if self.corpus.knows(got) else m[0]
+                    # letters the corpus doesn't know speak against a single one being meant
+                    if self.letters.known(got) or utf8_shaped().search(got) or len(got.encode()) - len(got) >= 4:
+                        step[*chain, used] = got
+            had |= {*step.values()}
+            out |= {(*c, "utf-8"): x for c, x in step.items()}
+            live = {c: x for c, x in step.items() if not x.isascii()}
+        return out
+
+    def _in_pairs(self, unit: str) -> dict[Channel, str]:
+        out: dict[Channel, str] = {}
+        for used in USED:
+            raw = raw_of(unit, used)
+            if raw is None:
+                continue
+            for right in WIDE:
+                got = as_read(raw, right)
+                if got and len(got) < len(unit) and WIDE_LETTER.search(got) and not HALF_WIDTH.search(got) and self.letters.known(got):
+                    out[used, right] = got
+            for right in RIGHT:
+                if right != used and (got := as_read(raw, right)) != unit and self._plausible(got):
+                    out[used, right] = got
+        return out
+
+    def _plausible(self, text: str) -> bool:
+        return self.letters.known(text) and not ODD.search(text) and sum(bool(a.search(text)) for a in ALPHABETS) <= 1
+
+
+def best_path(letters: Letters, edges: list[list[tuple[int, np.ndarray]]]) -> str | None:
+    """Viterbi search over a lattice: edges[i] has the steps from place i, (how many places, code points that fit). States are the last two letters; none is left out."""
+    ends: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(len(edges) + 1)]
+    ends[0].append((np.array([2]), np.array([2]), np.zeros(1), np.array([-1]), np.array([-1])))
+    kept: list[tuple[np.ndarray, ...] | None] = [None] * (len(edges) + 1)
+    for i in range(len(edges) + 1):
+        if not ends[i]:
+            continue
+        before, last, score, place, row = (np.concatenate(x) for x in zip(*ends[i], strict=True))
+        if i == len(edges):
+            score = score + letters.step(before, last, np.full(len(last), 3))
+        order = np.argsort(-score, kind="stable")
+        order = order[np.unique(before[order] << 21 | last[order], return_index=True)[1]]
+        kept[i] = before, last, score, place, row = before[order], last[order], score[order], place[order], row[order]
+        for n, points in edges[i] if i < len(edges) else ():
+            if len(points) and i + n <= len(edges):
+                m = len(points)
+                c = np.tile(points, len(last))
+                b, at = np.repeat(last, m), np.repeat(np.arange(len(last)), m)
+                ends[i + n].append((b, c, np.repeat(score, m) + letters.step(np.repeat(before, m), b, c), np.full(len(c), i), at))
+    if kept[-1] is None:
+        return None
+    i, k, out = len(edges), int(kept[-1][2].argmax()), []
+    while i > 0:
+        _, last, _, place, row = kept[i]
+        out.append(chr(last[k]))
+        i, k = int(place[k]), int(row[k])
+    return "".join(reversed(out))
+
+
+class Lattices:
+    """Readings of units that lost bytes."""
+
+    def __init__(self, letters: Letters) -> None:
+        self.letters = letters
+        beyond = sorted(c for c in letters.chars if c >= "\x80")
+        self._all = beyond
+        self._forms: dict[tuple, np.ndarray] = {}
+        self._known: dict[str, list[str]] = {}
+
+    def _fit(self, pattern: tuple[int | None, ...], script: int) -> np.ndarray:
+        """The known characters whose bytes in UTF-8 fit; of letters those of the script."""
+        key = (pattern, script)
+        if key not in self._forms:
+            if len(self._forms) > 20_000:
+                self._forms.clear()
+            fits = [c for c in self._all if len(b := c.encode()) == len(pattern) and all(p is None or p == x for p, x in zip(pattern, b, strict=True))]
+            self._forms[key] = np.array([ord(c) for c in fits if script < 0 or not c.isalpha() or ALPHABETS[script].match(c)], np.int64)
+        return self._forms[key]
+
+    def readings(self, unit: str) -> list[str]:
+        """By Viterbi search, of bytes lost from UTF-8 and from an encoding of one byte a letter; none where too little is left."""
+        if unit not in self._known:
+            if len(self._known) > 100_000:
+                self._known.clear()
+            self._known[unit] = list(self._read(unit))
+        return self._known[unit]
+
+    def _read(self, unit: str) -> Iterator[str]:
+        low = unit.lower()
+        left, lost = sum(c.isalpha() for c in low), low.count(LOST)
+        if LOST * (MOST_LOST + 1) in low:
+            return
+        script = next((i for i, a in enumerate(ALPHABETS) if a.search(low)), -1)
+        raw = raw_of(low.replace(LOST, "\x00"), "cp1252")
+        if raw is not None and lost <= 2 * left:
+            cells = [None if c == LOST else b for c, b in zip(low, raw, strict=True)]
+            edges = [[(n, self._fit(tuple(cells[i : i + n]), script)) for n in (2, 3)] if b is None or b >= 0x80 else [(1, np.array([b]))] for i, b in enumerate(cells)]
+            if got := best_path(self.letters, edges):
+                yield got
+        if left and lost <= left and script >= 0:
+            some = np.array([ord(c) for c in self._all if ALPHABETS[script].match(c)], np.int64)
+            if got := best_path(self.letters, [[(1, some if c == LOST else np.array([ord(c)]))] for c in low]):
+                yield got
+
+
+CORE = regex.compile(rf"[\p{{L}}\p{{M}}{LOST}][\p{{L}}\p{{M}}{LOST}'’]*")
+LOSSY: Channel = ("lost",)
+
+
+def like(unit: str, reading: str) -> str:
+    """The reading, which is in small letters, in the unit's capitals."""
+    letters = [c for c in unit if c.isalpha()]
+    if len(letters) > 1 and all(c.isupper() for c in letters):
+        return reading.upper()
+    for a, b in zip(unit, reading, strict=False):
+        if a.isalpha() and b.isalpha():
+            return next((reading[:i] + c.upper() + reading[i + 1 :] for i, c in enumerate(reading) if c.isalpha()), reading) if a.isupper() else reading
+        if a == LOST:
+            break
+    return reading
+
+
+class Decoder:
+    """Decodes fields: all units that may be damaged, through the channels that fit the field's units in doubt."""
+
+    def __init__(self, letters: Letters) -> None:
+        self.letters, self.channels, self.lattices = letters, Channels(letters), Lattices(letters)
+        self.counts: dict[str, int] = {}
+        self.meant: dict[str, str] = {}
+        self._scores: dict[tuple[str, bool], float] = {}
+
+    def told(self, word: str, meant: str | None, n: int) -> None:
+        if meant is not None:
+            self.meant[word] = meant
+        self.counts[meant or word] = n
+
+    def forget(self) -> None:
+        self.counts, self.meant, self._scores = {}, {}, {}
+
+    # what both passes need of a field
+
+    def parse(self, text: str, is_html: bool) -> tuple[list[str], list[tuple[int, str]], list[str]]:
+        """Gaps and tokens in turn; of the tokens that aren't plain ASCII, or lost a letter, the places and values; the units of all of these."""
+        parts, at, some = [], 0, []
+        for m in (HTML_GAP if is_html else SPACE).finditer(text):
+            parts += (text[at : m.start()], m[0])
+            at = m.end()
+        parts.append(text[at:])
+        for i in range(0, len(parts), 2):
+            v = _value(parts[i]) if is_html else parts[i]
+            if not v.isascii() or ASKED.search(v):
+                some.append((i, v))
+        return parts, some, [u for _, v in some for u in units(v)]
+
+    def of_field(self, some: list[tuple[int, str]], all_units: list[str]) -> dict[Channel, list[str | None]]:
+        """Each channel that fits a unit in doubt, with its readings of all units; of channels that read alike one."""
+        fit: dict[Channel, float] = {}
+        for _, v in some:
+            if self.channels.in_doubt(v):
+                for u in units(v):
+                    base = None
+                    for c, x in self.channels.readings(u).items():
+                        base = self.score(u, True) if base is None else base
+                        gain = self.score(x, False) - base
+                        if gain > fit.get(c, 0.0):
+                            fit[c] = gain
+        out: dict[tuple, Channel] = {}
+        for c in sorted(fit, key=lambda c: (len(c), -fit[c])):
+            out.setdefault(tuple([self.channels.read(u, c) if LOST not in u else None for u in all_units]), c)
+        return {c: list(x) for x, c in out.items()}
+
+    def learn(self, fields: list[tuple]) -> None:
+        """Judges tokens, and learns the letter scores of the readings, of many fields at once."""
+        values = [v for _, some, _ in fields for _, v in some]
+        self.channels.judge(values)
+        words: list[str] = []
+        for v in dict.fromkeys(values):
+            if self.channels.in_doubt(v):
+                for u in units(v):
+                    for x in (u, *self.channels.readings(u).values()):
+                        words += PIECE.findall(x.lower())
+        self.letters.learn(words)
+
+    def asks(self, some: list[tuple[int, str]], all_units: list[str]) -> set[str]:
+        """The words whose counts decide."""
+        told = self.of_field(some, all_units)
+        texts = {u for u in all_units if LOST not in u}
+        if told or any(LOST in u or ASKED.search(u) for u in all_units):
+            texts.update(x for row in told.values() for x in row if x)
+        else:
+            return set()
+        out = {p for x in texts for p in PIECE.findall(x.lower()) if len(p) > 1 or p.isalpha()}
+        for u in all_units:
+            out.update(m[0].lower() for m in CORE.finditer(u if LOST in u else ASKED.sub(lambda m: LOST * len(m[0]), u)) if LOST in m[0])
+        return out
+
+    # scores
+
+    def score(self, text: str, own: bool) -> float:
+        """The logarithm of a text's probability; `own`: as it stands in the field, which doesn't count as evidence."""
+        key = (text, own)
+        if key in self._scores:
+            return self._scores[key]
+        s = CAPITAL_WITHIN * len(CAMEL.findall(text))
+        for p in PIECE.findall(text.lower()):
+            if p.isdecimal() and p.isascii():
+                continue
+            if len(p) == 1 and not p.isalpha():
+                s += self.letters.of_char(p, own)
+            elif _unspaced().match(p):
+                s += self.letters.of_word(p)
+            else:
+                n = max(0, self.counts.get(p, 0) - own)
+                s += float(np.logaddexp(-1.2 + self.letters.of_word(p), np.log(0.7 * n / self.letters.n_pieces) if n else -np.inf))
+        if len(self._scores) > 300_000:
+            self._scores.clear()
+        self._scores[key] = s
+        return s
+
+    def gain(self, unit: str, reading: str | None, utf8: bool) -> float:
+        """What a reading is likelier than the unit; a letter by itself, as of initials, says little about a pair of encodings."""
+        if reading is None:
+            return -np.inf
+        if reading == unit:
+            return 0.0
+        g = self.score(reading, False) - self.score(unit, True)
+        return g if utf8 or g <= 1 or not ONE_LETTER.match(unit) else 1.0
+
+    def lost(self, unit: str) -> str | None:
+        """The best reading of a unit that lost bytes: the words that look so, else of what its lattices give the likeliest."""
+        shown = unit if LOST in unit else ASKED.sub(lambda m: LOST * len(m[0]), unit)
+        by_words = CORE.sub(lambda m: like(m[0], self.meant[m[0].lower()]) if LOST in m[0] and m[0].lower() in self.meant else m[0], shown)
+        if LOST not in by_words:
+            return by_words
+        return max((like(unit, x) for x in self.lattices.readings(unit)), key=lambda x: self.score(x, False), default=None) if LOST in unit else None
+
+    def decode(self, text: str, is_html: bool, parsed: tuple) -> tuple[str, bool]:
+        """The field restored, and whether it is a case."""
+        parts, some, all_units = parsed
+        told = self.of_field(some, all_units)
+        chosen: list[str] = list(all_units)
+        case = any(GONE.search(u) for u in all_units)
+        for i, u in enumerate(all_units):
+            if LOST in u or (u.isascii() and ASKED.search(u)):
+                got = self.lost(u)
+                if got is not None and (LOST in u or self.score(got, False) - self.score(u, True) > ENTER_OTHER):
+                    chosen[i], case = got, True
+        if told:
+            names = list(told)
+            self.letters.learn([p for row in told.values() for x in row if x for p in PIECE.findall(x.lower())])
+            enter = np.array([(ENTER_UTF8 + ENTER_AGAIN * (len(c) - 2)) if c[-1] == "utf-8" else ENTER_OTHER for c in names])
+            gains = np.array([[self.gain(u, x, c[-1] == "utf-8") for x, u in zip(told[c], all_units, strict=True)] for c in names])
+            for i, k in enumerate(passages(gains, enter)):
+                if k >= 0 and (x := told[names[k]][i]) != all_units[i] and gains[k, i] > 0:
+                    chosen[i], case = x, True
+        if chosen == all_units:
+            return text, case
+        parts, at = list(parts), 0
+        for i, v in some:
+            n = len(units(v))
+            if chosen[at : at + n] != all_units[at : at + n]:
+                got = "".join(chosen[at : at + n])
+                parts[i] = html.escape(got, quote=False) if is_html else got
+            at += n
+        return "".join(parts), case
+
+
+def passages(gains: np.ndarray, enter: np.ndarray) -> list[int]:
+    """Viterbi search over units: the channel of each, or -1. Leaving a channel is free, entering costs."""
+    inside = np.full(len(enter), -np.inf)
+    outside, back = 0.0, []
+    for g in gains.T:
+        k = int(inside.argmax())
+        best, came = (inside[k], k) if inside[k] > outside else (outside, -1)
+        stays = inside >= best - enter
+        back.append((came, stays))
+        inside = np.where(stays, inside, best - enter) + g
+        outside = best
+    k = int(inside.argmax())
+    state = k if inside[k] > outside else -1
+    out = []
+    for came, stays in reversed(back):
+        out.append(state)
+        if state < 0 or not stays[state]:
+            state = came
+    return out[::-1]
 
-        return KEPT_RUN.sub(one, word)
 
-    def learn(self, words: list[str]) -> None:
-        """Judges words not judged yet, all at once."""
-        new = [w for w in dict.fromkeys(words) if w not in self.known and KEPT.search(w)]
-        if len(self.known) > 400_000:
-            self.known.clear()
-        least = self.corpus.least(new) if new else []
-        doubtful = []
-        for w, p in zip(new, least, strict=True):
-            if p > DOUBT and not ODD.search(w):
-                self.known[w] = (w, False)
-            else:
-                doubtful.append(w)
-        now, hit, live = {w: w for w in doubtful}, dict.fromkeys(doubtful, False), doubtful
-        for _ in range(ROUNDS):
-            todo = [w for w in live if KEPT.search(now[w])]
-            flat = [(w, got, utf8) for w in todo for got, utf8 in self.readings(now[w], not hit[w])]
-            base = dict(zip(todo, self.corpus.logs([now[w] for w in todo]).tolist(), strict=True))
-            best: dict[str, tuple[bool, float, str]] = {}
-            for (w, got, utf8), s in zip(flat, self.corpus.logs([g for _, g, _ in flat]).tolist(), strict=True):
-                gain = s - base[w] - (MARGIN_UTF8 if utf8 else MARGIN)
-                # what reads as UTF-8 by chance is rare, so such a reading goes before others
-                if gain > 0 and (utf8, gain) > best.get(w, (False, 0.0))[:2]:
-                    best[w] = (utf8, gain, got)
-            for w, (_, _, got) in best.items():
-                now[w], hit[w] = got, True
-            live = list(best)
-            if not live:
-                break
-        for w in doubtful:
-            self.known[w] = (now[w], hit[w] or bool(LETTERS_LOST.search(w)))
-
-    def text(self, text: str) -> tuple[str, bool]:
-        """The text restored, and whether it is a case. Call learn() with its tokens before."""
-        out, at, case = [], 0, False
-        for m in SPACE.finditer(text + " "):
-            w = text[at : m.start()]
-            got, found = self.known.get(w, (w, False))
-            case = case or found
-            out += (got, text[m.start() : m.end()])
-            at = m.end()
-        return "".join(out), case
+# --- frames
 
 
 def fields(pages: DataFrame) -> DataFrame:
@@ -417,25 +728,80 @@ def fields(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.explode(both).alias("_f")).select("page_id", "_f.*").filter(F.length("text") > 0)
 
 
-def restore(texts: DataFrame, corpus: Corpus | None = None) -> DataFrame:
-    """The frame, which has (text, is_html), with restored (tags and entities of HTML resolved) and is_case."""
-    texts = texts.drop("restored", "is_case")
-    corpus = corpus_statistics(texts.select("text", "is_html")) if corpus is None else corpus
-    told = texts.sparkSession.sparkContext.broadcast(corpus)
-    schema = T.StructType([*texts.schema.fields, T.StructField("restored", T.StringType()), T.StructField("is_case", T.BooleanType())])
-    names = schema.names
+def _marked(rows: DataFrame, letters: Letters) -> DataFrame:
+    """The rows, (row, text, is_html), with `doubt`: whether a token is in doubt."""
+    told = rows.sparkSession.sparkContext.broadcast(letters)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(told.value)
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        channels = Channels(told.value)
+        for batch in slices(batches, "text"):
+            codes, distinct, offsets = tokens_of(batch)
+            channels.judge(distinct)
+            hit = np.array([channels.in_doubt(t) for t in distinct], np.int64)
+            doubt = by_row(np.add, hit[codes], offsets) > 0 if len(codes) else np.zeros(batch.num_rows, bool)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(doubt)], [*batch.schema.names, "doubt"])
+
+    return rows.mapInArrow(mark, T.StructType([*rows.schema.fields, T.StructField("doubt", T.BooleanType())]))
+
+
+def _decoded(rows: DataFrame, counts: DataFrame, letters: Letters) -> DataFrame:
+    """The rows in doubt, (row, text, is_html), with restored and is_case."""
+    known = rows.sparkSession.sparkContext.broadcast(letters)
+    schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("restored", T.StringType()), T.StructField("is_case", T.BooleanType())])
+
+    def parsed(decoder: Decoder, batch: pa.RecordBatch) -> list[tuple]:
+        out = [decoder.parse(t or "", bool(h)) for t, h in zip(batch.column("text").to_pylist(), batch.column("is_html").to_pylist(), strict=True)]
+        decoder.learn(out)
+        return out
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(known.value)
         for batch in slices(batches, "text", 1_000_000):
-            texts = [plain(t or "", h) for t, h in zip(batch.column("text").to_pylist(), batch.column("is_html").to_pylist(), strict=True)]
-            restorer.learn([w for t in texts if not t.isascii() for w in tokens(t)])
-            done = [restorer.text(t) if not t.isascii() else (t, False) for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in done], pa.string()), pa.array([x for _, x in done])], names)
+            pairs = {(b, w) for b, (_, some, all_units) in zip(batch.column("bucket").to_pylist(), parsed(decoder, batch), strict=True) for w in decoder.asks(some, all_units)}
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in pairs], pa.int32()), pa.array([w for _, w in pairs], pa.string())], ["bucket", "word"])
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder, at = Decoder(known.value), None
+        for whole in slices(batches, "text", 1_000_000):
+            is_told = whole.column("told").to_numpy(zero_copy_only=False)
+            buckets = whole.column("bucket").to_numpy()
+            edges = [0, *(np.flatnonzero((buckets[1:] != buckets[:-1]) | (is_told[1:] != is_told[:-1])) + 1), len(buckets)]
+            for a, b in itertools.pairwise(edges):
+                batch = whole.slice(a, b - a)
+                if buckets[a] != at:
+                    at = buckets[a]
+                    decoder.forget()
+                if is_told[a]:
+                    for w, m, n in zip(*(batch.column(c).to_pylist() for c in ("word", "meant", "n")), strict=True):
+                        decoder.told(w, m, n)
+                    continue
+                texts = batch.column("text").to_pylist()
+                done = [decoder.decode(t, bool(h), p) for t, h, p in zip(texts, batch.column("is_html").to_pylist(), parsed(decoder, batch), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array([x for x, _ in done], pa.string()), pa.array([x for _, x in done])], schema.names)
+
+    return informed(in_buckets(rows), ask, counts).mapInArrow(decode, schema)
+
+
+def restored_cases(texts: DataFrame) -> DataFrame:
+    """The rows of the frame, which has (text, is_html), that are cases, with `restored` after its own columns."""
+    own = [c for c in texts.columns if c.lower() not in ("restored", "is_case")]
+    rows = texts.select(F.struct(*own).alias("row"), "text", "is_html")
+    counts, letters = statistics(texts)
+    found = _decoded(_marked(rows, letters).filter("doubt").drop("doubt"), counts, letters).filter("is_case")
+    return found.select("row.*", "restored")
+
 
-    return texts.mapInArrow(run, schema)
+def restore(texts: DataFrame) -> DataFrame:
+    """The frame, which has (text, is_html), with restored and is_case; markup of HTML stays."""
+    own = [c for c in texts.columns if c.lower() not in ("restored", "is_case")]
+    rows = texts.select(F.struct(*own).alias("row"), "text", "is_html")
+    counts, letters = statistics(texts)
+    marked = cut(_marked(rows, letters))
+    done = _decoded(marked.filter("doubt").drop("doubt"), counts, letters).select("row", "restored", "is_case")
+    rest = marked.filter("NOT doubt").select("row", F.col("text").alias("restored"), F.lit(False).alias("is_case"))
+    return done.unionByName(rest).select("row.*", "restored", "is_case")
 
 
 def garbled_fields(pages: DataFrame) -> DataFrame:
     """(page_id, field), distinct: fields with a passage decoded with a wrong encoding."""
-    return restore(fields(pages)).filter("is_case").select("page_id", "field").distinct()
+    return restored_cases(fields(pages)).select("page_id", "field").distinct()

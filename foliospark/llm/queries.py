@@ -16,8 +16,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_restored(s: SparkSession, d: str) -> DataFrame:
-    """The restored fields."""
-    return encoding.restore(encoding.fields(t(s, d, "source_pages").dropDuplicates(["page_id"]))).filter("is_case").select("page_id", "field", "restored")
+    """The restored fields, of HTML with its markup; a page's repeated rows count once where they are equal."""
+    return encoding.restored_cases(encoding.fields(t(s, d, "source_pages"))).select("page_id", "field", "restored").distinct()
 
 
 def p2_lines(s: SparkSession, d: str) -> DataFrame:

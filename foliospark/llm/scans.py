@@ -16,6 +16,7 @@ corrections go to the first; other columns pass through.
 from __future__ import annotations
 
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.arrow import dense_tables, slices, words_of
-from foliospark.llm.encoding import BITS, Corpus, gram_slots, word_slots
+from foliospark.llm.arrow import by_row, dense_tables, slices, words_of
+from foliospark.llm.encoding import BITS, gram_slots
 from foliospark.llm.lookalikes import ALIKE
 
 PAGE_HEIGHT, BAND, MIN_PAGES, MIN_LETTERS = 2339, 0.09, 3, 3
@@ -70,6 +71,45 @@ def plain_word(token: str) -> str:
     return EDGE.sub("", token)
 
 
+def word_slots(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    raw = [w.encode("utf-8", "surrogatepass") for w in words]
+    mask = (1 << BITS) - 1
+    return np.array([zlib.crc32(x) & mask for x in raw], np.int64), np.array([zlib.adler32(x[::-1]) * 2654435761 >> 9 & mask for x in raw], np.int64)
+
+
+class Corpus:
+    """Hashed counts of letter trigrams, pairs and letters, and of words."""
+
+    def __init__(self, grams: np.ndarray, words: np.ndarray, letters: str) -> None:
+        self.grams, self.words = grams, words
+        self.n_letters = max(1.0, float(self.grams[0].sum()))
+        self.n_words = max(1.0, float(self.words[0].sum()))
+
+    def word_counts(self, words: list[str]) -> np.ndarray:
+        a, b = word_slots(words)
+        return np.minimum(self.words[0][a], self.words[1][b])
+
+    def _spelled(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        one, two, three, offsets = gram_slots(words)
+        n1, n2, n3 = (self.grams[k][s] for k, s in enumerate((one, two, three)))
+        p1 = (n1 + 0.02) / (self.n_letters + 0.02 * 60_000)
+        p2 = (n2 + 3 * p1) / (self.grams[0][np.roll(one, 1)] + 3)
+        p3 = (n3 + 2 * p2) / (self.grams[1][np.roll(two, 1)] + 2)
+        p3[offsets[:-1]] = 1.0  # the padding before a word
+        second = offsets[:-1] + 1
+        p3[second] = p2[second]
+        return np.log(np.minimum(1, p3)), offsets
+
+    def logs(self, words: list[str]) -> np.ndarray:
+        if not words:
+            return np.zeros(0)
+        p, offsets = self._spelled(words)
+        return np.logaddexp(np.log(0.3) + by_row(np.add, p, offsets), np.log(0.7) + np.log(np.maximum(self.word_counts(words).astype(float) / self.n_words, 1e-300)))
+
+    def spelled(self, words: list[str]) -> np.ndarray:
+        return by_row(np.add, *self._spelled(words)) if words else np.zeros(0)
+
+
 def in_band() -> Column:
     return F.coalesce((F.col("y1") <= PAGE_HEIGHT * BAND) | (F.col("y0") >= PAGE_HEIGHT * (1 - BAND)), F.lit(False))
 

@@ -1,3 +1,4 @@
+import itertools
 import os
 import random
 
@@ -39,22 +40,53 @@ def test_encodings_restored(spark):
     pages = spark.createDataFrame(rows + rows[60:62], PAGE)
     found = encoding.garbled_fields(pages).collect()
     assert {r.page_id for r in found} == {*(1000 + i for i in range(len(DAMAGED))), 2003} and len(found) == len(DAMAGED) + 1
-    fixed = {r.page_id: r.restored for r in encoding.restore(encoding.fields(pages)).filter("is_case").collect()}
-    right = [fixed[1000 + i] == f"Hier {t} dort" for i, (t, _, _) in enumerate(DAMAGED)]
-    assert sum(right) >= len(DAMAGED) - 1, fixed
+    fixed = {r.page_id: r.restored for r in encoding.restored_cases(encoding.fields(pages)).collect()}
+    assert [fixed[1000 + i] for i in range(len(DAMAGED))] == [f"Hier {t} dort" for t, _, _ in DAMAGED]
     assert encoding.garbled_fields(pages.limit(0)).count() == 0
 
 
+def _letters(words):
+    grams = np.zeros((3, 1 << encoding.BITS))
+    for k, slots in enumerate(encoding.gram_slots(words)[:3]):
+        np.add.at(grams[k], slots, 50)
+    return encoding.Letters(grams, {c: 50 for w in words for c in w}, 50.0 * len(words))
+
+
 def test_lost_bytes():
-    one = ["Mühle", "über", "für", "Körbe"]
-    grams, words = np.zeros((3, 1 << encoding.BITS)), np.zeros((2, 1 << encoding.BITS))
-    for k, s in enumerate(encoding.gram_slots(one)[:3]):
-        np.add.at(grams[k], s, 50)
-    for k, s in enumerate(encoding.word_slots(one)):
-        np.add.at(words[k], s, 50)
-    corpus = encoding.Corpus(grams, words, "".join(sorted(set("".join(one)))))
-    assert corpus.viterbi([*b"M", 0xC3, None, *b"hle"], "utf-8") == "Mühle"
-    assert corpus.viterbi([0x41, 0xFF], "utf-8") is None
+    lattices = encoding.Lattices(_letters(["mühle", "über", "für", "körbe"]))
+    assert "mühle" in lattices.readings("m��hle") and "mühle" in lattices.readings("m�hle")
+    assert not lattices.readings("��") and not lattices.readings("m" + "�" * 9 + "hle")
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("müh"), min_size=1, max_size=5), st.data())
+def test_best_path_is_the_best_of_all(word, data):
+    letters = _letters(["mühle", "hüm", "mmh", "üh"])
+    edges = [[(1, np.array(sorted({ord(c), *data.draw(st.lists(st.sampled_from([ord(x) for x in "mühle"]), max_size=3))})))] for c in word]
+
+    def total(path):
+        p = [2, 2, *path, 3]
+        return sum(float(letters.step(*(np.array([x]) for x in p[i : i + 3]))[0]) for i in range(len(p) - 2))
+
+    best = max(total(path) for path in itertools.product(*(e[0][1].tolist() for e in edges)))
+    assert total([ord(c) for c in encoding.best_path(letters, edges)]) == pytest.approx(best)
+
+
+def test_one_channel_for_a_passage():
+    enter = np.array([8.0, 2.0])
+    gains = np.array([[5, 5, -1, 5, -np.inf, -9], [3, -np.inf, 0, 0, 0, 0]], float)
+    assert encoding.passages(gains, enter) == [0, 0, 0, 0, -1, -1]
+    assert encoding.passages(gains[:, :1], enter) == [1]
+
+
+def test_markup_is_kept(spark):
+    rows = [(i, 1, i, t, None, "a", "b") for i, t in enumerate(PROSE)]
+    rows += [(1000, 1, 0, None, "<p class='Ã¼'>Die <b>M&Atilde;&frac14;hle</b> &amp; die BrÃ¼cke</p>", "a", "b")]
+    rows += [(1001, 1, 0, "Die Br�cke f�r die M�hle", None, "a", "b"), (1002, 1, 0, "page?id=1 or what?so", None, None, None)]
+    got = {r.page_id: (r.restored, r.is_case) for r in encoding.restore(encoding.fields(spark.createDataFrame(rows, PAGE))).collect()}
+    assert got[1000] == ("<p class='Ã¼'>Die <b>Mühle</b> &amp; die Brücke</p>", True)
+    assert got[1001] == ("Die Brücke für die Mühle", True) and not got[1002][1]
+    assert len(got) == len(rows) and not any(c for i, (_, c) in got.items() if i < 1000)
 
 
 # --- 2
