@@ -20,8 +20,8 @@ left, or over eight are lost in a row, no reading is tried; repeated rows give o
 from __future__ import annotations
 
 import html
-import itertools
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -48,7 +48,11 @@ ENTER_UTF8, ENTER_OTHER, ENTER_AGAIN, ROUNDS = 1.5, 8.0, 1.0, 3
 IMPOSSIBLE, CAPITAL_WITHIN = -40.0, -4.0
 #: The least logarithm of a letter's probability after two others that raises no doubt about a word.
 DOUBT = -8.5
+#: The same for a sign, among all pieces of text, and for letters of scripts without spaces, as a run of them has many.
+DOUBT_SIGN = -10.5
 MOST_LOST = 8
+#: A reading likelier than its unit by so much, by letters alone, leaves no question; channels behind the best by more aren't tried.
+EXPLAINED = 10.0
 LOST = "�"
 UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}ー々〆"
 OWN = UNSPACED + r"\p{Devanagari}\p{Arabic}\p{Hangul}、。「」『』，！？：；（）・"
@@ -108,13 +112,16 @@ def _to_letters(name: str) -> dict[int, str]:
     return {b: c for b, c in enumerate(narrow(name)) if ord(c) != b}
 
 
+def _may_be(text: str, used: tuple[str, ...]) -> list[str]:
+    """The encodings, of those, that have all characters of the text."""
+    beyond = {ord(c) for c in set(text) if c >= "\x80"}
+    return [u for u in used if u in WIDE or _to_bytes(u).keys() >= beyond]
+
+
 def raw_of(text: str, used: str) -> bytes | None:
     """The text's bytes in the encoding that was used; None if it can't be from there."""
-    if used not in WIDE:
-        table = _to_bytes(used)
-        return text.translate(table).encode("latin-1") if table.keys() >= {ord(c) for c in set(text) if c >= "\x80"} else None
     try:
-        return text.encode(used)
+        return text.encode(used) if used in WIDE else text.translate(_to_bytes(used)).encode("latin-1")
     except UnicodeEncodeError:
         return None
 
@@ -198,7 +205,7 @@ class Letters:
         self.grams, self.chars, self.n_pieces = grams, chars, max(1.0, n_pieces)
         self.n_letters = max(1.0, float(grams[0].sum()))
         self._kept: dict[str, float] = {}
-        self._by_script: dict[int, list[str]] = {}
+        self._first: dict[str, float] = {}
 
     def known(self, text: str) -> bool:
         return all(c < "\x80" or c in self.chars for c in text.lower())
@@ -208,8 +215,8 @@ class Letters:
         one, two, three, offsets = gram_slots(words)
         n1, n2, n3 = (self.grams[k][s] for k, s in enumerate((one, two, three)))
         p1 = (n1 + 0.02) / (self.n_letters + 0.02 * 60_000)
-        p2 = (n2 + 3 * p1) / (self.grams[0][np.roll(one, 1)] + 3)
-        p3 = (n3 + 2 * p2) / (self.grams[1][np.roll(two, 1)] + 2)
+        p2 = (n2 + 3 * p1) / (np.append(n1[-1:], n1[:-1]) + 3)
+        p3 = (n3 + 2 * p2) / (np.append(n2[-1:], n2[:-1]) + 2)
         p3[offsets[:-1]] = 1.0  # the padding before a word
         second = offsets[:-1] + 1
         p3[second] = p2[second]
@@ -225,9 +232,11 @@ class Letters:
             self._kept.update(zip(new, by_row(np.add, *self.spelled(new)).tolist(), strict=True))
 
     def of_word(self, word: str) -> float:
-        if word not in self._kept:
+        got = self._kept.get(word)
+        if got is None:
             self.learn([word])
-        return self._kept[word]
+            got = self._kept[word]
+        return got
 
     def of_char(self, c: str, own: int = 0) -> float:
         if GONE.match(c):
@@ -235,8 +244,17 @@ class Letters:
         return float(np.log((max(0, self.chars.get(c, 0) - own) + 0.05) / self.n_pieces))
 
     def least(self, words: list[str]) -> np.ndarray:
-        """The logarithm of each word's least likely letter."""
-        return by_row(np.minimum, *self.spelled(words))
+        """The logarithm of each word's least likely letter; the first one's among first letters of its script, as a script may be rare."""
+        if not self._first:
+            of_script: dict[str, list[str]] = {}
+            for c in {*"abcdefghijklmnopqrstuvwxyz", *(c for c in self.chars if c.isalpha())}:
+                of_script.setdefault(_script(c), []).append(c)
+            for letters in of_script.values():
+                n = self.grams[1][_hashes(np.full(len(letters), 2, np.uint64), np.array([ord(c) for c in letters], np.uint64))] + 0.02
+                self._first |= dict(zip(letters, np.log(n / n.sum()).tolist(), strict=True))
+        p, offsets = self.spelled(words)
+        p[offsets[:-1] + 1] = [self._first.get(w[0], IMPOSSIBLE) for w in words]
+        return by_row(np.minimum, p, offsets)
 
     def step(self, before: np.ndarray, last: np.ndarray, c: np.ndarray) -> np.ndarray:
         """The logarithm of each letter's probability after the two before, as code points."""
@@ -247,6 +265,11 @@ class Letters:
         return np.log(np.minimum(1, np.where(before == 2, np.where(last == 2, p2, p3), p3)))
 
 
+@lru_cache(20_000)
+def _script(c: str) -> str:
+    return unicodedata.name(c, "").split(" ")[0]
+
+
 def plain_column(batch: pa.RecordBatch) -> pa.Array:
     """The batch's texts, of HTML without its markup."""
     text = pc.fill_null(batch.column("text"), "")
@@ -388,17 +411,17 @@ class Channels:
             if v.isascii():
                 self._doubt[t] = bool(ASKED.search(v))
                 continue
-            self._doubt[t] = bool(ODD.search(v) or CAMEL.search(v))
+            self._doubt[t] = bool(ODD.search(v) or CAMEL.search(v) or utf8_shaped().search(v))
             for p in () if self._doubt[t] else PIECE.findall(v.lower()):
                 if len(p) == 1 and not p.isalpha():
-                    if p >= "\x80" and self.letters.of_char(p) < DOUBT:
+                    if p >= "\x80" and self.letters.of_char(p) < DOUBT_SIGN:
                         self._doubt[t] = True
                 elif not p.isascii():
                     words.append(p)
                     where.append(t)
         if words:
-            for t, x in zip(where, self.letters.least(words).tolist(), strict=True):
-                if x <= DOUBT:
+            for t, w, x in zip(where, words, self.letters.least(words).tolist(), strict=True):
+                if x <= (DOUBT_SIGN if _unspaced().match(w) else DOUBT):
                     self._doubt[t] = True
 
     def in_doubt(self, token: str) -> bool:
@@ -429,7 +452,7 @@ class Channels:
         for k in range(ROUNDS):
             step: dict[Channel, str] = {}
             for chain, text in live.items():
-                for used in AGAIN if k else (*USED, *WIDE):
+                for used in _may_be(text, AGAIN if k else (*USED, *WIDE)):
                     got = utf8_of(text, used)
                     if got is None or got == text or (k and got in had):
                         continue
@@ -443,10 +466,8 @@ class Channels:
 
     def _in_pairs(self, unit: str) -> dict[Channel, str]:
         out: dict[Channel, str] = {}
-        for used in USED:
-            raw = raw_of(unit, used)
-            if raw is None:
-                continue
+        for used in _may_be(unit, USED):
+            raw = unit.translate(_to_bytes(used)).encode("latin-1")
             for right in WIDE:
                 got = as_read(raw, right)
                 if got and len(got) < len(unit) and WIDE_LETTER.search(got) and not HALF_WIDTH.search(got) and self.letters.known(got):
@@ -460,20 +481,25 @@ class Channels:
         return self.letters.known(text) and not ODD.search(text) and sum(bool(a.search(text)) for a in ALPHABETS) <= 1
 
 
-def best_path(letters: Letters, edges: list[list[tuple[int, np.ndarray]]]) -> str | None:
-    """Viterbi search over a lattice: edges[i] has the steps from place i, (how many places, code points that fit). States are the last two letters; none is left out."""
+def best_path(letters: Letters, edges: list[list[tuple[int, np.ndarray]]], after: tuple[int, int] = (2, 2), to_end: bool = True) -> str | None:
+    """Viterbi search over a lattice: edges[i] has the steps from place i, (how many places, code points that fit). States are the last two letters; none is left out.
+
+    `after` are the two letters before it, 2 for none; to_end: the lattice goes to the word's end.
+    """
     ends: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(len(edges) + 1)]
-    ends[0].append((np.array([2]), np.array([2]), np.zeros(1), np.array([-1]), np.array([-1])))
+    ends[0].append((np.array([after[0]]), np.array([after[1]]), np.zeros(1), np.array([-1]), np.array([-1])))
     kept: list[tuple[np.ndarray, ...] | None] = [None] * (len(edges) + 1)
     for i in range(len(edges) + 1):
         if not ends[i]:
             continue
         before, last, score, place, row = (np.concatenate(x) for x in zip(*ends[i], strict=True))
-        if i == len(edges):
+        if i == len(edges) and to_end:
             score = score + letters.step(before, last, np.full(len(last), 3))
-        order = np.argsort(-score, kind="stable")
-        order = order[np.unique(before[order] << 21 | last[order], return_index=True)[1]]
-        kept[i] = before, last, score, place, row = before[order], last[order], score[order], place[order], row[order]
+        if len(last) > 1:
+            order = np.argsort(-score, kind="stable")
+            order = order[np.unique(before[order] << 21 | last[order], return_index=True)[1]]
+            before, last, score, place, row = before[order], last[order], score[order], place[order], row[order]
+        kept[i] = before, last, score, place, row
         for n, points in edges[i] if i < len(edges) else ():
             if len(points) and i + n <= len(edges):
                 m = len(points)
@@ -507,7 +533,7 @@ class Lattices:
             if len(self._forms) > 20_000:
                 self._forms.clear()
             fits = [c for c in self._all if len(b := c.encode()) == len(pattern) and all(p is None or p == x for p, x in zip(pattern, b, strict=True))]
-            self._forms[key] = np.array([ord(c) for c in fits if script < 0 or not c.isalpha() or ALPHABETS[script].match(c)], np.int64)
+            self._forms[key] = np.array([ord(c) for c in fits if ALPHABETS[script].match(c) or (script < 0 if c.isalpha() else unicodedata.category(c)[0] != "M")], np.int64)
         return self._forms[key]
 
     def readings(self, unit: str) -> list[str]:
@@ -528,13 +554,20 @@ class Lattices:
         if raw is not None and lost <= 2 * left:
             cells = [None if c == LOST else b for c, b in zip(low, raw, strict=True)]
             edges = [[(n, self._fit(tuple(cells[i : i + n]), script)) for n in (2, 3)] if b is None or b >= 0x80 else [(1, np.array([b]))] for i, b in enumerate(cells)]
-            if got := best_path(self.letters, edges):
+            if got := self._within(low, [i for i, b in enumerate(cells) if b is None or b >= 0x80], edges):
                 yield got
         if left and lost <= left and script >= 0:
             some = np.array([ord(c) for c in self._all if ALPHABETS[script].match(c)], np.int64)
-            if got := best_path(self.letters, [[(1, some if c == LOST else np.array([ord(c)]))] for c in low]):
+            if got := self._within(low, [i for i, c in enumerate(low) if c == LOST], [[(1, some if c == LOST else np.array([ord(c)]))] for c in low]):
                 yield got
 
+    def _within(self, low: str, open_: list[int], edges: list[list[tuple[int, np.ndarray]]]) -> str | None:
+        """The best path where only the places in open_ are open. Letters further than two from these are as they are and say nothing about them."""
+        a, b = open_[0], min(len(low), open_[-1] + 3)
+        before = f"\x02\x02{low[:a]}"[-2:]
+        got = best_path(self.letters, edges[a:b], (ord(before[0]), ord(before[1])), b == len(low))
+        return None if got is None else low[:a] + got + low[b:]
+
 
 CORE = regex.compile(rf"[\p{{L}}\p{{M}}{LOST}][\p{{L}}\p{{M}}{LOST}'’]*")
 LOSSY: Channel = ("lost",)
@@ -585,46 +618,64 @@ class Decoder:
                 some.append((i, v))
         return parts, some, [u for _, v in some for u in units(v)]
 
-    def of_field(self, some: list[tuple[int, str]], all_units: list[str]) -> dict[Channel, list[str | None]]:
-        """Each channel that fits a unit in doubt, with its readings of all units; of channels that read alike one."""
-        fit: dict[Channel, float] = {}
-        for _, v in some:
-            if self.channels.in_doubt(v):
-                for u in units(v):
-                    base = None
-                    for c, x in self.channels.readings(u).items():
-                        base = self.score(u, True) if base is None else base
-                        gain = self.score(x, False) - base
-                        if gain > fit.get(c, 0.0):
-                            fit[c] = gain
+    def judge(self, fields: list[list[tuple[int, str]]]) -> None:
+        """Judges the tokens of many fields at once, and learns the letter scores of units in doubt and of their first readings."""
+        values = list(dict.fromkeys(v for some in fields for _, v in some))
+        self.channels.judge(values)
+        texts: dict[str, None] = dict.fromkeys(u for v in values if self.channels.in_doubt(v) for u in units(v))
+        for some in fields:
+            first = next((u for _, v in some if self.channels.in_doubt(v) for u in units(v)), None)
+            if first is not None:
+                texts |= dict.fromkeys(self.channels.readings(first).values())
+        self.letters.learn([p for x in texts for p in PIECE.findall(x.lower())])
+
+    def search(self, some: list[tuple[int, str]]) -> list[Channel]:
+        """The channels that fit units in doubt, by letters alone. A unit that a channel found before explains asks for no other.
+
+        Of the channels that fit, the likeliest over all these units is taken, with those not far behind; then again for the units that it
+        doesn't fit.
+        """
+        doubt = list(dict.fromkeys(u for _, v in some if self.channels.in_doubt(v) for u in units(v) if LOST not in u and not u.isascii()))
+        gains: dict[Channel, dict[str, float]] = {}
+        for u in doubt:
+            base = self.score(u, True)
+            for c, own in gains.items():
+                x = self.channels.read(u, c)
+                own[u] = self.score(x, False) - base if x is not None and x != u else 0.0
+            if not any(own[u] > EXPLAINED for own in gains.values()):
+                options = self.channels.readings(u)
+                self.letters.learn([p for x in options.values() for p in PIECE.findall(x.lower())])
+                new = [c for c, x in options.items() if self.score(x, False) > base]
+                self.letters.learn([p for v in doubt for c in new if (x := self.channels.read(v, c)) for p in PIECE.findall(x.lower())])
+                for c in new:
+                    gains.setdefault(c, {})[u] = self.score(options[c], False) - base
+        out: dict[Channel, None] = {}
+        left = set(doubt)
+        while left:
+            total = {c: t for c, own in gains.items() if c not in out and (t := sum(g for u, g in own.items() if g > 0 and u in left)) > 0}
+            if not total:
+                break
+            best = max(total, key=total.get)
+            out |= {c: None for c, t in total.items() if t > total[best] - EXPLAINED}
+            left -= {u for u, g in gains[best].items() if g > 0}
+        return list(out)
+
+    def readings(self, channels: list[Channel], all_units: list[str]) -> dict[Channel, tuple]:
+        """The readings of all units by channel; of channels that read alike the first."""
         out: dict[tuple, Channel] = {}
-        for c in sorted(fit, key=lambda c: (len(c), -fit[c])):
-            out.setdefault(tuple([self.channels.read(u, c) if LOST not in u else None for u in all_units]), c)
-        return {c: list(x) for x, c in out.items()}
+        for c in channels:
+            out.setdefault(tuple([None if LOST in u else self.channels.read(u, c) for u in all_units]), c)
+        return {c: x for x, c in out.items()}
 
-    def learn(self, fields: list[tuple]) -> None:
-        """Judges tokens, and learns the letter scores of the readings, of many fields at once."""
-        values = [v for _, some, _ in fields for _, v in some]
-        self.channels.judge(values)
-        words: list[str] = []
-        for v in dict.fromkeys(values):
-            if self.channels.in_doubt(v):
-                for u in units(v):
-                    for x in (u, *self.channels.readings(u).values()):
-                        words += PIECE.findall(x.lower())
-        self.letters.learn(words)
-
-    def asks(self, some: list[tuple[int, str]], all_units: list[str]) -> set[str]:
+    def asks(self, channels: list[Channel], all_units: list[str]) -> set[str]:
         """The words whose counts decide."""
-        told = self.of_field(some, all_units)
-        texts = {u for u in all_units if LOST not in u}
-        if told or any(LOST in u or ASKED.search(u) for u in all_units):
-            texts.update(x for row in told.values() for x in row if x)
-        else:
-            return set()
-        out = {p for x in texts for p in PIECE.findall(x.lower()) if len(p) > 1 or p.isalpha()}
-        for u in all_units:
-            out.update(m[0].lower() for m in CORE.finditer(u if LOST in u else ASKED.sub(lambda m: LOST * len(m[0]), u)) if LOST in m[0])
+        some = [u for u in all_units if LOST in u or (u.isascii() and ASKED.search(u))]
+        texts = {u for u in all_units if LOST not in u} if channels or some else set()
+        texts.update(x for row in self.readings(channels, all_units).values() for x in row if x)
+        out = {p for x in texts for p in PIECE.findall(x.lower()) if p.isalpha()}
+        for u in some:
+            shown = u if LOST in u else ASKED.sub(lambda m: LOST * len(m[0]), u)
+            out.update(m[0].lower() for m in CORE.finditer(shown) if LOST in m[0])
         return out
 
     # scores
@@ -667,10 +718,16 @@ class Decoder:
             return by_words
         return max((like(unit, x) for x in self.lattices.readings(unit)), key=lambda x: self.score(x, False), default=None) if LOST in unit else None
 
-    def decode(self, text: str, is_html: bool, parsed: tuple) -> tuple[str, bool]:
-        """The field restored, and whether it is a case."""
+    def decode(self, fields: list[tuple[str, bool, list[Channel]]]) -> list[tuple[str, bool]]:
+        """The fields, (text, is_html, channels), restored, and whether each is a case."""
+        parsed = [self.parse(t, h) for t, h, _ in fields]
+        told = [self.readings(c, us) for (_, _, c), (_, _, us) in zip(fields, parsed, strict=True)]
+        texts = {x for row in told for xs in row.values() for x in xs if x}.union(u for (_, _, us), row in zip(parsed, told, strict=True) if row for u in us)
+        self.letters.learn([p for x in texts for p in PIECE.findall(x.lower())])
+        return [self._decoded(t, h, p, r) for (t, h, _), p, r in zip(fields, parsed, told, strict=True)]
+
+    def _decoded(self, text: str, is_html: bool, parsed: tuple, told: dict[Channel, tuple]) -> tuple[str, bool]:
         parts, some, all_units = parsed
-        told = self.of_field(some, all_units)
         chosen: list[str] = list(all_units)
         case = any(GONE.search(u) for u in all_units)
         for i, u in enumerate(all_units):
@@ -680,7 +737,6 @@ class Decoder:
                     chosen[i], case = got, True
         if told:
             names = list(told)
-            self.letters.learn([p for row in told.values() for x in row if x for p in PIECE.findall(x.lower())])
             enter = np.array([(ENTER_UTF8 + ENTER_AGAIN * (len(c) - 2)) if c[-1] == "utf-8" else ENTER_OTHER for c in names])
             gains = np.array([[self.gain(u, x, c[-1] == "utf-8") for x, u in zip(told[c], all_units, strict=True)] for c in names])
             for i, k in enumerate(passages(gains, enter)):
@@ -728,58 +784,56 @@ def fields(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.explode(both).alias("_f")).select("page_id", "_f.*").filter(F.length("text") > 0)
 
 
-def _marked(rows: DataFrame, letters: Letters) -> DataFrame:
-    """The rows, (row, text, is_html), with `doubt`: whether a token is in doubt."""
+def _planned(rows: DataFrame, letters: Letters) -> DataFrame:
+    """The rows, (row, text, is_html), with the channels found for them, the words these ask about, and whether anything in them may be a case."""
     told = rows.sparkSession.sparkContext.broadcast(letters)
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        channels = Channels(told.value)
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(told.value)
         for batch in slices(batches, "text"):
             codes, distinct, offsets = tokens_of(batch)
-            channels.judge(distinct)
-            hit = np.array([channels.in_doubt(t) for t in distinct], np.int64)
-            doubt = by_row(np.add, hit[codes], offsets) > 0 if len(codes) else np.zeros(batch.num_rows, bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(doubt)], [*batch.schema.names, "doubt"])
-
-    return rows.mapInArrow(mark, T.StructType([*rows.schema.fields, T.StructField("doubt", T.BooleanType())]))
-
-
-def _decoded(rows: DataFrame, counts: DataFrame, letters: Letters) -> DataFrame:
-    """The rows in doubt, (row, text, is_html), with restored and is_case."""
-    known = rows.sparkSession.sparkContext.broadcast(letters)
-    schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("restored", T.StringType()), T.StructField("is_case", T.BooleanType())])
-
-    def parsed(decoder: Decoder, batch: pa.RecordBatch) -> list[tuple]:
-        out = [decoder.parse(t or "", bool(h)) for t, h in zip(batch.column("text").to_pylist(), batch.column("is_html").to_pylist(), strict=True)]
-        decoder.learn(out)
-        return out
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(known.value)
-        for batch in slices(batches, "text", 1_000_000):
-            pairs = {(b, w) for b, (_, some, all_units) in zip(batch.column("bucket").to_pylist(), parsed(decoder, batch), strict=True) for w in decoder.asks(some, all_units)}
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in pairs], pa.int32()), pa.array([w for _, w in pairs], pa.string())], ["bucket", "word"])
+            decoder.channels.judge([_value(t) for t in distinct])
+            hit = np.array([decoder.channels.in_doubt(_value(t)) for t in distinct], np.int64)
+            doubt = np.flatnonzero(by_row(np.add, hit[codes], offsets)) if len(codes) else []
+            found: list[list[str]] = [[] for _ in range(batch.num_rows)]
+            asks: list[list[str]] = [[] for _ in range(batch.num_rows)]
+            live = np.zeros(batch.num_rows, bool)
+            parsed = {i: decoder.parse(batch.column("text")[i].as_py(), bool(batch.column("is_html")[i].as_py())) for i in doubt}
+            decoder.judge([some for _, some, _ in parsed.values()])
+            for i, (_, some, all_units) in parsed.items():
+                channels = decoder.search(some)
+                asks[i], found[i] = list(decoder.asks(channels, all_units)), [" ".join(c) for c in channels]
+                live[i] = bool(channels or asks[i]) or any(GONE.search(u) for u in all_units)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.string())), pa.array(asks, pa.list_(pa.string())), pa.array(live)], [*batch.schema.names, "channels", "asks", "live"])
+
+    more = [T.StructField("channels", T.ArrayType(T.StringType())), T.StructField("asks", T.ArrayType(T.StringType())), T.StructField("live", T.BooleanType())]
+    return rows.mapInArrow(plan, T.StructType([*rows.schema.fields, *more]))
+
+
+def _decoded(planned: DataFrame, counts: DataFrame, letters: Letters) -> DataFrame:
+    """The live rows of a plan, (row, text), with restored and is_case."""
+    known = planned.sparkSession.sparkContext.broadcast(letters)
+    schema = T.StructType([planned.schema["row"], T.StructField("restored", T.StringType()), T.StructField("is_case", T.BooleanType())])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, at = Decoder(known.value), None
-        for whole in slices(batches, "text", 1_000_000):
-            is_told = whole.column("told").to_numpy(zero_copy_only=False)
-            buckets = whole.column("bucket").to_numpy()
-            edges = [0, *(np.flatnonzero((buckets[1:] != buckets[:-1]) | (is_told[1:] != is_told[:-1])) + 1), len(buckets)]
-            for a, b in itertools.pairwise(edges):
-                batch = whole.slice(a, b - a)
-                if buckets[a] != at:
-                    at = buckets[a]
+        for batch in slices(batches, "text", 1_000_000):
+            rows, done, wait = [], [], []
+            columns = (batch.column(c).to_pylist() for c in ("bucket", "told", "word", "meant", "n", "text", "is_html", "channels"))
+            for i, (bucket, told, word, meant, n, text, is_html, channels) in enumerate(zip(*columns, strict=True)):
+                if bucket != at:
+                    done += decoder.decode(wait)
+                    at, wait = bucket, []
                     decoder.forget()
-                if is_told[a]:
-                    for w, m, n in zip(*(batch.column(c).to_pylist() for c in ("word", "meant", "n")), strict=True):
-                        decoder.told(w, m, n)
-                    continue
-                texts = batch.column("text").to_pylist()
-                done = [decoder.decode(t, bool(h), p) for t, h, p in zip(texts, batch.column("is_html").to_pylist(), parsed(decoder, batch), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array([x for x, _ in done], pa.string()), pa.array([x for _, x in done])], schema.names)
+                if told:
+                    decoder.told(word, meant, n)
+                else:
+                    rows.append(i)
+                    wait.append((text, bool(is_html), [tuple(c.split(" ")) for c in channels]))
+            done += decoder.decode(wait)
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(rows, pa.int64())), pa.array([x for x, _ in done], pa.string()), pa.array([x for _, x in done], pa.bool_())], schema.names)
 
-    return informed(in_buckets(rows), ask, counts).mapInArrow(decode, schema)
+    return informed(in_buckets(planned.filter("live").drop("live")), counts).mapInArrow(decode, schema)
 
 
 def restored_cases(texts: DataFrame) -> DataFrame:
@@ -787,8 +841,7 @@ def restored_cases(texts: DataFrame) -> DataFrame:
     own = [c for c in texts.columns if c.lower() not in ("restored", "is_case")]
     rows = texts.select(F.struct(*own).alias("row"), "text", "is_html")
     counts, letters = statistics(texts)
-    found = _decoded(_marked(rows, letters).filter("doubt").drop("doubt"), counts, letters).filter("is_case")
-    return found.select("row.*", "restored")
+    return _decoded(_planned(rows, letters), counts, letters).filter("is_case").select("row.*", "restored")
 
 
 def restore(texts: DataFrame) -> DataFrame:
@@ -796,10 +849,9 @@ def restore(texts: DataFrame) -> DataFrame:
     own = [c for c in texts.columns if c.lower() not in ("restored", "is_case")]
     rows = texts.select(F.struct(*own).alias("row"), "text", "is_html")
     counts, letters = statistics(texts)
-    marked = cut(_marked(rows, letters))
-    done = _decoded(marked.filter("doubt").drop("doubt"), counts, letters).select("row", "restored", "is_case")
-    rest = marked.filter("NOT doubt").select("row", F.col("text").alias("restored"), F.lit(False).alias("is_case"))
-    return done.unionByName(rest).select("row.*", "restored", "is_case")
+    planned = cut(_planned(rows, letters))
+    rest = planned.filter("NOT live").select("row", F.col("text").alias("restored"), F.lit(False).alias("is_case"))
+    return _decoded(planned, counts, letters).unionByName(rest).select("row.*", "restored", "is_case")
 
 
 def garbled_fields(pages: DataFrame) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +10,6 @@ from foliospark.session import cut
 #: Bytes of text in a bucket, about.
 BUCKET = 1 << 20
 
-Batches = Iterator[pa.RecordBatch]
-
 
 def in_buckets(rows: DataFrame, text: str = "text") -> DataFrame:
     """The rows, written once, with the number of a bucket of about BUCKET bytes of text in the column `bucket`."""
@@ -23,14 +18,12 @@ def in_buckets(rows: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumn("bucket", F.pmod(F.xxhash64(text, F.monotonically_increasing_id()), F.lit(n)).cast("int"))
 
 
-def informed(rows: DataFrame, ask: Callable[[Batches], Batches], counts: DataFrame) -> DataFrame:
-    """The rows by bucket, before each bucket's the counts of the words it asks about, as rows with told = true.
+def informed(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """The rows, which have (bucket, asks), by bucket; before each bucket's the counts of the words it asks about, as rows with told = true.
 
-    `ask` makes (bucket, word) of the rows; `counts` has (word, n) and may have more columns. The result has told, word, counts' columns and
-    the rows' own; partitions hold whole buckets.
+    `counts` has (word, n) and may have more columns. The result has told, counts' columns and the rows' own but asks; partitions hold whole buckets.
     """
-    asked = rows.mapInArrow(ask, "bucket int, word string").distinct()
+    asked = rows.select("bucket", F.explode("asks").alias("word")).distinct()
     told = asked.join(counts, "word").withColumn("told", F.lit(True))
-    both = rows.withColumn("told", F.lit(False)).unionByName(told, allowMissingColumns=True)
+    both = rows.drop("asks").withColumn("told", F.lit(False)).unionByName(told, allowMissingColumns=True)
     return both.repartition("bucket").sortWithinPartitions("bucket", F.desc("told"))
-
