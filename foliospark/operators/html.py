@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -9,82 +10,93 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-SILENT = frozenset(("head", "script", "style", "title", "meta", "link"))
-VOID = frozenset(("meta", "link"))
-BLOCKS = frozenset("p div section article blockquote pre h1 h2 h3 h4 h5 h6 li dd dt td th tr figcaption caption".split())
+# Tags whose content is no text, those of them without an end, and tags that begin and end a block.
+SILENT = ("head", "link", "meta", "script", "style", "title")
+ENDLESS = ("link", "meta")
+BLOCK_TAGS = ("article", "blockquote", "caption", "dd", "div", "dt", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6", "li", "p", "pre", "section", "td", "th", "tr")
+KINDS = {"li": "list", "caption": "caption", "figcaption": "caption"}
 _SPACE = regex.compile(r"\s+")
+_HEADING = regex.compile(r"h([1-6])")
 Piece = tuple[str, str, int, str | None]
+Event = tuple[str, str, dict]
 
 
-def _kind(tag: str | None) -> tuple[str, int]:
-    if tag and len(tag) == 2 and tag[0] == "h":
-        return "heading", int(tag[1])
-    return {"li": ("list", 0), "figcaption": ("caption", 0), "caption": ("caption", 0)}.get(tag or "", ("text", 0))
+class _Seen(HTMLParser):
+    """What the parser meets, as a flat list: "open", "close" or "text", a name or the text, attributes."""
 
-
-class Chapter(HTMLParser):
-    """Collects text until a block begins or ends. void_tags: tags without an end, which silence nothing; with none of them known, an unclosed one silences the rest."""
-
-    def __init__(self, void_tags: bool = True) -> None:
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.void, self.silent, self.open, self.text = VOID if void_tags else frozenset(), 0, [], []
-        self.pieces: list[Piece] = []
-
-    def emit(self, tag: str | None) -> None:
-        text = _SPACE.sub(" ", "".join(self.text)).strip()
-        self.text = []
-        if text:
-            kind, level = _kind(tag)
-            self.pieces.append((kind, text, level, None))
-
-    @property
-    def inner(self) -> str | None:
-        return self.open[-1] if self.open else None
+        self.events: list[Event] = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in SILENT:
-            self.silent += tag not in self.void
-        elif self.silent:
-            return
-        elif tag == "br":
-            self.text.append(" ")
-        elif tag == "img":
-            a = dict(attrs)
-            if a.get("src"):
-                self.emit(self.inner)
-                self.pieces.append(("figure", a.get("alt") or "", 0, a["src"]))
-        elif tag in BLOCKS:
-            self.emit(self.inner)
-            self.open.append(tag)
+        self.events.append(("open", tag, dict(attrs)))
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in SILENT:
-            self.silent = max(0, self.silent - (tag not in self.void))
-        elif not self.silent and tag in BLOCKS:
-            self.emit(tag)
-            if tag in self.open:
-                at = len(self.open) - 1 - self.open[::-1].index(tag)
-                del self.open[at:]
+        self.events.append(("close", tag, {}))
 
     def handle_data(self, data: str) -> None:
-        if not self.silent:
-            self.text.append(data)
+        self.events.append(("text", data, {}))
+
+
+def _heard(events: list[Event], endless: tuple[str, ...]) -> Iterator[Event]:
+    """The events outside silent tags. One that is never closed silences the rest, if it isn't known to be endless."""
+    depth = 0
+    for what, name, attrs in events:
+        if what != "text" and name in SILENT:
+            depth = max(0, depth + {"open": 1, "close": -1}[what] * (name not in endless))
+        elif depth == 0:
+            yield what, name, attrs
+
+
+def _runs(events: Iterator[Event]) -> Iterator[tuple[str, str | None, str | None]]:
+    """(text, tag, image): text up to each boundary of a block with the tag it belongs to, and images, in order.
+
+    Text before an end tag belongs to that tag, other text to the innermost block that is open.
+    """
+    around: list[str] = []
+    run = ""
+    for what, name, attrs in itertools.chain(events, [("close", "", {})]):
+        source = attrs.get("src") if name == "img" else None
+        boundary = name in BLOCK_TAGS or not name
+        if what == "text":
+            run += name
+        elif what == "open" and name == "br":
+            run += " "
+        elif boundary or source:
+            yield run, (name if what == "close" and name else around[-1] if around else None), None
+            run = ""
+            if source:
+                yield attrs.get("alt") or "", None, source
+            elif what == "open":
+                around.append(name)
+            elif name in around:
+                last = max(i for i, x in enumerate(around) if x == name)
+                around = around[:last]
 
 
 def pieces(markup: str | None, void_tags: bool = True) -> list[Piece]:
-    """(type, text, level, image_path) of a chapter; markup that can't be parsed gives its bare text as one piece."""
+    """(type, text, level, image_path) of a chapter; markup that can't be parsed gives its bare text as one piece.
+
+    void_tags: whether tags that never end are known as such.
+    """
     if not markup:
         return []
+    seen = _Seen()
     try:
-        chapter = Chapter(void_tags)
-        chapter.feed(markup)
-        chapter.close()
-        chapter.emit(chapter.inner)
-        return chapter.pieces
-    except Exception:
-        bare = regex.sub(r"(?is)<(head|script|style)\b.*?</\1>|<[^>]+>", " ", markup)
-        text = _SPACE.sub(" ", bare).strip()
-        return [("text", text, 0, None)] if text else []
+        seen.feed(markup)
+        seen.close()
+    except (AssertionError, ValueError, IndexError):  # the parser's own failures
+        bare = regex.sub(r"(?is)<(script|style|head)\b.*?</\1\s*>|<[^>]+>", " ", markup)
+        seen.events = [("text", bare, {})]
+    out: list[Piece] = []
+    for run, tag, image in _runs(_heard(seen.events, ENDLESS if void_tags else ())):
+        text = _SPACE.sub(" ", run).strip()
+        heading = _HEADING.fullmatch(tag or "")
+        if image:
+            out.append(("figure", run, 0, image))
+        elif text:
+            out.append(("heading" if heading else KINDS.get(tag, "text"), text, int(heading[1]) if heading else 0, None))
+    return out
 
 
 def html_elements(pages: DataFrame, void_tags: bool = True) -> DataFrame:
