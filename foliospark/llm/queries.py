@@ -65,8 +65,10 @@ def queries() -> dict[str, Query]:
         "p3_chunks": p3_chunks,
         "p4_found": lambda s, d: language.language_faults(t(s, d, "document_meta"), t(s, d, "blocks"), t(s, d, "source_pages")),
         "p4_documents": p4_documents,
-        "p5_found": lambda s, d: scans.scan_noise(t(s, d, "blocks"), t(s, d, "document_meta")),
-        "p5_repaired": lambda s, d: scans.repaired(t(s, d, "blocks").dropDuplicates(["block_id"]), t(s, d, "document_meta")).select("block_id", "doc_id", "page_index", "block_order", "type", "text"),
+        "p5_found": lambda s, d: scans.scan_noise(t(s, d, "blocks"), t(s, d, "document_meta"), t(s, d, "ocr_pages")),
+        "p5_repaired": lambda s, d: scans.repaired(t(s, d, "blocks").dropDuplicates(["block_id"]), t(s, d, "document_meta"), t(s, d, "ocr_pages")).select("block_id", "doc_id", "page_index", "block_order", "type", "text"),
+        "p5_paragraphs": lambda s, d: scans.paragraphs(t(s, d, "blocks").dropDuplicates(["block_id"]), t(s, d, "document_meta"), t(s, d, "ocr_pages")),
+        "p5_lines": lambda s, d: scans.repaired_lines(t(s, d, "block_lines"), t(s, d, "blocks"), t(s, d, "ocr_pages")),
         "p6_found": lambda s, d: sitelines.site_line_hits(t(s, d, "blocks"), t(s, d, "document_meta")),
         "p6_clean": lambda s, d: sitelines.remove_site_lines(t(s, d, "blocks").dropDuplicates(["block_id"]), t(s, d, "document_meta")).select("block_id", "doc_id", "text"),
         "p6_sources": p6_sources,

@@ -193,6 +193,44 @@ def test_scans(spark):
     assert scans.scan_noise(blocks.limit(0), meta).count() == 0
 
 
+def test_repair_goes_by_tokens(spark):
+    """A correction doesn't reach into other words, capitals stay, and lines are corrected as blocks are."""
+    body = "the man was outbeat by the surveyor and THE SURVEYOR was there when the beat of the drum was heard by the men"
+    rows = [block(i, 1, i % 40, text=body) for i in range(60)] + [block(500, text="tbe man was outbeat"), block(501, text="TBE MAN"), block(502, text="Tbe  man\nwell-kept!"), block(503, kind="caption", text="tbe man"), block(504, text="x"), block(504, text="y")]
+    meta = spark.createDataFrame([(1, "en", "s", "ocr")], META)
+    blocks = spark.createDataFrame(rows, BLOCK)
+    fixed = {(r.block_id, r.text) for r in scans.repaired(blocks, meta).filter("block_id >= 500").collect()}
+    assert fixed == {(500, "the man was outbeat"), (501, "THE MAN"), (502, "The man well-kept!"), (503, "tbe man"), (504, "x"), (504, "y")}
+    lines = spark.createDataFrame([(500, 0, "tbe man"), (501, 0, "TBE MAN"), (503, 0, "tbe man"), (900, 0, "tbe"), (500, 1, None)], "block_id long, line_no int, text string")
+    assert {tuple(r) for r in scans.repaired_lines(lines, blocks).collect()} == {(500, 0, "the man"), (501, 0, "THE MAN"), (503, 0, "tbe man")}
+    assert scans.repaired(blocks.limit(0), meta).count() == 0
+
+
+def test_page_numbers_are_sequences(spark):
+    heads = ["CIVIL", "mild", "Vivid", "LIVID", "did", "Vol. mild"]
+    rows = [block(i, 1, i, y0=2270.0, text=t) for i, t in enumerate(heads)]
+    rows += [block(100 + p, 2, p, y0=2270.0, text=t) for p, t in enumerate(["xi", "xii", "xlii", "xiv", "Page l5", "1S", "l7"])]
+    rows += [block(200 + p, 3, p, y0=50.0, text=f"{p + 30}   Из вернулся" if p % 2 else f"Из вернулся   {p + 30}") for p in range(4)]
+    rows += [block(300, 4, 0, y0=2270.0, text="– 12 –"), block(301, 4, 1, y0=1000.0, text="13"), block(302, 4, 2, y0=None, text="14"), block(303, 4, 3, y0=2270.0, text="第 15 页"), block(304, 4, 4, y0=2270.0, text="xvi")]
+    blocks = spark.createDataFrame(rows, BLOCK)
+    assert sorted(r.block_id for r in scans.page_numbers(blocks).collect()) == [100, 101, 102, 103, 104, 105, 106, 300, 303, 304]
+    got = {tuple(r) for r in scans.furniture(blocks, spark.createDataFrame([(1, "en", "s", "ocr")], META)).collect()}
+    assert {(200 + p, "running_head") for p in range(4)} < got and not {i for i, _ in got} & {*range(6)}
+    tall = spark.createDataFrame([(4, 1, 800, 1090)], "doc_id long, page_index int, width int, height int")
+    assert 301 in {r.block_id for r in scans.page_numbers(blocks, tall).collect()}
+
+
+def test_paragraphs_across_pages(spark):
+    known = "the weaver and the surveyor carried timber over the bridge to the harbour mill"
+    rows = [block(i, 9, i, text=known) for i in range(20)]
+    rows += [(500, 1, 0, 0, "text", 100.0, 300.0, 900.0, 320.0, "the weaver and the sur-\nveyor carried timber over the brid-", "e", "e"), (501, 1, 1, 0, "text", 100.0, 300.0, 900.0, 320.0, "ge to the\nharbour mill.", "e", "e"), (502, 1, 1, 1, "text", 100.0, 2270.0, 900.0, 2290.0, "2", "e", "e")]
+    blocks = spark.createDataFrame(rows, BLOCK).withColumn("level", lookalikes.F.lit(0)).withColumn("html", lookalikes.F.lit(None).cast("string")).withColumn("image_path", lookalikes.F.lit(None).cast("string"))
+    pages = spark.createDataFrame([(d, p, 1654, 2339) for d in (1, 9) for p in range(20)], "doc_id long, page_index int, width int, height int")
+    meta = spark.createDataFrame([(1, "en", "s", "ocr")], META)
+    got = [r.text for r in scans.paragraphs(blocks, meta, pages).filter("doc_id = 1").collect()]
+    assert got == [known + "."]
+
+
 # --- 6
 
 
