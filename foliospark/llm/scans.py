@@ -26,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -203,9 +202,8 @@ def _running_heads(edges: DataFrame, blocks: DataFrame, meta: DataFrame, site_do
 
     A long line that stands at page edges in several documents of a source is a notice of the source, not a title.
     """
-    edges = edges.filter("key <> ''").select("doc_id", "page_index", "block_id", "key")
     once = edges.select("doc_id", "key", "page_index").distinct()
-    groups = once.groupBy("doc_id", "key").agg(F.count("*").alias("pages"))
+    groups = cut(once.groupBy("doc_id", "key").agg(F.count("*").alias("pages")))
     # fuzzy: keys of a document that share a third of their letters at one place may be one title; thirds are joined on, never all pairs.
     # Two widths each, so that keys differing in length by two share one
     widths = F.array_distinct(F.array(F.ceil((F.length("key") - 1) / 3).cast("int"), F.ceil((F.length("key") + 1) / 3).cast("int")))
@@ -219,12 +217,12 @@ def _running_heads(edges: DataFrame, blocks: DataFrame, meta: DataFrame, site_do
     led = by_part.join(heads, ["doc_id", "w", "at", "part"]).filter("head <> key AND levenshtein(head, key) <= greatest(1, length(head) div 6)")
     best = led.groupBy("doc_id", "key").agg(F.min("head").alias("head"))
     merged = groups.join(best, ["doc_id", "key"], "left").withColumn("head", F.coalesce("head", "key"))
-    titled = edges.join(merged.select("doc_id", "key", "head"), ["doc_id", "key"])
+    titled = cut(edges.join(merged.select("doc_id", "key", "head"), ["doc_id", "key"]))
     enough = titled.groupBy("doc_id", "head").agg(F.countDistinct("page_index").alias("pages")).filter(F.col("pages") >= MIN_PAGES)
     sources = meta.filter("source IS NOT NULL").select("doc_id", "source").distinct()
     sized = sources.join(blocks.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("source").agg(F.count("*").alias("docs"))
     notices = groups.filter(F.length("key") >= 12).join(sources, "doc_id").groupBy("source", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= site_docs).join(sized, "source").filter(F.col("n") >= site_share * F.col("docs"))
-    found = titled.join(enough.select("doc_id", "head"), ["doc_id", "head"], "left_semi")
+    found = cut(titled.join(enough.select("doc_id", "head"), ["doc_id", "head"], "left_semi"))
     of_site = found.join(sources, "doc_id").join(notices.select("source", "key"), ["source", "key"], "left_semi").select("block_id")
     return found.select("block_id").distinct().join(of_site.distinct(), "block_id", "left_anti")
 
@@ -232,8 +230,9 @@ def _running_heads(edges: DataFrame, blocks: DataFrame, meta: DataFrame, site_do
 def furniture(blocks: DataFrame, meta: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """(block_id, noise), distinct: running heads and page numbers."""
     edges = cut(_edges(blocks, pages))
-    numbers = _page_numbers(edges)
-    heads = _running_heads(edges.join(numbers, "block_id", "left_anti").select(*edges.columns), blocks, meta)
+    numbers = cut(_page_numbers(edges))
+    lines = edges.filter("key <> ''").select("doc_id", "page_index", "block_id", "key")
+    heads = _running_heads(cut(lines.join(numbers, "block_id", "left_anti")), blocks, meta)
     return heads.withColumn("noise", F.lit("running_head")).unionByName(numbers.withColumn("noise", F.lit("page_number")))
 
 
@@ -252,10 +251,15 @@ def pair_key(a: str, mark: str, b: str) -> str | None:
 
 
 def token_key(token: str) -> str | None:
-    """What a token's judgement goes by: a word's small letters, or a token with signs among its letters; None where there is nothing to judge."""
+    """What a token's judgement goes by: a word's small letters, or a token with signs among its letters; None where there is nothing to judge.
+
+    Scripts without spaces have no words between spaces, so such tokens are neither counted nor judged.
+    """
+    if UNSPACED.search(token):
+        return None
     w = plain_word(token)
     if len(w) >= 3 and PURE_WORD.match(w):
-        return None if MIXED_SCRIPTS.search(w) or UNSPACED.match(w) else w.lower()
+        return None if not w.isascii() and MIXED_SCRIPTS.search(w) else w.lower()
     return w.lower() if MIXED_WORD.match(w) else None
 
 
@@ -314,7 +318,7 @@ class Keys:
         self.of, self.kept = of, {}
 
     def __call__(self, tokens: list[str]) -> list[str | None]:
-        if len(self.kept) > 500_000:
+        if len(self.kept) > 200_000:
             self.kept.clear()
         kept, of = self.kept, self.of
         for t in tokens:
@@ -324,6 +328,8 @@ class Keys:
 
 
 def _counted_word(token: str) -> str | None:
+    if UNSPACED.search(token):
+        return None
     w = plain_word(token).lower()
     return w if COUNTED.match(w) else None
 
@@ -484,13 +490,15 @@ def judgements(counted: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def informed_blocks(blocks: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """The blocks, (row, prose, text), by bucket of about BUCKET bytes, before each bucket's what is judged on its words and pairs, as rows (word, meant).
+    """The blocks, (row, place, prose, text), by bucket of about BUCKET bytes, before each bucket's what is judged on its words and pairs, as rows (word, meant).
 
     vocabulary: (prose, text) of the texts whose words count, if others.
     """
-    size = blocks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // BUCKET))
-    rows = blocks.withColumn("bucket", F.pmod(F.xxhash64("row", "text"), F.lit(n)).cast("int"))
+    size, many = blocks.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    n = max(1, -(-(size or 0) // BUCKET))
+    # blocks with ids near each other go together, as they lie together in files, so that a batch has few buckets
+    near = F.coalesce(F.floor(F.col("place") / max(1, many // n)), F.xxhash64("text"))
+    rows = blocks.select("row", "prose", "text", F.pmod(F.xxhash64(near), F.lit(n)).cast("int").alias("bucket"))
     counted = cut(rows.select("bucket", "prose", "text").mapInArrow(_gather, "bucket int, k int, word string, slot int, n long"))
     basis = counted if vocabulary is None else cut(vocabulary.select(F.lit(0).alias("bucket"), "prose", "text").mapInArrow(_gather, "bucket int, k int, word string, slot int, n long"))
     asked = counted.filter(F.col("k") <= PAIR).select("bucket", "word").distinct()
@@ -556,10 +564,10 @@ def _word_noise(blocks: DataFrame) -> DataFrame:
 
 
 def _to_judge(blocks: DataFrame, pages: DataFrame | None, row: Column) -> DataFrame:
-    """(row, prose, text) of the blocks that hold running text; lines in the bands aren't prose."""
+    """(row, place, prose, text) of the blocks that hold running text; lines in the bands aren't prose."""
     some = blocks.filter((F.length("text") > 0) & ~F.coalesce(F.col("type").isin(*STRUCTURED), F.lit(False)))
-    lines = _in_band(some, pages).select(row.alias("row"), (_prose() & ~F.col("band")).alias("prose"), "text")
-    return some.filter(~_short()).select(row.alias("row"), _prose().alias("prose"), "text").unionByName(lines)
+    lines = _in_band(some, pages).select(row.alias("row"), F.col("block_id").alias("place"), (_prose() & ~F.col("band")).alias("prose"), "text")
+    return some.filter(~_short()).select(row.alias("row"), F.col("block_id").alias("place"), _prose().alias("prose"), "text").unionByName(lines)
 
 
 def scan_noise(blocks: DataFrame, meta: DataFrame, pages: DataFrame | None = None) -> DataFrame:
@@ -639,5 +647,5 @@ def repaired_lines(lines: DataFrame, blocks: DataFrame, pages: DataFrame | None
     """
     judged = cut(_to_judge(blocks.dropDuplicates(["block_id"]), pages, F.col("block_id")))
     rows = lines.filter(F.length("text") > 0).select("block_id", "line_no", "text").distinct()
-    rows = rows.join(judged.select(F.col("row").alias("block_id"), "prose"), "block_id").select(F.struct("block_id", "line_no").alias("row"), "prose", "text")
+    rows = rows.join(judged.select(F.col("row").alias("block_id"), "prose"), "block_id").select(F.struct("block_id", "line_no").alias("row"), F.col("block_id").alias("place"), "prose", "text")
     return _repaired_texts(rows, False, judged).select("row.*", "text")
