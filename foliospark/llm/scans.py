@@ -19,6 +19,7 @@ one that shares a third of its letters in one place, not with every other.
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -43,6 +44,8 @@ PAGE_HEIGHT, BAND, MIN_PAGES, MIN_LETTERS, MIN_RUN = 2339, 0.09, 3, 3, 2
 GAIN, GAIN_FREQUENT = 6.5, 3.0
 #: A word that another is taken for a misreading of must occur so often.
 LEAST_SEEN = 6
+#: So many judgements, of two words each, may be sent to every executor.
+MOST_SENT = 200_000
 #: Longer or broken over lines is no head and no page number.
 EDGE_LENGTH = 200
 PROSE = ("text", "list", "footnote")
@@ -255,7 +258,7 @@ def token_key(token: str) -> str | None:
 
     Scripts without spaces have no words between spaces, so such tokens are neither counted nor judged.
     """
-    if UNSPACED.search(token):
+    if token and max(token) >= "\u0e00" and UNSPACED.search(token):
         return None
     w = plain_word(token)
     if len(w) >= 3 and PURE_WORD.match(w):
@@ -328,7 +331,7 @@ class Keys:
 
 
 def _counted_word(token: str) -> str | None:
-    if UNSPACED.search(token):
+    if token and max(token) >= "\u0e00" and UNSPACED.search(token):
         return None
     w = plain_word(token).lower()
     return w if COUNTED.match(w) else None
@@ -356,7 +359,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = whole.take(pa.array(order))
         buckets = buckets[order]
         edges = [0, *(np.flatnonzero(buckets[1:] != buckets[:-1]) + 1), len(buckets)]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
+        for a, b in itertools.pairwise(edges):
             batch, bucket = whole.slice(a, b - a), int(buckets[a])
             pairs: dict[str, None] = {}
 
@@ -489,9 +492,11 @@ def judgements(counted: DataFrame, asked: DataFrame) -> DataFrame:
     return _judge(undone, letters, schema, pure).unionByName(_judge(signs, letters, schema, mixed)).unionByName(_judge(broken, letters, schema, pairs))
 
 
-def informed_blocks(blocks: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """The blocks, (row, place, prose, text), by bucket of about BUCKET bytes, before each bucket's what is judged on its words and pairs, as rows (word, meant).
+def judged_blocks(blocks: DataFrame, read: Callable[[Iterator[tuple[dict[str, str], pa.RecordBatch]]], Iterator[pa.RecordBatch]], schema: str | T.StructType, vocabulary: DataFrame | None = None, most_sent: int = MOST_SENT) -> DataFrame:
+    """What `read` makes of the blocks, (row, place, prose, text), in batches, each with what is judged on its words and pairs: a dictionary of words and their meanings.
 
+    Judgements are few, as only what is misread or broken has one; up to most_sent, which is checked, they are sent to the executors. Beyond, blocks
+    go in buckets of about BUCKET bytes, each with the judgements on what it holds, by a join. Both ways give the same rows.
     vocabulary: (prose, text) of the texts whose words count, if others.
     """
     size, many = blocks.agg(F.sum(F.octet_length("text")), F.count("*")).first()
@@ -499,22 +504,37 @@ def informed_blocks(blocks: DataFrame, vocabulary: DataFrame | None = None) -> D
     # blocks with ids near each other go together, as they lie together in files, so that a batch has few buckets
     near = F.coalesce(F.floor(F.col("place") / max(1, many // n)), F.xxhash64("text"))
     rows = blocks.select("row", "prose", "text", F.pmod(F.xxhash64(near), F.lit(n)).cast("int").alias("bucket"))
-    counted = cut(rows.select("bucket", "prose", "text").mapInArrow(_gather, "bucket int, k int, word string, slot int, n long"))
-    basis = counted if vocabulary is None else cut(vocabulary.select(F.lit(0).alias("bucket"), "prose", "text").mapInArrow(_gather, "bucket int, k int, word string, slot int, n long"))
+    gathered = "bucket int, k int, word string, slot int, n long"
+    counted = cut(rows.select("bucket", "prose", "text").mapInArrow(_gather, gathered))
+    basis = counted if vocabulary is None else cut(vocabulary.select(F.lit(0).alias("bucket"), "prose", "text").mapInArrow(_gather, gathered))
+    judged = cut(judgements(basis, counted))
+    few = judged.limit(most_sent + 1).toLocalIterator()
+    sent: dict[str, str] | None = {}
+    for r in few:
+        if len(sent) >= most_sent:
+            sent = None
+            break
+        sent[r["word"]] = r["meant"]
+    if sent is not None:
+        told = blocks.sparkSession.sparkContext.broadcast(sent)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from read((told.value, batch) for batch in slices(batches, "text"))
+
+        return rows.mapInArrow(run, schema)
     asked = counted.filter(F.col("k") <= PAIR).select("bucket", "word").distinct()
-    told = asked.join(judgements(basis, counted), "word").select("bucket", "word", "meant").withColumn("told", F.lit(True))
-    both = rows.withColumn("told", F.lit(False)).unionByName(told, allowMissingColumns=True)
-    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return both.repartition(min(n, parts), "bucket").sortWithinPartitions("bucket", F.desc("told"))
+    both = rows.withColumn("told", F.lit(False)).unionByName(asked.join(judged, "word").withColumn("told", F.lit(True)), allowMissingColumns=True)
+    parts = min(n, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return both.repartition(parts, "bucket").sortWithinPartitions("bucket", F.desc("told")).mapInArrow(lambda batches: read(_rows_with_judgements(batches)), schema)
 
 
 def _rows_with_judgements(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, str], pa.RecordBatch]]:
-    """The rows of informed_blocks without the judgements, with these as a dictionary, bucket by bucket."""
+    """The rows of buckets without the judgements, with these as a dictionary, bucket by bucket."""
     at, meant = None, {}
     for whole in slices(batches, "text"):
         buckets, told = whole.column("bucket").to_numpy(), whole.column("told").to_numpy(zero_copy_only=False)
         edges = [0, *(np.flatnonzero((buckets[1:] != buckets[:-1]) | (told[1:] != told[:-1])) + 1), len(buckets)]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
+        for a, b in itertools.pairwise(edges):
             batch = whole.slice(a, b - a)
             if buckets[a] != at:
                 at, meant = buckets[a], {}
@@ -534,12 +554,12 @@ def _joiner(meant: dict[str, str], told: list[bool] | None = None) -> Callable[[
     return join
 
 
-def _word_noise(blocks: DataFrame) -> DataFrame:
+def _word_noise(blocks: DataFrame, most_sent: int) -> DataFrame:
     """(block_id, noise) of rows (row: block_id, prose, text): hyphenation in any running text, misread in paragraphs."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[tuple[dict[str, str], pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
         years, keyed = Keys(year_of), Keys(token_key)
-        for meant, batch in _rows_with_judgements(batches):
+        for meant, batch in batches:
             ids = batch.column("row")
             hyphenated: list[int] = []
             column = batch.column("text")
@@ -560,7 +580,7 @@ def _word_noise(blocks: DataFrame) -> DataFrame:
             kinds = ["hyphenation"] * len(hyphenated) + ["misread"] * len(misread)
             yield pa.RecordBatch.from_arrays([ids.take(found), pa.array(kinds, pa.string())], ["block_id", "noise"])
 
-    return informed_blocks(blocks).mapInArrow(run, "block_id long, noise string")
+    return judged_blocks(blocks, read, "block_id long, noise string", most_sent=most_sent)
 
 
 def _to_judge(blocks: DataFrame, pages: DataFrame | None, row: Column) -> DataFrame:
@@ -570,9 +590,9 @@ def _to_judge(blocks: DataFrame, pages: DataFrame | None, row: Column) -> DataFr
     return some.filter(~_short()).select(row.alias("row"), F.col("block_id").alias("place"), _prose().alias("prose"), "text").unionByName(lines)
 
 
-def scan_noise(blocks: DataFrame, meta: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+def scan_noise(blocks: DataFrame, meta: DataFrame, pages: DataFrame | None = None, most_sent: int = MOST_SENT) -> DataFrame:
     """(block_id, noise), distinct. pages: (doc_id, page_index, width, height) for the pages' heights."""
-    words = _word_noise(_to_judge(blocks, pages, F.col("block_id")))
+    words = _word_noise(_to_judge(blocks, pages, F.col("block_id")), most_sent)
     return words.unionByName(furniture(blocks, meta, pages)).distinct()
 
 
@@ -605,9 +625,9 @@ def _repaired_texts(rows: DataFrame, join_lines: bool, vocabulary: DataFrame | N
     """(row, text): the texts of (row, prose, text) corrected, their broken words joined, and their lines too."""
     schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[tuple[dict[str, str], pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
         years, keys = Keys(year_of), Keys(token_key)
-        for meant, batch in _rows_with_judgements(batches):
+        for meant, batch in batches:
             out = []
             for text, prose in zip(batch.column("text").to_pylist(), batch.column("prose").to_pylist(), strict=True):
                 if join_lines:
@@ -615,7 +635,7 @@ def _repaired_texts(rows: DataFrame, join_lines: bool, vocabulary: DataFrame | N
                 out.append(corrected(text, meant, keys, years) if prose else text)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], ["row", "text"])
 
-    return informed_blocks(rows, vocabulary).mapInArrow(run, schema)
+    return judged_blocks(rows, read, schema, vocabulary)
 
 
 def repaired(blocks: DataFrame, meta: DataFrame, pages: DataFrame | None = None) -> DataFrame:

@@ -187,6 +187,7 @@ def test_scans(spark):
     blocks = spark.createDataFrame(rows + rows[60:62], BLOCK)
     meta = spark.createDataFrame([(1, "en", "s", "ocr"), (2, "en", None, "ocr"), (None, None, None, None)], META)
     got = sorted(tuple(r) for r in scans.scan_noise(blocks, meta).collect())
+    assert got == sorted(tuple(r) for r in scans.scan_noise(blocks, meta, most_sent=1).collect())
     assert got == sorted([(500, "hyphenation"), (503, "misread"), (504, "misread"), *((600 + p, "running_head") for p in range(4)), *((700 + p, "page_number") for p in range(4))])
     fixed = {r.block_id: r.text for r in scans.repaired(blocks, meta).collect()}
     assert (fixed[500], fixed[501], fixed[503], fixed[504]) == ("the surveyor came", "a half-timbered barn", "the surveyor in 1856", "the ledger") and 600 not in fixed and 700 not in fixed and fixed[508] == "survcyor"
