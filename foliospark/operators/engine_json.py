@@ -2,30 +2,80 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Engine labels by block type.
+# The block type of each engine label.
 LABELS = {
-    "heading": ("title",), "text": ("text", "aside_text", "algorithm", "code"), "list": ("list", "index"), "figure": ("image", "image_body"),
-    "caption": ("image_caption", "image_footnote", "table_caption"), "table": ("table", "table_body"), "formula": ("equation", "interline_equation"),
-    "header": ("header", "discarded"), "footer": ("footer",), "page_number": ("page_number",), "footnote": ("page_footnote", "footnote"),
-}
+    "title": "heading",
+    "text": "text",
+    "aside_text": "text",
+    "algorithm": "text",
+    "code": "text",
+    "list": "list",
+    "index": "list",
+    "image": "figure",
+    "image_body": "figure",
+    "image_caption": "caption",
+    "image_footnote": "caption",
+    "table": "table",
+    "table_body": "table",
+    "table_caption": "caption",
+    "table_footnote": "caption",
+    "equation": "formula",
+    "interline_equation": "formula",
+    "header": "header",
+    "discarded": "header",
+    "footer": "footer",
+    "page_number": "page_number",
+    "page_footnote": "footnote",
+    "footnote": "footnote",
+}
 KEPT_DISCARDED = ("header", "footer", "page_number", "footnote")
-_EXCEPTIONS = {"table_footnote": "caption"}
 _SPAN = "STRUCT<type:STRING,content:STRING,html:STRING>"
 _LINE = f"STRUCT<bbox:ARRAY<DOUBLE>,spans:ARRAY<{_SPAN}>>"
 _LEAF = f"type:STRING,index:INT,level:INT,bbox:ARRAY<DOUBLE>,lines:ARRAY<{_LINE}>"
-_INNER = f"STRUCT<{_LEAF},blocks:ARRAY<STRUCT<{_LEAF}>>>"
+# Children of the third level stay JSON: few results go deeper, and those are taken apart in Python, as far down as they go.
+_INNER = f"STRUCT<{_LEAF},blocks:ARRAY<STRUCT<{_LEAF},blocks:STRING>>>"
 BLOCK = f"STRUCT<{_LEAF},blocks:ARRAY<{_INNER}>>"
 PAGE = f"STRUCT<page_idx:INT,page_size:ARRAY<DOUBLE>,para_blocks:ARRAY<{BLOCK}>,discarded_blocks:ARRAY<{BLOCK}>>"
 
 
 def block_type(label: Column) -> Column:
     """The block type of an engine's label, text for unknown ones."""
-    pairs = [(x, t) for t, labels in LABELS.items() for x in labels] + list(_EXCEPTIONS.items())
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in pairs for x in kv]), label), F.lit("text"))
+    pairs = [F.lit(x) for pair in LABELS.items() for x in pair]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), label), F.lit("text"))
+
+
+def leaves(children: list, order: int, at: tuple[int, ...] = ()) -> Iterator[tuple[list[int], int, str]]:
+    """(path, order, JSON) of the blocks without children below; one without an order has its parent's."""
+    for i, child in enumerate(x for x in children if isinstance(x, dict)):
+        own = child.get("index") or order
+        below = child.get("blocks")
+        if isinstance(below, list) and below:
+            yield from leaves(below, own, (*at, i))
+        else:
+            yield [*at, i], own, json.dumps({k: v for k, v in child.items() if k != "blocks"})
+
+
+def _deepest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        kept = b.drop(columns=["below"])
+        rows = []
+        for i, (below, order) in enumerate(zip(b["below"], b["_order"], strict=True)):
+            try:
+                rows += [(i, *x) for x in leaves(json.loads(below), int(order))]
+            except ValueError:
+                continue
+        out = kept.iloc[[r[0] for r in rows]].reset_index(drop=True)
+        out["_path"] = [[*map(int, p), *r[1]] for p, r in zip(out["_path"], rows, strict=True)]
+        out["_order"] = [r[2] for r in rows]
+        yield out.assign(leaf=[r[3] for r in rows])
 
 
 def span_text(span: Column) -> Column:
@@ -45,7 +95,7 @@ def first_table(lines: Column) -> Column:
 
 
 def engine_blocks(results: DataFrame) -> DataFrame:
-    """Blocks of results (doc_id, json, width, height), a JSON page to a row, three levels deep.
+    """Blocks of results (doc_id, json, width, height), a JSON page to a row, however deep its blocks are nested.
 
     Children stand for a parent that has some; one without an order gets its parent's. Discarded blocks that are no furniture are
     heads. A stable sort by order, position breaking ties, renumbers from 0. JSON that can't be read gives no blocks.
@@ -65,11 +115,17 @@ def engine_blocks(results: DataFrame) -> DataFrame:
         split = df.select("doc_id", "page_index", "_sx", "_sy", "gone", "_path", "_order", "b", F.posexplode_outer(child).alias(pos, "_c"))
         own = F.coalesce(F.nullif(F.col("_c.index"), F.lit(0)), F.col("_order"))
         fields = [F.coalesce(F.col(f"_c.{x}"), F.when(F.col("_c").isNull(), F.col(f"b.{x}"))).alias(x) for x in leaf]
-        deeper = [F.col("_c.blocks").alias("blocks")] if pos == "_j" else []
+        deeper = [F.col("_c.blocks").alias("blocks")]
         return split.select("doc_id", "page_index", "_sx", "_sy", "gone", F.concat("_path", F.array(F.coalesce(pos, F.lit(0)))).alias("_path"), F.when(F.col("_c").isNull(), F.col("_order")).otherwise(own).alias("_order"), F.struct(*fields, *deeper).alias("b"))
 
     first = one.withColumn("_path", F.array("_i")).withColumn("_order", F.coalesce("b.index", F.lit(0)))
-    flat = down(down(first, "_j"), "_k")
+    third = down(down(first, "_j"), "_k")
+    nested = F.coalesce(F.col("b.blocks").rlike(r"^\s*\[\s*\{"), F.lit(False))
+    keep = ("doc_id", "page_index", "_sx", "_sy", "gone", "_path", "_order")
+    deep = third.filter(nested).select(*keep, F.col("b.blocks").alias("below"))
+    schema = "doc_id long, page_index int, _sx double, _sy double, gone boolean, _path array<int>, _order int, leaf string"
+    deep = deep.select(F.col("doc_id").cast("long").alias("doc_id"), *keep[1:], "below").mapInPandas(_deepest, schema).select(*keep, F.from_json("leaf", f"STRUCT<{_LEAF}>").alias("b"))
+    flat = third.filter(~nested).select(*keep, F.struct(*(F.col(f"b.{x}").alias(x) for x in leaf)).alias("b")).unionByName(deep)
     kind = block_type(F.col("b.type"))
     kind = F.when(F.col("gone") & ~kind.isin(*KEPT_DISCARDED), "header").otherwise(kind)
     box = [(F.coalesce(F.get("b.bbox", F.lit(i)), F.lit(0.0)) * F.col("_sx" if i % 2 == 0 else "_sy")).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))]
