@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import itertools
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -273,15 +273,13 @@ def year_of(token: str) -> str | None:
     return None
 
 
-def undo(word: str) -> list[str]:
+def undo(word: str) -> Iterator[str]:
     """The word with one usual confusion undone, each way."""
-    out = []
     for seen, meant in CONFUSED:
         at = word.find(seen)
         while at >= 0:
-            out.append(word[:at] + meant + word[at + len(seen) :])
+            yield word[:at] + meant + word[at + len(seen) :]
             at = word.find(seen, at + 1)
-    return out
 
 
 def undo_signs(word: str) -> list[str]:
@@ -394,18 +392,31 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows([-1] * m, [GRAM + k] * m, [None] * m, at, t[at].astype(np.int64))
 
 
-def _options(make: Callable[[str], list[str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (word, n) with each option that `make` gives for the word."""
+def _options(make: Callable[[str], Iterable[str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (word, n) with each option that `make` gives for the word, in batches of bounded size, as a long word has many long options."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[str, int, str]] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], ["word", "n", "option"])
+
         for batch in batches:
-            rows = [(w, n, x) for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True) for x in make(w)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], ["word", "n", "option"])
+            for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                for x in make(w):
+                    rows.append((w, n, x))
+                    held += len(w) + len(x)
+                    if held > 4_000_000:
+                        yield flush()
+                        rows.clear()
+                        held = 0
+        yield flush()
 
     return run
 
 
-def _pure_options(word: str) -> list[str]:
+def _pure_options(word: str) -> Iterable[str]:
     return undo(word) if len(word) >= 3 and PURE_WORD.match(word) and not MIXED_SCRIPTS.search(word) else []
 
 
@@ -482,8 +493,10 @@ def judgements(counted: DataFrame, asked: DataFrame) -> DataFrame:
                 out.append((key, ""))
         return out
 
+    # what a word may be a misreading of is no longer than the longest such word, so longer runs of letters, as texts that lost their spaces, have no option
+    longest = words.filter(F.col("n") >= LEAST_SEEN).agg(F.max(F.length("word"))).first()[0] or 0
     rare = words.filter((F.col("n") * 40 <= most) | (F.col("n") <= 2)).unionByName(unseen.filter(~F.col("word").rlike(r"[\p{Nd}!|$@€(]")))
-    undone = rare.mapInArrow(_options(_pure_options), option).join(known.filter(F.col("m") >= LEAST_SEEN), "option").filter("m >= 40 * n OR n <= 2")
+    undone = rare.filter(F.length("word") <= longest + 1).mapInArrow(_options(_pure_options), option).join(known.filter(F.col("m") >= LEAST_SEEN), "option").filter("m >= 40 * n OR n <= 2")
     undone = undone.groupBy("word").agg(F.max("n").alias("n"), best.alias("option"), F.max("m").alias("m"))
     signs = unseen.mapInArrow(_options(signs_undone), option).join(known, "option", "left").groupBy("word").agg(F.array_sort(F.collect_set("option")).alias("options"), F.max("m").alias("m"), best.alias("option"))
     broken = asked.filter(F.col("k") == PAIR).select("word").distinct().withColumn("n", F.lit(0).cast("long"))

@@ -183,6 +183,7 @@ def test_scans(spark):
     rows = [block(i, 1, i % 40, text=body) for i in range(60)]
     rows += [block(500, text="the sur-\nveyor came"), block(501, text="a half-\ntimbered barn"), block(502, text="half-timbered and half-timbered"), block(503, text="the survcyor in 18S6"), block(504, text="the led9er"), block(505, text=None), block(506, text=""), block(507, kind=None, text="plain words", y0=None), block(508, kind="table", text="survcyor")]
     rows += [block(600 + p, 2, p, "text", 50.0, f"THE OLD MlLL   {p + 9}" if p == 1 else f"THE OLD MILL   {p + 9}") for p in range(4)]
+    rows += [block(509, text="thesurveyorcarriedtheledger" * 400), block(510, text="thesurveyorcarr1edtheledger" * 400)]
     rows += [block(700 + p, 2, p, "text", 2270.0, f"– {p + 9} –") for p in range(4)] + [block(800, 2, 0, "text", 50.0, "Stands only once here")]
     blocks = spark.createDataFrame(rows + rows[60:62], BLOCK)
     meta = spark.createDataFrame([(1, "en", "s", "ocr"), (2, "en", None, "ocr"), (None, None, None, None)], META)
