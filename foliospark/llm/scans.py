@@ -71,7 +71,9 @@ COUNTED = regex.compile(r"^[\p{L}\p{M}'’]+(?:-[\p{L}\p{M}'’]+)*$")
 YEAR = regex.compile(r"^(?=.*[\p{L}!|])[0-9lIi!|OoQSsBbZzgqAT]{4}$")
 NUMBER_PART = regex.compile(r"^[\W_]*(?:[0-9lIiOoSsBbZzgqAT!|]{1,5}|[ivxlcdmIVXLCDM]{1,10}|\p{Nd}{1,5})[\W_]*$")
 LATIN_ONLY = regex.compile(r"\p{Latin}")
-MIXED_SCRIPTS = regex.compile(r"\p{Latin}.*[\p{Cyrillic}\p{Greek}]|[\p{Cyrillic}\p{Greek}].*\p{Latin}")
+OTHER_ALPHABET = regex.compile(r"[\p{Cyrillic}\p{Greek}]")
+#: For str.translate: invisible characters as nothing.
+FORMAT = {c: None for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf"}
 UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
 DECORATION = regex.compile(r"^[^\p{L}\p{Nd}!|]+|[^\p{L}\p{Nd}!|]+$")
 #: A word for page, short, before a number or, in scripts without spaces, around it.
@@ -92,8 +94,12 @@ _HEAD = str.maketrans(
 def plain_word(token: str) -> str:
     """Without invisible characters, compatibility forms, outer punctuation, in its own case."""
     if not token.isascii():
-        token = "".join(c for c in unicodedata.normalize("NFKC", token) if unicodedata.category(c) != "Cf")
-    return EDGE.sub("", token)
+        token = unicodedata.normalize("NFKC", token).translate(FORMAT)
+    return token if token.isalpha() else EDGE.sub("", token)
+
+
+def mixed_scripts(word: str) -> bool:
+    return not word.isascii() and bool(OTHER_ALPHABET.search(word)) and bool(LATIN_ONLY.search(word))
 
 
 # --- places on the page
@@ -262,11 +268,13 @@ def token_key(token: str) -> str | None:
         return None
     w = plain_word(token)
     if len(w) >= 3 and PURE_WORD.match(w):
-        return None if not w.isascii() and MIXED_SCRIPTS.search(w) else w.lower()
+        return None if mixed_scripts(w) else w.lower()
     return w.lower() if MIXED_WORD.match(w) else None
 
 
 def year_of(token: str) -> str | None:
+    if not 4 <= len(token) <= 12 or token.isalpha():
+        return None
     w = plain_word(token)
     if YEAR.match(w) and sum(c.isdigit() for c in w) >= 2 and 1000 <= int(year := w.translate(YEAR_DIGITS)) <= 2600:
         return year
@@ -335,18 +343,6 @@ def _counted_word(token: str) -> str | None:
     return w if COUNTED.match(w) else None
 
 
-def _broken_joined(column: pa.Array, join: Callable[[regex.Match], str]) -> tuple[pa.Array, np.ndarray]:
-    """The texts with words broken at line ends put together by `join`, and which texts have such."""
-    broken = pc.match_substring_regex(column, BROKEN_LINE).to_numpy(zero_copy_only=False)
-    at = np.flatnonzero(broken == True)  # noqa: E712
-    if not len(at):
-        return column, at
-    texts = column.to_pylist()
-    for i in at:
-        texts[i] = BROKEN.sub(join, texts[i])
-    return pa.array(texts, pa.string()), at
-
-
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (bucket, prose, text): the words of prose, counted, tokens with signs, and broken pairs, by bucket; letter sequences, as slots."""
     grams = np.zeros((3, 1 << BITS))
@@ -366,9 +362,9 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pairs[key] = None
                 return m[1] + m[3] if key is not None else f"{m[1]}-{m[3]}"
 
-            glued, at = _broken_joined(batch.column("text"), note)
+            broken = batch.column("text").filter(pc.match_substring_regex(batch.column("text"), BROKEN_LINE))
+            joined = [BROKEN.sub(note, t) for t in broken.to_pylist()]
             prose = batch.column("prose").to_numpy(zero_copy_only=False)
-            texts = glued.take(pa.array(np.flatnonzero(prose)))
             plain = pc.replace_substring_regex(batch.column("text").take(pa.array(np.flatnonzero(prose))), rf"\S+[{HYPHENS}][ \t]*\n[ \t]*\S+", " ")
             codes, distinct, _ = words_of(plain)
             many = np.bincount(codes, minlength=len(distinct)).tolist()
@@ -377,7 +373,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if w:
                     words[w] = words.get(w, 0) + n
             # words put together from lines are judged too, if not counted
-            tokens = {k: None for k in keyed(words_of(texts)[1]) if k and k not in words}
+            tokens = {k: None for k in keyed([*distinct, *dict.fromkeys(t for text in joined for t in text.split())]) if k and k not in words}
             for k, found in ((WORD, words), (TOKEN, dict.fromkeys(tokens, 0)), (PAIR, dict.fromkeys(pairs, 0))):
                 m = len(found)
                 yield _rows([bucket] * m, [k] * m, list(found), [0] * m, list(found.values()))
@@ -417,7 +413,7 @@ def _options(make: Callable[[str], Iterable[str]]) -> Callable[[Iterator[pa.Reco
 
 
 def _pure_options(word: str) -> Iterable[str]:
-    return undo(word) if len(word) >= 3 and PURE_WORD.match(word) and not MIXED_SCRIPTS.search(word) else []
+    return undo(word) if len(word) >= 3 and PURE_WORD.match(word) and not mixed_scripts(word) else []
 
 
 def _pair_options(key: str) -> list[str]:
@@ -576,15 +572,19 @@ def _word_noise(blocks: DataFrame, most_sent: int) -> DataFrame:
             ids = batch.column("row")
             hyphenated: list[int] = []
             column = batch.column("text")
+            case = [False]
+            join = _joiner(meant, case)
             at = np.flatnonzero(pc.match_substring_regex(column, BROKEN_LINE).to_numpy(zero_copy_only=False) == True)  # noqa: E712
             if len(at):
-                texts = column.to_pylist()
-                for i in at:
-                    case = [False]
-                    texts[i] = BROKEN.sub(_joiner(meant, case), texts[i])
+                texts = column.take(pa.array(at)).to_pylist()
+                for k, text in enumerate(texts):
+                    case[0] = False
+                    texts[k] = BROKEN.sub(join, text)
                     if case[0]:
-                        hyphenated.append(i)
-                column = pa.array(texts, pa.string())
+                        hyphenated.append(int(at[k]))
+                mask = np.zeros(len(column), bool)
+                mask[at] = True
+                column = pc.replace_with_mask(column, pa.array(mask), pa.array(texts, pa.string()))
             prose = np.flatnonzero(batch.column("prose").to_numpy(zero_copy_only=False))
             codes, distinct, offsets = words_of(column.take(pa.array(prose)))
             wrong = np.array([y is not None or k in meant for y, k in zip(years(distinct), keyed(distinct), strict=True)], np.int64)
