@@ -2,12 +2,13 @@
 
 A sparse multinomial logistic regression on TF-IDF character n-grams, trained with follow-the-regularised-leader and elastic
 net, its confidences calibrated by a temperature fitted on rows that were held out. The classifier is fitted on a bounded
-sample: at most SAMPLE_DOCS labelled documents for each label and SAMPLE_TEXTS texts of each; as labels may be wrong, documents
+sample: at most SAMPLE_DOCS labelled documents for each label and SAMPLE_TEXTS texts of SAMPLE_CHARS characters or more of each, and only labels that LEAST_DOCS documents have; as labels may be wrong, documents
 which fits to other documents hold for something else are left out of the final fit. The TF-IDF weights are part of the fit. All
 texts are then classified whole, the words of a batch once for each distinct word: with L1-normalised term frequencies
 the score of a text is the mean of its words' scores.
 
-A document's language is the one of most of its texts, each weighed by the root of its letters.
+A document's language is the one of most of its texts, each weighed by the root of its letters. Native pages that are mostly
+decoded with a wrong encoding (one character in DAMAGE_SHARE looks like it) are in no language and don't count.
 
 Defined results: null, empty and letterless texts have no language and don't count; a document without any text is not
 reported; ties go to the code that comes first; repeated rows count once; other columns are ignored.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.arrow import by_row, code_points, slices, words_of
 
-SAMPLE_DOCS, SAMPLE_TEXTS, BITS, LEAST_DOCS = 120, 12, 15, 3
+SAMPLE_DOCS, SAMPLE_TEXTS, SAMPLE_CHARS, BITS, LEAST_DOCS = 120, 12, 60, 15, 3
 PASSAGE_CHARS = 130
 #: What text in a wrong encoding is full of; a page with more than one such character in DAMAGE_SHARE doesn't count.
 DAMAGED = regex.compile(r"[\x80-\x9f¢-©¬-¶¸¹¼-¾×÷ƒˆ˘˙˛˜˝ˇ†‡‰€™�∀-⋿─-▟]")
@@ -103,6 +104,9 @@ class Model:
     weights: np.ndarray  # slots x languages, with the TF-IDF weights in them
     bias: np.ndarray
     temperature: float = 1.0
+    #: Of documents that neither the weights nor the temperature were fitted on: how far confidences are off, on average over ten bins, and the share that is right. NaN where there were none.
+    calibration_error: float = float("nan")
+    accuracy: float = float("nan")
 
     def scores(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities for each text, and its number of letters."""
@@ -165,7 +169,10 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes:
 
 
 def train(texts: list[str], labels: list[str], docs: list[int], folds: int = 4) -> Model:
-    """The calibrated model. A document whose label fits to the other folds don't confirm is left out; every fifth text is held out for the temperature."""
+    """The calibrated model. A document whose label fits to the other folds don't confirm is left out.
+
+    Of every ten documents one is held out for the temperature, and one to measure the calibration.
+    """
     languages = sorted(set(labels))
     y = np.array([languages.index(x) for x in labels])
     rows, df = _matrix(texts, None)
@@ -179,9 +186,11 @@ def train(texts: list[str], labels: list[str], docs: list[int], folds: int = 4)
     # documents of each label go round the folds, so that a rare label is in all of them
     first = {d: int(y[i]) for i, d in reversed(list(enumerate(doc)))}
     rank: dict[int, int] = {}
+    rank_of: dict[int, int] = {}
     fold = np.zeros(doc.max() + 1, np.int64)
     for d in range(doc.max() + 1):
-        fold[d] = rank.get(first[d], 0) % folds
+        rank_of[d] = rank.get(first[d], 0)
+        fold[d] = rank_of[d] % folds
         rank[first[d]] = rank.get(first[d], 0) + 1
     for k in range(folds):
         fit, out = np.flatnonzero(fold[doc] != k), np.flatnonzero(fold[doc] == k)
@@ -189,8 +198,8 @@ def train(texts: list[str], labels: list[str], docs: list[int], folds: int = 4)
             s = logits(*ftrl([rows[i] for i in fit], y[fit], len(languages), idf, epochs=3), out)
             np.add.at(votes, (doc[out], s.argmax(axis=1)), 1)
     right = votes.argmax(axis=1)[doc] == y
-    held = np.arange(len(rows)) % 5 == 4
-    fit, check = np.flatnonzero(~held & right), np.flatnonzero(held & right)
+    turn = np.array([rank_of[d] % 10 for d in range(doc.max() + 1)])[doc]
+    fit, check, test = (np.flatnonzero(x & right) for x in (turn < 8, turn == 8, turn == 9))
     if not len(fit):
         fit = np.arange(len(rows))
     weights, bias = ftrl([rows[i] for i in fit], y[fit], len(languages), idf)
@@ -203,7 +212,21 @@ def train(texts: list[str], labels: list[str], docs: list[int], folds: int = 4)
             loss = float(np.mean(np.log(np.exp(q).sum(axis=1)) - q[np.arange(len(check)), y[check]]))
             if loss < best:
                 best, temperature = loss, float(t)
-    return Model(languages, weights.astype(np.float32), bias.astype(np.float32), temperature)
+    model = Model(languages, weights.astype(np.float32), bias.astype(np.float32), temperature)
+    if len(test):
+        q = logits(weights, bias, test) / temperature
+        p = np.exp(q - q.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        model.accuracy = float((p.argmax(axis=1) == y[test]).mean())
+        model.calibration_error = calibration_error(p.max(axis=1), p.argmax(axis=1) == y[test])
+    return model
+
+
+def calibration_error(confidence: np.ndarray, right: np.ndarray, bins: int = 10) -> float:
+    """How far the mean confidence is from the share that is right, on average over bins of confidence, each weighed by its rows."""
+    at = np.minimum((confidence * bins).astype(int), bins - 1)
+    gaps = [abs(confidence[at == k].mean() - right[at == k].mean()) * (at == k).mean() for k in np.unique(at)]
+    return float(sum(gaps))
 
 
 def texts_of(meta: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataFrame:
@@ -218,7 +241,7 @@ def texts_of(meta: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataFrame:
 def fit(meta: DataFrame, texts: DataFrame) -> Model:
     labelled = meta.select("doc_id", two_letter(F.col("language")).alias("label")).filter("label IS NOT NULL AND doc_id IS NOT NULL").distinct()
     some = labelled.withColumn("_r", F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("_r") <= SAMPLE_DOCS)
-    each = texts.filter(F.length("text") >= 60).join(some.select("doc_id", "label"), "doc_id")
+    each = texts.filter(F.length("text") >= SAMPLE_CHARS).join(some.select("doc_id", "label"), "doc_id")
     each = each.withColumn("_r", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "block_id"))).filter(F.col("_r") <= SAMPLE_TEXTS)
     rows = each.select("doc_id", "label", "text").orderBy(F.xxhash64("doc_id", "text"), "label").toPandas()
     docs = rows.groupby("label")["doc_id"].nunique()

@@ -1,7 +1,7 @@
 """Text that looks the same but differs in its characters: find such lines and bring them to one form.
 
 Union-find joins into one class whatever looks alike: a code point and its compatibility form, a base letter with a
-combining accent and the composed letter, letters of Latin, Greek and Cyrillic drawn alike, and spaces; invisible characters
+combining accent and the composed letter, letters of Latin, Greek and Cyrillic drawn alike (given as pairs), and spaces; invisible characters
 are in the class of the empty string. Classes are transitive. A class is represented, for each script, by the member most
 frequent in the corpus, and a multi-pattern automaton rewrites members by representatives, longest first from the left.
 Letters are exchanged across scripts only within a word that mixes scripts; the script of its letters without a look-alike
@@ -27,10 +27,11 @@ from pyspark.sql import types as T
 
 from foliospark.llm.arrow import by_row, code_points, slices
 
-# Letters drawn alike, by class, Latin, Greek and Cyrillic in turn.
+# Pairs of letters of two scripts that are drawn alike.
 ALIKE = (
-    "aаα", "eе", "oоο", "pрρ", "cсϲ", "yуγ", "xхχ", "iіι", "jјϳ", "sѕ", "vνѵ", "uυ", "hһ", "dԁ", "qԛ", "wԝω", "kкκ", "nη",
-    "AАΑ", "BВΒ", "EЕΕ", "KКΚ", "MМΜ", "HНΗ", "OОΟ", "PРΡ", "CСϹ", "TТΤ", "XХΧ", "IІΙӀ", "JЈͿ", "SЅ", "YУΥҮ", "ZΖ", "NΝ", "GԌ", "ГΓ", "ПΠ", "ФΦ",
+    "aа", "aα", "eе", "oо", "oο", "pр", "pρ", "cс", "cϲ", "yу", "yγ", "xх", "xχ", "iі", "iι", "jј", "jϳ", "sѕ", "vν", "vѵ", "uυ", "hһ", "dԁ", "qԛ",
+    "wԝ", "wω", "kк", "kκ", "nη", "AА", "AΑ", "BВ", "BΒ", "EЕ", "EΕ", "KК", "KΚ", "MМ", "MΜ", "HН", "HΗ", "OО", "OΟ", "PР", "PΡ", "CС", "CϹ", "TТ",
+    "TΤ", "XХ", "XΧ", "IІ", "IΙ", "IӀ", "JЈ", "JͿ", "SЅ", "YУ", "YΥ", "YҮ", "ZΖ", "NΝ", "GԌ", "ГΓ", "ПΠ", "ФΦ",
 )
 # Characters that show nothing and, as ranges, where they lie.
 INVISIBLE = ((0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180E), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xE0000, 0xE01EF))
@@ -94,9 +95,11 @@ class Classes:
         return out
 
 
-@lru_cache(1)
-def plain_forms() -> dict[str, str]:
-    """Compatibility forms, spaces and invisible characters with what they stand for, by classes over strings."""
+def plain_forms(counts: dict[int, int]) -> dict[str, str]:
+    """Compatibility forms, decomposed accents, spaces and invisible characters with what they stand for, by classes over strings.
+
+    A class is represented by its most frequent member in the corpus that is no form itself; a string of several code points is as frequent as its rarest one.
+    """
     classes = Classes()
     table = flags()
     for o in np.flatnonzero(table & FORM):
@@ -105,8 +108,16 @@ def plain_forms() -> dict[str, str]:
         classes.union(" ", chr(o))
     for o in np.flatnonzero(table & HIDDEN):
         classes.union("", chr(o))
-    best = {root: min(x for x in all_ if not any(table[ord(c)] & (FORM | SPACE | HIDDEN) for c in x)) for root, all_ in classes.members().items()}
-    return {x: best[classes.find(x)] for x in classes.up if x != best[classes.find(x)]}
+    for o in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000), *range(0x3040, 0x3100)):
+        parts = unicodedata.normalize("NFD", chr(o))
+        if len(parts) > 1 and unicodedata.normalize("NFC", parts) == chr(o):
+            classes.union(chr(o), parts)
+    best = {}
+    for root, members in classes.members().items():
+        plain = [x for x in members if not any(table[ord(c)] & (FORM | SPACE | HIDDEN) for c in x)]
+        plain = [x for x in plain if not any(table[ord(c)] & ACCENT for c in x)] or plain
+        best[root] = max(plain, key=lambda x: (min((counts.get(ord(c), 0) for c in x), default=0), -len(x), x))
+    return {x: best[classes.find(x)] for x in classes.up if x and x != best[classes.find(x)]}
 
 
 def letter_classes(counts: dict[int, int]) -> dict[int, dict[str, str]]:
@@ -135,7 +146,7 @@ def _automaton(patterns: dict[str, str]) -> ahocorasick.Automaton:
 
 class Rewriter:
     def __init__(self, counts: dict[int, int]) -> None:
-        self.plain = _automaton(plain_forms())
+        self.plain = _automaton(plain_forms(counts))
         self.letters = letter_classes(counts)
         self.autos = {s: _automaton(m) for s, m in self.letters.items()}
         self.shared = {c for m in self.letters.values() for c in m}
@@ -208,7 +219,8 @@ def _suspects(texts: list[str]) -> np.ndarray:
 def canonical_lines(lines: DataFrame, column: str = "text", counts: dict[int, int] | None = None) -> DataFrame:
     """The lines with `column` in its one form, and is_case: whether it held something to be replaced."""
     known = code_point_counts(lines, column) if counts is None else counts
-    known = {ord(c): known.get(ord(c), 0) for row in ALIKE for c in row}
+    wanted = {ord(c) for pair in ALIKE for c in pair} | set(np.flatnonzero(flags() & 15).tolist()) | {ord(c) for o in np.flatnonzero(flags() & FORM) for c in unicodedata.normalize("NFKC", chr(o))} | {0x20}
+    known = {o: n for o, n in known.items() if o in wanted}
     schema = T.StructType([f for f in lines.schema.fields if f.name != "is_case"] + [T.StructField("is_case", T.BooleanType())])
     names = [f.name for f in schema.fields[:-1]]
 

@@ -7,8 +7,9 @@ a source; the slot's rank among its source's slots names the block and the pass
 max_repeats times over, as a source has no more slots than its blocks times max_repeats; slots beyond that are dropped from
 the schedule and show in the actual shares.
 
-Prefix sums and ranks are taken over hash buckets and within them, so a source with any part of the rows, and a schedule of
-any length, is spread over many tasks. What is sent to the executors is one row for each profile and source of the targets.
+Prefix sums and ranks are taken over hash buckets, as many as the documents need, and within them, so a source with any part of the rows, and a
+schedule of any length, is spread over many tasks. A slot finds its source by binary search in its profile's cumulative quotas. What is sent
+to the executors is one row for each profile and source of the targets, and the tokenizer's file.
 
 Defined results: null and empty texts count 0 tokens and are left out; documents without source, or whose source is not in
 the profile, are left out; a target without documents has an actual share of 0; null or negative shares count as 0, null
@@ -24,7 +25,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles, StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,7 +36,11 @@ from foliospark.llm.arrow import by_row, slices
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How that vocabulary cuts text before merging; fixed value of the public tokenizer.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BUCKETS, BLOCK_TOKENS, PHI = 64, 8_000, 0.6180339887498949
+PHI = 0.6180339887498949
+#: Documents that share a hash bucket, about: what a task sorts.
+BUCKET_ROWS = 20_000
+#: Blocks have this many tokens, but fewer where that would make less than LEAST_BLOCKS of all text, and no fewer than a document has on average.
+BLOCK_TOKENS, LEAST_BLOCKS = 8_000, 5_000
 
 
 @lru_cache(2)
@@ -80,23 +86,36 @@ class Counter:
         return out
 
 
+def _shipped(spark: SparkSession, path: str) -> str:
+    """Sends the tokenizer's file with the job; the name under which tasks find it."""
+    spark.sparkContext.addFile(path)
+    return path.replace("\\", "/").rsplit("/", 1)[-1]
+
+
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """The documents' other columns and n_tokens, without the text."""
     names = [c for c in documents.columns if c not in ("text", "n_tokens")]
     schema = T.StructType([*(documents.schema[n] for n in names), T.StructField("n_tokens", T.LongType())])
+    file = _shipped(documents.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tokenizer)
+        counter = Counter(SparkFiles.get(file))
         for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(counter.counts(batch.column("text")))], [*names, "n_tokens"])
 
     return documents.select(*names, "text").mapInArrow(run, schema)
 
 
-def packed(documents: DataFrame, tokenizer: str = TOKENIZER, block_tokens: int = BLOCK_TOKENS, seed: int = 7) -> DataFrame:
-    """(source, doc_id, n_tokens, block): shuffled documents of each source in blocks of about block_tokens, numbered from 0."""
-    sized = token_counts(documents.filter("source IS NOT NULL AND text <> ''").select("doc_id", "source", "text"), tokenizer).filter("n_tokens > 0").persist()
-    keyed = sized.withColumn("_h", F.xxhash64("doc_id", F.lit(seed))).withColumn("_bucket", F.pmod("_h", F.lit(BUCKETS)))
+def packed(documents: DataFrame, tokenizer: str = TOKENIZER, block_tokens: int | None = None, seed: int = 7) -> DataFrame:
+    """(source, doc_id, n_tokens, block): shuffled documents of each source in blocks of about block_tokens, numbered from 0.
+
+    By default a block's size follows from all documents' tokens.
+    """
+    sized = token_counts(documents.filter("source IS NOT NULL AND text <> ''").select("doc_id", "source", "text"), tokenizer).filter("n_tokens > 0").persist(StorageLevel.DISK_ONLY)
+    rows, tokens = sized.agg(F.count("*"), F.sum("n_tokens")).first()
+    if block_tokens is None:
+        block_tokens = max(1, (tokens or 0) // max(1, rows), min(BLOCK_TOKENS, (tokens or 0) // LEAST_BLOCKS))
+    keyed = sized.withColumn("_h", F.xxhash64("doc_id", F.lit(seed))).withColumn("_bucket", F.pmod("_h", F.lit(max(1, -(-rows // BUCKET_ROWS)))))
     sums = keyed.groupBy("source", "_bucket").agg(F.sum("n_tokens").alias("_sum"))
     before = W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select("source", "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
@@ -128,9 +147,9 @@ def _quotas(targets: list[tuple[str, str, float, int]], have: dict[str, int]) ->
     return out
 
 
-def _plan(documents: DataFrame, targets: DataFrame, tokenizer: str, block_tokens: int) -> tuple[DataFrame, list[tuple[str, str, float, int]], dict[str, tuple[int, int]], dict[tuple[str, str], float]]:
+def _plan(documents: DataFrame, targets: DataFrame, tokenizer: str, block_tokens: int | None) -> tuple[DataFrame, list[tuple[str, str, float, int]], dict[str, tuple[int, int]], dict[tuple[str, str], float]]:
     """Packed documents, clean targets, each target source's blocks and tokens, and quotas. A row for each target comes to the driver."""
-    pack = packed(documents, tokenizer, block_tokens).persist()
+    pack = packed(documents, tokenizer, block_tokens).persist(StorageLevel.DISK_ONLY)
     clean = targets.filter("profile IS NOT NULL AND source IS NOT NULL").groupBy("profile", "source").agg(F.max(F.coalesce("target_share", F.lit(0.0))).alias("w"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("r"))
     wanted = [(x.profile, x.source, float(x.w), int(x.r)) for x in clean.toLocalIterator()]
     sizes = pack.join(clean.select("source").distinct(), "source", "left_semi").groupBy("source").agg((F.max("block") + 1).alias("b"), F.sum("n_tokens").alias("n"))
@@ -138,7 +157,7 @@ def _plan(documents: DataFrame, targets: DataFrame, tokenizer: str, block_tokens
     return pack, wanted, have, _quotas(wanted, {s: n for s, (_, n) in have.items()})
 
 
-def schedule(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def schedule(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, block_tokens: int | None = None) -> DataFrame:
     """(profile, slot, source, pass, doc_id, n_tokens): the mix in order, slot by slot."""
     spark = documents.sparkSession
     pack, wanted, have, quotas = _plan(documents, targets, tokenizer, block_tokens)
@@ -155,8 +174,6 @@ def schedule(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZE
         for p, s, b, k in [x for x in rows if x[0] == profile]:
             slots.append((p, s, cut / max(1, n), (cut + k) / max(1, n), b, k, n))
             cut += k
-    empty = "profile string, source string, low double, high double, blocks long, most long, n long"
-    parts = spark.createDataFrame(slots, empty)
     lengths = {p: n for p, *_, n in slots}
     numbers = None
     for p, n in sorted(lengths.items()):
@@ -164,8 +181,23 @@ def schedule(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZE
         numbers = one if numbers is None else numbers.unionByName(one)
     if numbers is None:
         return spark.createDataFrame([], "profile string, slot long, source string, pass int, doc_id long, n_tokens long")
-    point = numbers.withColumn("x", F.pmod((F.col("slot") + 0.5) * PHI, F.lit(1.0))).withColumn("_part", F.floor(F.col("slot") / 4096))
-    sent = point.join(F.broadcast(parts), "profile").filter("x >= low AND x < high")  # parts has a row for each target
+    # each profile's sources by where their part of the cumulative weights ends: a row for each target
+    parts = {p: [(high, s, b, k) for q, s, _, high, b, k, _ in slots if q == p and k > 0] for p in lengths}
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = {p: np.array([high for high, *_ in own]) for p, own in parts.items()}
+        for batch in batches:
+            profiles, slot = batch.column("profile").to_pylist(), batch.column("slot").to_numpy()
+            x = ((slot + 0.5) * PHI) % 1.0
+            got = [None] * len(slot)
+            for p in set(profiles):
+                at = np.flatnonzero(np.array([q == p for q in profiles]))
+                for i, k in zip(at.tolist(), np.minimum(np.searchsorted(ends[p], x[at], side="right"), len(ends[p]) - 1).tolist(), strict=True):
+                    got[i] = parts[p][k][1:]
+            columns = [pa.array([g[c] for g in got], t) for c, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], ["profile", "slot", "source", "blocks", "most"])
+
+    sent = numbers.mapInArrow(send, "profile string, slot long, source string, blocks long, most long").withColumn("_part", F.floor(F.col("slot") / 4096))
     counts = sent.groupBy("profile", "source", "_part").agg(F.count("*").alias("_n"))
     before = W.partitionBy("profile", "source").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("profile", "source", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
@@ -175,7 +207,7 @@ def schedule(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZE
     return ranked.join(pack, ["source", "block"]).select("profile", "slot", "source", "pass", "doc_id", "n_tokens")
 
 
-def actual_shares(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def actual_shares(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, block_tokens: int | None = None) -> DataFrame:
     """(profile, source, target_share, actual_share, n_tokens, times_used) for each target."""
     mix = schedule(documents, targets, tokenizer, block_tokens)
     got = mix.groupBy("profile", "source").agg(F.sum("n_tokens").alias("n_tokens"), (F.max("pass") + 1).cast("int").alias("times_used"))

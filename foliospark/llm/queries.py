@@ -26,6 +26,11 @@ def p2_lines(s: SparkSession, d: str) -> DataFrame:
     return lookalikes.canonical_lines(lines).filter("is_case").select("block_id", "line_no", "text").distinct()
 
 
+def p2_blocks(s: SparkSession, d: str) -> DataFrame:
+    """Changed blocks, each of their lines in its one form."""
+    return lookalikes.canonical_lines(t(s, d, "blocks").select("block_id", "text")).filter("is_case").select("block_id", "text").distinct()
+
+
 def p3_pieces(s: SparkSession, d: str) -> DataFrame:
     """The pieces of cut blocks; n_chars counts the overlap."""
     blocks = t(s, d, "blocks").select("block_id", "type", "text").distinct()
@@ -60,6 +65,7 @@ def queries() -> dict[str, Query]:
         "p1_restored": p1_restored,
         "p2_found": lambda s, d: lookalikes.look_alike_lines(t(s, d, "block_lines")),
         "p2_lines": p2_lines,
+        "p2_blocks": p2_blocks,
         "p3_found": lambda s, d: splitting.oversized_blocks(t(s, d, "blocks"), t(s, d, "chunk_limits")),
         "p3_pieces": p3_pieces,
         "p3_chunks": p3_chunks,

@@ -1,9 +1,10 @@
 """Lines repeated across the documents of one source: find them and take them out.
 
-Each candidate line's documents are kept as bitmaps, cut into containers of 32,768 document numbers each (a container
-without a document does not exist, and containers are stored compressed), per source and per spelling of the line. The bitmaps
-of all spellings of one line are united, their exact cardinalities are held against the thresholds, and a line is deleted
-where its own document's bit is set.
+Each candidate line's documents are kept as compressed bitmaps, per source and per spelling of the line: cut into containers of 32,768
+document numbers each, a container is a list of the 2-byte numbers in it up to MOST_LISTED, a bitmap of 4 KB beyond, and isn't there
+where it is empty. So few documents, however far apart, cost no more than their number. The containers of all spellings of
+one line are united, their exact cardinalities are held against the thresholds, and a line is deleted where its own document is in its
+container.
 
 A line that qualifies has at least as many rows in its source as the threshold asks for documents, so a plain count with
 map-side combine leaves only few lines for which bitmaps are built; it drops none that qualifies.
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from foliospark.llm.arrow import fresh
 
 MIN_LETTERS, MIN_DOCS, MIN_SHARE = 16, 3, 0.10
+#: Documents of a container that are listed; a list of more would be longer than a bitmap.
+MOST_LISTED = 2048
 #: So many line hashes, of 8 bytes each, may be sent to every executor.
 MOST_SENT = 200_000
 
@@ -40,19 +43,19 @@ def site_lines(blocks: DataFrame) -> DataFrame:
     return keyed.filter(letters >= MIN_LETTERS).select("doc_id", "block_id", "line_no", "variant", F.xxhash64("_key", F.length("_key")).alias("line"))
 
 
-def _shared(lines: DataFrame, min_docs: int) -> DataFrame:
+def _shared(lines: DataFrame, min_docs: int, most_sent: int = MOST_SENT) -> DataFrame:
     """The rows of lines that stand in more than one document and on min_docs rows at least, whatever their source.
 
     Rows of other lines can't qualify. Counting moves a hash and three numbers for each distinct line of a task; where few lines are
     left, which is checked, they go to the executors, else both sides are joined on the hash.
     """
     often = lines.groupBy("line").agg(F.count("*").alias("_n"), F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).filter((F.col("_n") >= min_docs) & (F.col("_a") != F.col("_b"))).select("line").persist()
-    few = often.limit(MOST_SENT + 1).count() <= MOST_SENT
+    few = often.limit(most_sent + 1).count() <= most_sent
     return lines.join(F.broadcast(often) if few else often, "line", "left_semi")
 
 
-def repeated_lines(blocks: DataFrame, meta: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, shared: DataFrame | None = None) -> DataFrame:
-    """(source, line, container, documents, n_docs): the lines repeated too often, with their document bitmaps."""
+def repeated_lines(blocks: DataFrame, meta: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, shared: DataFrame | None = None, most_listed: int = MOST_LISTED) -> DataFrame:
+    """(source, line, container, listed, bits, n_docs): the lines repeated too often, with their documents: numbers in the container, or a bitmap of it."""
     shared = _shared(site_lines(blocks), min_docs) if shared is None else shared
     sources = meta.filter(F.col("source").isNotNull()).select("doc_id", "source").distinct()
     having = blocks.select("doc_id").distinct().join(sources, "doc_id").groupBy("source").agg(F.count("*").alias("_docs"))
@@ -60,29 +63,34 @@ def repeated_lines(blocks: DataFrame, meta: DataFrame, min_docs: int = MIN_DOCS,
     needed = having.select("source", need.alias("_need"))
     of_source = shared.join(sources, "doc_id")
     often = of_source.groupBy("source", "line").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_docs).join(needed, "source").filter("_n >= _need").select("source", "line", "_need")
-    spelled = (
-        of_source.join(often, ["source", "line"])
-        .groupBy("source", "line", "_need", "variant", F.bitmap_bucket_number("doc_id").alias("container"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("doc_id")).alias("_bits"))
-    )
-    united = spelled.groupBy("source", "line", "_need", "container").agg(F.bitmap_or_agg("_bits").alias("documents"))
-    enough = united.groupBy("source", "line", "_need").agg(F.sum(F.bitmap_count("documents")).alias("n_docs")).filter("n_docs >= _need")
+    # one row for each document of a spelling, by hash aggregation, so that what is listed has no repeats
+    container = ["source", "line", "_need", "container"]
+    place = F.bitmap_bit_position("doc_id")
+    once = of_source.join(often, ["source", "line"]).select(*container[:3], F.bitmap_bucket_number("doc_id").alias("container"), "variant", place.cast("short").alias("place")).distinct().persist(StorageLevel.DISK_ONLY)
+    full = once.groupBy(*container).agg(F.count("*").alias("_m")).filter(F.col("_m") > most_listed).select(*container)
+    lists = once.join(full, container, "left_anti").groupBy(*container, "variant").agg(F.collect_list("place").alias("_listed"))
+    united_lists = lists.groupBy(*container).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_listed")))).alias("listed"))
+    maps = once.join(full, container, "left_semi").groupBy(*container, "variant").agg(F.bitmap_construct_agg(F.col("place").cast("long")).alias("_bits"))
+    united_maps = maps.groupBy(*container).agg(F.bitmap_or_agg("_bits").alias("bits"))
+    united = united_lists.unionByName(united_maps, allowMissingColumns=True)
+    size = F.coalesce(F.size("listed"), F.bitmap_count("bits"))
+    enough = united.groupBy("source", "line", "_need").agg(F.sum(size).alias("n_docs")).filter("n_docs >= _need")
     return united.join(enough.drop("_need"), ["source", "line"]).drop("_need")
 
 
-def _bit_is_set(bits: Column, position: Column) -> Column:
-    """Bit `position` of a bitmap as Spark builds it: byte position div 8, counted from its lowest bit."""
-    byte = F.conv(F.hex(F.substring(bits, (F.shiftright(position, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, F.pmod(position, F.lit(8)).cast("int")) == 1
+def _holds(listed: Column, bits: Column, place: Column) -> Column:
+    """Whether a document's place is in a container; of a bitmap byte `place` div 8 counts from its lowest bit."""
+    byte = F.conv(F.hex(F.substring(bits, (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.when(listed.isNotNull(), F.array_contains(listed, place.cast("short"))).otherwise(F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1)
 
 
-def site_line_hits(blocks: DataFrame, meta: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+def site_line_hits(blocks: DataFrame, meta: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, most_listed: int = MOST_LISTED, most_sent: int = MOST_SENT) -> DataFrame:
     """(block_id, line_no), distinct: the lines to delete, by bitmap lookup."""
-    shared = _shared(site_lines(blocks).persist(StorageLevel.DISK_ONLY), min_docs).persist(StorageLevel.DISK_ONLY)
-    found = repeated_lines(blocks, meta, min_docs, min_share, shared)
+    shared = _shared(site_lines(blocks).persist(StorageLevel.DISK_ONLY), min_docs, most_sent).persist(StorageLevel.DISK_ONLY)
+    found = repeated_lines(blocks, meta, min_docs, min_share, shared, most_listed)
     sources = meta.filter(F.col("source").isNotNull()).select("doc_id", "source").distinct()
     here = shared.join(sources, "doc_id").withColumn("container", F.bitmap_bucket_number("doc_id"))
-    hit = here.join(found, ["source", "line", "container"]).filter(_bit_is_set(F.col("documents"), F.bitmap_bit_position("doc_id")))
+    hit = here.join(found, ["source", "line", "container"]).filter(_holds(F.col("listed"), F.col("bits"), F.bitmap_bit_position("doc_id")))
     return hit.select("block_id", F.col("line_no").cast("int")).distinct()
 
 

@@ -169,6 +169,14 @@ def test_held_out_accuracy():
     assert np.mean([model.languages[i] == lang for i, (lang, _) in zip(p.argmax(axis=1), fresh, strict=True)]) >= 0.98
 
 
+def test_calibration():
+    assert language.calibration_error(np.array([0.9] * 10), np.array([True] * 9 + [False])) == pytest.approx(0)
+    assert language.calibration_error(np.array([0.95] * 10), np.array([False] * 10)) == pytest.approx(0.95)
+    texts = _texts(5)
+    model = language.train([t for _, t in texts], [lang for lang, _ in texts], list(range(len(texts))))
+    assert model.accuracy == 1 and model.calibration_error < 0.1
+
+
 def test_labels(spark):
     rows = [("en-GB", "en"), ("ENG", "en"), ("German", "de"), ("de_AT", "de"), ("und", None), ("", None), (None, None), ("zho", "zh")]
     got = spark.createDataFrame(rows, "l string, w string").select(language.two_letter(lookalikes.F.col("l")).alias("g"), "w").collect()
@@ -242,7 +250,12 @@ def test_site_lines(spark):
     rows += [block(100 + i, i, text="short line") for i in range(12)] + [block(200, 3, text=None), block(201, None, text=notice.format(1)), block(202, 50, text=notice.format(1)), block(203, 4, text="")]
     blocks = spark.createDataFrame(rows + rows[:1], BLOCK)
     meta = spark.createDataFrame([(i, "en", "s", "ocr") for i in range(12)] + [(0, "en", "s", "ocr"), (50, "en", None, "ocr"), (60, None, None, None)], META)
-    assert sorted(tuple(r) for r in sitelines.site_line_hits(blocks, meta).collect()) == [(i, 1) for i in range(12)]
+    for ways in ({}, {"most_listed": 2}, {"most_sent": 0}):
+        assert sorted(tuple(r) for r in sitelines.site_line_hits(blocks, meta, **ways).collect()) == [(i, 1) for i in range(12)], ways
+    far = blocks.filter("block_id < 12").withColumn("doc_id", lookalikes.F.col("doc_id") * 1_000_003)
+    of_far = meta.filter("doc_id < 12").withColumn("doc_id", lookalikes.F.col("doc_id") * 1_000_003)
+    kept = sitelines.repeated_lines(far, of_far).collect()
+    assert len(kept) == 12 and all(len(r.listed) == 1 and r.bits is None and r.n_docs == 12 for r in kept)
     cleaned = {r.block_id: r.text for r in sitelines.remove_site_lines(blocks, meta).collect()}
     assert cleaned[3] == "own text number xxx of this page" and cleaned[202] == notice.format(1) and cleaned[200] is None
     assert sitelines.site_line_hits(blocks.limit(0), meta).count() == 0 and sitelines.site_line_hits(blocks, meta.limit(0)).count() == 0
@@ -319,6 +332,8 @@ def test_mix(spark):
     targets = spark.createDataFrame([("p", "big", 0.4, 3), ("p", "small", 0.6, 2), ("p", "none", 0.1, 2), (None, "big", 1.0, 1)], "profile string, source string, target_share double, max_repeats int")
     got = {r.source: r for r in mixing.actual_shares(docs, targets, block_tokens=300).collect()}
     assert got["big"].actual_share == pytest.approx(0.4, abs=0.03) and got["small"].actual_share == pytest.approx(0.6, abs=0.03) and got["none"].actual_share == 0 and got["small"].times_used <= 2
+    own = {r.source: r.actual_share for r in mixing.actual_shares(docs, targets).collect()}
+    assert own["big"] == pytest.approx(0.4, abs=0.03) and own["small"] == pytest.approx(0.6, abs=0.03)
     mix = mixing.schedule(docs, targets, block_tokens=300).toPandas()
     assert mix.groupby(["source", "doc_id"]).size().max() <= 2 and mix.groupby(["slot"])["source"].nunique().max() == 1
     assert mixing.actual_shares(docs.limit(0), targets).filter("n_tokens > 0").count() == 0 and mixing.schedule(docs, targets.limit(0)).count() == 0
