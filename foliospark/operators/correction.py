@@ -25,7 +25,7 @@ def chunk_texts(els: DataFrame, max_chars: int = 4000) -> DataFrame:
 
 
 def correct(els: DataFrame, corrector: Corrector = lambda t: t, max_chars: int = 4000, tries: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Corrected elements, and (doc_id, chunk, outcome, reason) for each chunk.
+    """Corrected elements, and (doc_id, chunk, outcome, reason, error) for each chunk, error being what the corrector raised last.
 
     A rejected answer is asked for again if that may help; a corrector that raises counts as a rejection, 'error'. An answer with another
     number of paragraphs than the chunk is rejected unless the chunk is one element. The expensive step is written to the
@@ -35,21 +35,23 @@ def correct(els: DataFrame, corrector: Corrector = lambda t: t, max_chars: int =
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            answers = []
+            answers, errors = [], []
             for original in b["original"]:
-                answer = None
+                answer = error = None
                 for _ in range(tries):
                     try:
                         answer = corrector(original)
-                    except Exception:
+                    except Exception as e:  # whatever a plug-in raises is that chunk's failure
+                        error = f"{type(e).__name__}: {e}"
                         continue
                     text = (answer or "").strip()
                     if text and len(text) <= 1.25 * len(original) and not text[:180].lower().startswith(X.META_PREFIXES):
                         break
                 answers.append(answer)
-            yield b.assign(answer=answers)
+                errors.append(error if answer is None else None)
+            yield b.assign(answer=answers, error=errors)
 
-    asked = chunks.mapInPandas(ask, "doc_id long, chunk int, seqs array<long>, original string, answer string")
+    asked = chunks.mapInPandas(ask, "doc_id long, chunk int, seqs array<long>, original string, answer string, error string")
     judged = cut(similarity.guarded(asked.withColumn("candidate", X.unwrap_answer(F.col("answer")))))
     parts = F.transform(F.split("candidate", r"\n\n"), X.strip)
     many = F.size("seqs") > 1
@@ -59,7 +61,7 @@ def correct(els: DataFrame, corrector: Corrector = lambda t: t, max_chars: int =
     out = els.join(taken, ["doc_id", "seq"], "left").withColumn("text", F.coalesce("_new", "text")).drop("_new")
     changed = F.col("candidate") != X.strip(F.col("original"))
     outcome = F.when(F.col("reason") == "error", "error").when(F.col("reason") != "ok", "rejected").when(changed, "accepted").otherwise("unchanged")
-    return out, decided.select("doc_id", "chunk", outcome.alias("outcome"), "reason")
+    return out, decided.select("doc_id", "chunk", outcome.alias("outcome"), "reason", "error")
 
 
 def correction_stats(outcomes: DataFrame) -> DataFrame:

@@ -41,21 +41,36 @@ def planned_actions(always: bool = False, binarize: bool = False) -> Column:
     return F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), n) for n, c in when.items())))
 
 
+def rounded_metrics() -> list[Column]:
+    """The metrics as they are reported, to three places, halves to even."""
+    return [F.bround(c, 3).alias(c) for c in METRICS]
+
+
 def restore_pages(pages: DataFrame, restorer: Callable[[str, list[str]], str]) -> DataFrame:
-    """The pages with image_path replaced by what the plug-in makes of it and their actions; a page on which it fails keeps its image."""
+    """(doc_id, page_index, image_path, actions, restored_path, changed, error): what the plug-in makes of the pages that need something.
+
+    A page on which it fails keeps its image and has the error.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            paths = []
+            done = []
             for path, actions in zip(b["image_path"], b["actions"], strict=True):
                 try:
-                    paths.append(restorer(path, list(actions)) if len(actions) else path)
-                except Exception:
-                    paths.append(path)
-            yield b.assign(restored_path=paths)
+                    new = restorer(path, list(actions)) if len(actions) else path
+                    done.append((new, new != path, None))
+                except Exception as e:  # whatever a plug-in raises is that page's failure
+                    done.append((path, False, f"{type(e).__name__}: {e}"))
+            yield b.assign(restored_path=[d[0] for d in done], changed=[d[1] for d in done], error=[d[2] for d in done])
 
     slim = pages.select("doc_id", "page_index", "image_path", "actions")
-    return slim.mapInPandas(run, "doc_id long, page_index int, image_path string, actions array<string>, restored_path string")
+    return slim.mapInPandas(run, "doc_id long, page_index int, image_path string, actions array<string>, restored_path string, changed boolean, error string")
+
+
+def restoration_report(restored: DataFrame, scores: DataFrame) -> DataFrame:
+    """(doc_id, n_pages, n_changed, n_failed, score): scores has (doc_id, page_index, score), of which each document's upper median counts."""
+    by = restored.groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.count_if("changed").alias("n_changed"), F.count_if(F.col("error").isNotNull()).alias("n_failed"))
+    return by.join(aggregates.upper_median(scores, ["doc_id"], "score", "score"), "doc_id", "left")
 
 
 def render_dpi(width_pt: Column, height_pt: Column, native_dpi: Column, target_px: int = 2400, low: int = 150, high: int = 400) -> Column:

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import aggregates, similarity
 from foliospark.functions import text as X
-from foliospark.operators import assembly, chunking, correction, furniture, html, layout, quality, textlayer
-from foliospark.plans import render
+from foliospark import config
+from foliospark.operators import assembly, chunking, correction, figures, furniture, html, layout, quality, textlayer
+from foliospark.plans import pipeline, render
 from foliospark.session import table as t
-from foliospark.sources import files
+from foliospark.sources import files, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,8 +60,7 @@ def _by_block(f: Callable, name: str) -> Query:
 
 
 def repeat_key_counts(s: SparkSession, d: str) -> DataFrame:
-    key = F.replace(X.repeat_key(F.col("text")), F.lit("ς"), F.lit("σ"))
-    return lines(s, d).filter("text IS NOT NULL").select(key.alias("repeat_key")).groupBy("repeat_key").agg(F.count("*").alias("n"))
+    return lines(s, d).filter("text IS NOT NULL").select(X.repeat_key(F.col("text")).alias("repeat_key")).groupBy("repeat_key").agg(F.count("*").alias("n"))
 
 
 def heading_promote(s: SparkSession, d: str) -> DataFrame:
@@ -160,6 +160,27 @@ def reading_order(s: SparkSession, d: str) -> DataFrame:
 
 
 def method_histogram(s: SparkSession, d: str) -> DataFrame:
+    """How the order of how many pages was found."""
+    return reading_order(s, d).select("doc_id", "page_index", "method").distinct().groupBy("method").agg(F.count("*").alias("n_pages"))
+
+
+def column_detect(s: SparkSession, d: str) -> DataFrame:
+    return reading_order(s, d).select("doc_id", "page_index", "n_columns", "confidence").distinct()
+
+
+def xy_cut_order(s: SparkSession, d: str) -> DataFrame:
+    """Every page ordered by cuts, whatever order its engine gave."""
+    return layout.reading_order(blocks(s, d), pages(s, d), prefer_engine=False).select("doc_id", "page_index", "block_id", "new_order")
+
+
+def order_checks(s: SparkSession, d: str) -> DataFrame:
+    """The given order held against the columns that are detected."""
+    columns = reading_order(s, d).select("block_id", F.col("new_column").alias("column_no"))
+    return layout.column_switches(blocks(s, d).drop("column_no").join(columns, "block_id"))
+
+
+def noted_methods(s: SparkSession, d: str) -> DataFrame:
+    """The methods that recognised pages carry in their notes."""
     by_page = t(s, d, "ocr_pages").dropDuplicates(["page_id"]).select(F.try_element_at("notes", F.lit("order_method")).alias("method"))
     return by_page.filter("method IS NOT NULL").groupBy("method").agg(F.count("*").alias("n_pages"))
 
@@ -194,9 +215,55 @@ def html_elements(s: SparkSession, d: str) -> DataFrame:
     return html.html_elements(some).select("doc_id", "seq", "type", "text", "level")
 
 
+def latest_meta(s: SparkSession, d: str) -> DataFrame:
+    """A document's newest metadata."""
+    own = ("title", "author", "language", "source_file")
+    newest = F.max_by(F.struct(*own), F.struct("ingested_at", *(F.coalesce(c, F.lit("")) for c in own)))
+    return t(s, d, "document_meta").groupBy("doc_id").agg(newest.alias("_m")).select("doc_id", "_m.*")
+
+
+def front_matter(s: SparkSession, d: str) -> DataFrame:
+    """The heads of all documents' Markdown, with the titles they were given."""
+    n_pages = t(s, d, "source_pages").groupBy("doc_id").agg(F.countDistinct("page_index").alias("pages"))
+    return render.markdown_heads(latest_meta(s, d).join(n_pages, "doc_id"), "2025-01-01")
+
+
 def markdown(s: SparkSession, d: str) -> DataFrame:
+    """Each document's head and the Markdown of its elements, place by place."""
     els = stitched(s, d)
-    return render.markdown_parts(els, assembly.infer_title(t(s, d, "document_meta"), elements(s, d)), furniture.folio_map(blocks(s, d)))
+    titles = assembly.infer_title(t(s, d, "document_meta"), elements(s, d))
+    n_pages = els.filter("type = 'page_break'").groupBy("doc_id").agg(F.count("*").alias("pages"))
+    heads = render.markdown_heads(latest_meta(s, d).drop("title").join(titles, "doc_id").join(n_pages, "doc_id"), "2025-01-01")
+    return render.with_heads(render.markdown_parts(els, titles, furniture.folio_map(blocks(s, d))), heads)
+
+
+def figure_crops(s: SparkSession, d: str) -> DataFrame:
+    """As if no figure had been cut out yet."""
+    return figures.figure_crops(blocks(s, d).withColumn("image_path", F.lit(None).cast("string")), pages(s, d))
+
+
+def correction_cache(s: SparkSession, d: str) -> DataFrame:
+    """Documents whose stitched elements are as many as the elements they were made of, as if these had been kept."""
+    return ingest.reusable_corrections(elements(s, d), stitched(s, d))
+
+
+def ingest_manifest(s: SparkSession, d: str) -> DataFrame:
+    """What a trial run of 20 pages keeps of the scanned documents."""
+    p = t(s, d, "source_pages").dropDuplicates(["page_id"]).join(t(s, d, "document_meta").groupBy("doc_id").agg(F.max_by("mode", "ingested_at").alias("mode")), "doc_id")
+    totals = p.groupBy("doc_id").agg(F.countDistinct("page_index").alias("total_pages"))
+    return ingest.manifest(ingest.limit_pages(p, 20), totals, 20).select("doc_id", "page_index", "total_pages", "max_pages", "image_path", "width", "height")
+
+
+def input_kinds(s: SparkSession, d: str) -> DataFrame:
+    """How the documents' source files would be dispatched."""
+    paths = t(s, d, "document_meta").select(F.col("source_file").alias("path")).filter("path IS NOT NULL").distinct()
+    return ingest.dispatch(paths.select(F.col("path").alias("document"), F.array("path").alias("files"))).select("document", "kind", "title")
+
+
+def document_outcomes(s: SparkSession, d: str) -> DataFrame:
+    """Which documents come to something, and what is wrong with the others."""
+    inputs = pipeline.from_tables(s, d)
+    return pipeline.outcomes(inputs, pipeline.assembled(inputs, config.load(environ={})))
 
 
 def _native_markdown(s: SparkSession, d: str, els: DataFrame) -> DataFrame:
@@ -348,6 +415,10 @@ def queries() -> dict[str, Query]:
         "upper_median": upper_medians,
         "reading_order": reading_order,
         "method_histogram": method_histogram,
+        "noted_methods": noted_methods,
+        "column_detect": column_detect,
+        "xy_cut_order": xy_cut_order,
+        "order_checks": order_checks,
         "axis_split": axis_split,
         "largest_gap": largest_gaps,
         "order_validation": order_validation,
@@ -357,6 +428,12 @@ def queries() -> dict[str, Query]:
         "links_images": links_images,
         "table_markdown": lambda s, d: blocks(s, d).filter("type = 'table' AND html IS NOT NULL").select("block_id", X.table_markdown(F.col("html")).alias("markdown")),
         "markdown": markdown,
+        "front_matter": front_matter,
+        "figure_crops": figure_crops,
+        "correction_cache": correction_cache,
+        "ingest_manifest": ingest_manifest,
+        "input_kinds": input_kinds,
+        "document_outcomes": document_outcomes,
         "xhtml": xhtml,
         "epub_packages": epub_packages,
         "probe_route": probe_routes,

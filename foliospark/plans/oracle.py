@@ -127,11 +127,18 @@ for _marks, _plain in X.PLAIN_GLYPHS:
 _GLYPHS = f"regexp_replace({_GLYPHS}, '[^\\x{{20}}-\\x{{7e}}\\x{{a1}}-\\x{{17f}}]', ' ', 'g')"
 _DURING = "regexp_replace(regexp_replace(regexp_replace(native_html, '(?is)<head\\b.*?</head>', ' ', 'g'), '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g')"
 
+
+
+def _yaml(x: str) -> str:
+    body = f"replace(replace(replace(coalesce({x}, ''), chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), chr(10), ' ')"
+    return f"chr(34) || {strip(body)} || chr(34)"
+
+
 SQL: dict[str, str] = {
     "text_quality": f"""WITH d AS (SELECT doc_id, {strip("text")} AS t FROM documents),
 m AS (SELECT doc_id, t, {words("t")} AS nw, len(list_filter(regexp_split_to_array(t, '{X.LINE_BREAK}'), lambda y: {strip("y")} <> '')) AS nl, len(regexp_extract_all(t, '{X.LATIN_WORD}')) AS lw, len(list_filter(regexp_extract_all(t, '{X.LATIN_WORD}'), lambda y: length(y) >= 4)) AS ll, length(regexp_replace(t, '{X.NOT_ALPHA}', '', 'g')) AS al FROM d)
 SELECT doc_id, round(CASE WHEN length(t) < 40 OR lw = 0 THEN 0.0 ELSE round_even(0.45 * least(1.0, CAST(nw AS DOUBLE) / nl / 6.0) + 0.30 * (CAST(al AS DOUBLE) / length(t)) + 0.25 * least(1.0, CAST(ll AS DOUBLE) / lw / 0.45), 3) END, 2) AS quality FROM m""",
-    "repeat_key_counts": f"WITH {_LINES} SELECT replace({key('text')}, 'ς', 'σ') AS repeat_key, count(*) AS n FROM l WHERE text IS NOT NULL GROUP BY 1",
+    "repeat_key_counts": f"WITH {_LINES} SELECT {key('text')} AS repeat_key, count(*) AS n FROM l WHERE text IS NOT NULL GROUP BY 1",
     "folio_flags": by_block(folio("text"), "is_folio"),
     "normalise_text": by_block(normalised("text"), "plain"),
     "dehyphenate": by_block(dehyphenated("text"), "joined"),
@@ -161,7 +168,7 @@ SELECT doc_id, round(CASE WHEN length(t) < 40 OR lw = 0 THEN 0.0 ELSE round_even
     "reason_histogram": "WITH r AS (SELECT DISTINCT run_id, reasons FROM clean_stats), e AS (SELECT unnest(map_keys(reasons)) AS reason, unnest(map_values(reasons)) AS n FROM r) SELECT reason, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_runs FROM e GROUP BY reason",
     "page_metrics_score": "WITH o AS (SELECT page_id, max(deskew_angle) AS skew FROM ocr_pages GROUP BY page_id), p AS (SELECT DISTINCT page_id, width, height, page_index, skew FROM source_pages LEFT JOIN o USING (page_id)), m AS (SELECT page_id, skew, CAST(width % 130 AS DOUBLE) AS sh, CAST(height % 61 AS DOUBLE) AS co, CAST(page_index % 13 AS DOUBLE) AS no, CAST(width % 71 AS DOUBLE) AS il, (height % 20) / 100.0 AS bo FROM p) SELECT page_id, round(greatest(0.0, least(1.0, 1 - 0.30 * (1 - least(1.0, coalesce(sh, 999.0) / 120)) - 0.20 * (1 - least(1.0, coalesce(co, 99.0) / 55)) - 0.20 * least(1.0, abs(coalesce(skew, 0.0)) / 3) - 0.15 * least(1.0, coalesce(no, 0.0) / 12) - 0.15 * least(1.0, coalesce(il, 0.0) / 70))), 6) AS score, concat_ws(',', CASE WHEN bo > 0.12 THEN 'crop' END, CASE WHEN abs(skew) >= 0.30 THEN 'deskew' END, CASE WHEN il > 38 THEN 'illumination' END, CASE WHEN co < 48 THEN 'clahe' END, CASE WHEN no > 6.5 THEN 'despeckle' END) AS actions FROM m",
     "upper_median": "WITH b AS (SELECT DISTINCT block_id, type, confidence FROM blocks WHERE confidence IS NOT NULL) SELECT type, list_sort(list(confidence))[CAST(count(*) // 2 + 1 AS INT)] AS median FROM b GROUP BY type",
-    "method_histogram": "WITH p AS (SELECT DISTINCT page_id, notes['order_method'] AS method FROM ocr_pages) SELECT method, count(*) AS n_pages FROM p WHERE method IS NOT NULL GROUP BY method",
+    "noted_methods": "WITH p AS (SELECT DISTINCT page_id, notes['order_method'] AS method FROM ocr_pages) SELECT method, count(*) AS n_pages FROM p WHERE method IS NOT NULL GROUP BY method",
     "axis_split": f"WITH {_B}, r AS (SELECT block_id, doc_id, page_index, y0, y0 - max(y1) OVER (PARTITION BY doc_id, page_index ORDER BY y0, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 2339 * 0.012 AS cut FROM b WHERE y0 IS NOT NULL AND y1 IS NOT NULL) SELECT block_id, CAST(sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_index ORDER BY y0, block_id) AS INT) AS axis_group FROM r",
     "largest_gap": f"WITH {_B}, r AS (SELECT doc_id, page_index, y0 - max(y1) OVER (PARTITION BY doc_id, page_index ORDER BY y0, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM b WHERE y0 IS NOT NULL AND y1 IS NOT NULL) SELECT doc_id, page_index, greatest(0.0, max(g)) AS gap FROM r GROUP BY doc_id, page_index",
     "order_validation": f"WITH {_B}, r AS (SELECT doc_id, page_index, block_order % 3 AS c, lag(block_order % 3) OVER (PARTITION BY doc_id, page_index ORDER BY block_order, block_id) AS p FROM b WHERE type IN ('text', 'list', 'heading') AND y1 > y0), n AS (SELECT doc_id, page_index, sum(CASE WHEN p <> c THEN 1 ELSE 0 END) AS s, count(*) AS k, max(c) + 1 AS n FROM r GROUP BY doc_id, page_index) SELECT doc_id, page_index, CAST(s AS BIGINT) AS switches, k AS singles, n >= 2 AND k >= 4 AND s > n + 1 AND s > 0.4 * k AS wrong FROM n",
@@ -180,4 +187,19 @@ n AS (SELECT doc_id, max(page_index) + 1 AS n_pages FROM s GROUP BY doc_id),
 e AS (SELECT s.* FROM s JOIN n USING (doc_id) WHERE list_contains(list_transform(range(12), lambda i: i * n_pages // 12), page_index)),
 g AS (SELECT doc_id, list_sort(list(coverage))[count(*) // 2 + 1] AS coverage, list_sort(list(dpi) FILTER (dpi > 0))[count(*) FILTER (dpi > 0) // 2 + 1] AS dpi, list_sort(list(quality))[count(*) // 2 + 1] AS quality FROM e GROUP BY doc_id)
 SELECT doc_id, n_pages, CAST(coverage AS DOUBLE) AS coverage, coalesce(dpi, 300.0) AS dpi, CAST(quality AS DOUBLE) AS quality, coalesce(coverage >= 0.55, false) AS is_scan, CASE WHEN NOT coalesce(coverage >= 0.55, false) AND coalesce(quality >= 0.80, false) THEN 'native' ELSE 'ocr' END AS mode FROM n LEFT JOIN g USING (doc_id)""",
+    "chunk_pack": f"{_ST}, c AS MATERIALIZED (SELECT doc_id, seq, length(text) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS rn FROM st WHERE type IN ('text', 'list', 'caption', 'footnote') AND {strip('text')} <> ''), r AS (SELECT doc_id, seq, rn, n AS size, 0 AS chunk FROM c WHERE rn = 1 UNION ALL SELECT c.doc_id, c.seq, c.rn, CASE WHEN r.size + c.n > 4000 THEN c.n ELSE r.size + c.n END, r.chunk + CASE WHEN r.size + c.n > 4000 THEN 1 ELSE 0 END FROM r JOIN c ON c.doc_id = r.doc_id AND c.rn = r.rn + 1) SELECT doc_id, seq, CAST(chunk AS INT) AS chunk FROM r".replace("WITH ", "WITH RECURSIVE ", 1),
+    "slug_ascii": f"WITH a AS (SELECT DISTINCT doc_id, author FROM document_meta WHERE author IS NOT NULL), b AS (SELECT doc_id, regexp_replace(regexp_replace(trim(regexp_replace(strip_accents(author), '[^\\p{{L}}\\p{{N}}_ .\\-]', '', 'g')), ' +', '_', 'g'), '_{{2,}}', '_', 'g') AS s FROM a), c AS (SELECT doc_id, regexp_replace(s, '^[._\\-]+|[._\\-]+$', '', 'g') AS s FROM b) SELECT DISTINCT doc_id, substring(CASE WHEN s = '' THEN 'document' ELSE s END, 1, 90) AS slug FROM c",
+    "links_images": "WITH p AS (SELECT DISTINCT page_id, native_html AS h FROM source_pages WHERE native_html <> ''), i AS (SELECT page_id, list_transform(regexp_extract_all(h, '(?is)<(?:img|image)\\b[^>]*>'), lambda x: regexp_extract(x, '(?is)(?:src|xlink:href)\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1)) AS s FROM p), f AS (SELECT page_id, list_filter(s, lambda x: x <> '') AS s FROM i) SELECT page_id, CAST(unnest(range(len(s))) AS INT) AS image_no, unnest(s) AS src FROM f",
+    "table_markdown": f"""WITH {_B}, h AS (SELECT block_id, html FROM b WHERE type = 'table' AND html IS NOT NULL),
+c AS (SELECT block_id, html, list_filter(list_transform(regexp_extract_all(html, '(?is)<tr\\b[^>]*>.*?</tr>'), lambda r: list_transform(regexp_extract_all(r, '(?is)<t[hd]\\b[^>]*>.*?</t[hd]>'), lambda x: replace(trim(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '{WS}+', ' ', 'g')), '|', chr(92) || '|'))), lambda r: len(r) > 0) AS rows FROM h),
+w AS (SELECT *, list_max(list_transform(rows, lambda r: len(r))) AS wide FROM c)
+SELECT block_id, CASE WHEN regexp_matches(html, '(?i)<table') AND NOT regexp_matches(html, '(?i)(rowspan|colspan) *=') AND len(rows) >= 2 AND wide >= 2 THEN array_to_string(list_transform(rows, lambda r, i: '| ' || array_to_string(list_resize(r, wide, ''), ' | ') || ' |' || CASE WHEN i = 1 THEN chr(10) || '|' || repeat(' --- |', wide) ELSE '' END), chr(10)) END AS markdown FROM w""",
+    "figure_crops": f"WITH {_B}, f AS (SELECT b.*, page_width AS w, page_height AS h FROM b JOIN pg USING (doc_id, page_index) WHERE type = 'figure' AND (x1 - x0) * (y1 - y0) / greatest(1.0, page_width * page_height) >= 0.01), c AS (SELECT doc_id, block_id, page_index, block_order, greatest(0, CAST(trunc(x0) AS INT)) AS l, greatest(0, CAST(trunc(y0) AS INT)) AS t, least(w, CAST(trunc(x1) AS INT)) AS r, least(h, CAST(trunc(y1) AS INT)) AS b FROM f) SELECT doc_id, block_id, page_index, l AS left, t AS top, r AS right, b AS bottom, printf('images/p%04d_%02d.jpg', page_index, row_number() OVER (PARTITION BY doc_id ORDER BY page_index, block_order, block_id) - 1) AS name FROM c WHERE r - l >= 16 AND b - t >= 16",
+    "front_matter": f"""WITH n AS (SELECT doc_id, count(DISTINCT page_index) AS pages FROM source_pages GROUP BY doc_id),
+m AS (SELECT doc_id, title, author, language, source_file FROM document_meta QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ingested_at DESC, coalesce(title, '') DESC, coalesce(author, '') DESC, coalesce(language, '') DESC, coalesce(source_file, '') DESC) = 1)
+SELECT doc_id, concat_ws(chr(10) || chr(10), concat_ws(chr(10), '---', 'title: ' || {_yaml("title")}, CASE WHEN author <> '' THEN 'author: ' || {_yaml("author")} END, 'language: ' || {_yaml("CASE WHEN language <> '' THEN language ELSE 'en' END")}, 'source_file: ' || {_yaml("source_file")}, 'ocr_date: 2025-01-01', 'pages: "' || pages || '"', '---'),
+  CASE WHEN {strip("title")} <> '' THEN '# ' || trim(regexp_replace(title, '{WS}+', ' ', 'g')) END, CASE WHEN {strip("author")} <> '' THEN '*' || trim(regexp_replace(author, '{WS}+', ' ', 'g')) || '*' END) AS head FROM m JOIN n USING (doc_id)""",
+    "correction_cache": f"{_ST}, h AS (SELECT doc_id, count(*) AS n FROM els GROUP BY doc_id), k AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM st UNION ALL SELECT doc_id FROM els WHERE type = 'page_break') GROUP BY doc_id) SELECT doc_id FROM h JOIN k USING (doc_id, n)",
+    "ingest_manifest": "WITH p AS (SELECT DISTINCT page_id, doc_id, page_index, image_path, width, height FROM source_pages), m AS (SELECT doc_id, arg_max(mode, ingested_at) AS mode FROM document_meta GROUP BY doc_id), t AS (SELECT doc_id, count(DISTINCT page_index) AS total_pages FROM p JOIN m USING (doc_id) GROUP BY doc_id) SELECT doc_id, page_index, total_pages, 20 AS max_pages, image_path, width, height FROM p JOIN m USING (doc_id) JOIN t USING (doc_id) WHERE page_index < 20 AND coalesce(mode, 'ocr') <> 'native'",
+    "input_kinds": "WITH f AS (SELECT DISTINCT source_file AS f FROM document_meta WHERE source_file IS NOT NULL), e AS (SELECT f, lower(regexp_extract(f, '\\.([^./]*)$', 1)) AS e, regexp_replace(regexp_extract(f, '([^/]*)$', 1), '\\.[^.]*$', '') AS title FROM f) SELECT f AS document, CASE WHEN e IN ('pdf', 'epub') THEN e WHEN e IN ('png', 'jpg', 'jpeg', 'tif', 'tiff', 'bmp', 'webp') THEN 'images' END AS kind, title FROM e",
 }

@@ -15,8 +15,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as X
+from foliospark.sources.files import IMAGES as LOOSE
+from foliospark.sources.images import frame_sizes
 
-SCHEMA = "path string, error string, title string, author string, language string, identifier string, manifest array<struct<id:string,href:string>>, spine array<string>, members array<struct<name:string,size:long>>, pages array<struct<href:string,html:string>>"
+IMAGES = (*LOOSE, "gif")
+
+SCHEMA = "path string, error string, title string, author string, language string, identifier string, manifest array<struct<id:string,href:string>>, spine array<string>, members array<struct<name:string,size:long,width:int,height:int>>, pages array<struct<href:string,html:string>>"
 
 
 def _local(tag: str) -> str:
@@ -45,7 +49,10 @@ def read_package(content: bytes) -> dict:
                 spine.append(e.get("idref"))
         wanted = {m["href"] for m in manifest if m["id"] in set(spine)} & names
         pages = [{"href": h, "html": z.read(h).decode("utf-8", "replace")} for h in sorted(wanted)]
-        members = [{"name": i.filename, "size": i.file_size} for i in z.infolist()]
+        members = []
+        for i in z.infolist():
+            size = (frame_sizes(z.read(i)) or [(None, None)])[0] if posixpath.splitext(i.filename)[1].lower().lstrip(".") in IMAGES else (None, None)
+            members.append({"name": i.filename, "size": i.file_size, "width": size[0], "height": size[1]})
     return out | {"manifest": manifest, "spine": spine, "pages": pages, "members": members}
 
 
@@ -79,8 +86,8 @@ def spine_pages(packages: DataFrame) -> DataFrame:
 
 
 def image_references(pages: DataFrame, packages: DataFrame) -> DataFrame:
-    """(path, page_index, name, size): images a page names that are in the package."""
-    members = packages.select("path", F.explode("members").alias("m")).select("path", "m.name", "m.size")
+    """(path, page_index, name, size, width, height): images a page names that are in the package."""
+    members = packages.select("path", F.explode("members").alias("m")).select("path", "m.name", "m.size", "m.width", "m.height")
     folder = F.regexp_replace("href", r"[^/]*$", "")
     raw = pages.select("path", "page_index", folder.alias("_f"), F.explode(F.array_distinct(X.images_of(F.col("native_html")))).alias("_s"))
     joined = F.concat("_f", F.regexp_replace("_s", r"^\./", ""))
@@ -97,6 +104,11 @@ def probe(pages: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def largest_images(images: DataFrame) -> DataFrame:
-    """(path, page_index, name): each page's largest image, the first name of equals; pages without one are left out and numbered anew."""
-    best = images.groupBy("path", "page_index").agg(F.min_by("name", F.struct(-F.col("size"), "name")).alias("name"))
-    return best.select("path", F.col("page_index").alias("source_page"), (F.row_number().over(W.partitionBy("path").orderBy("page_index")) - 1).alias("page_index"), "name")
+    """(path, page_index, source_page, name, width, height, dpi): each page's readable image of the largest area, the first name of equals.
+
+    Pages without one are left out and numbered anew; source_page keeps the place in the spine.
+    """
+    readable = images.filter("width > 0 AND height > 0").withColumn("_a", F.col("width").cast("long") * F.col("height"))
+    best = readable.groupBy("path", "page_index").agg(F.min_by(F.struct("name", "width", "height"), F.struct(-F.col("_a"), "name")).alias("_b"))
+    index = F.row_number().over(W.partitionBy("path").orderBy("page_index")) - 1
+    return best.select("path", index.alias("page_index"), F.col("page_index").alias("source_page"), "_b.name", "_b.width", "_b.height", F.lit(300.0).alias("dpi"))

@@ -1,5 +1,11 @@
+import http.server
 import importlib
+import io
+import json
 import os
+import struct
+import threading
+import zipfile
 
 import duckdb
 import numpy as np
@@ -335,3 +341,211 @@ def test_nothing_needs_training_text():
             for node in ast.walk(ast.parse(p.read_text())):
                 names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
                 assert not any(n.startswith("foliospark.llm") for n in names), p
+
+
+# --- ingest, engines, outputs
+
+
+def _png(width, height):
+    return b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", width, height) + b"\x08\x02\0\0\0"
+
+
+def _jpeg(width, height):
+    return b"\xff\xd8\xff\xe0" + struct.pack(">H", 16) + b"JFIF\0" + b"\0" * 9 + b"\xff\xc0" + struct.pack(">HBHH", 17, 8, height, width) + b"\0" * 12
+
+
+def _tiff(*sizes):
+    out, at = b"II*\0" + struct.pack("<I", 8), 8
+    for k, (width, height) in enumerate(sizes):
+        at += 2 + 24 + 4
+        out += struct.pack("<H", 2) + struct.pack("<HHII", 256, 4, 1, width) + struct.pack("<HHII", 257, 4, 1, height) + struct.pack("<I", at if k + 1 < len(sizes) else 0)
+    return out
+
+
+def test_image_sizes():
+    from foliospark.sources.images import frame_sizes
+
+    assert frame_sizes(_png(30, 40)) == [(30, 40)] and frame_sizes(_jpeg(50, 60)) == [(50, 60)] and frame_sizes(_tiff((1, 2), (3, 4))) == [(1, 2), (3, 4)]
+    assert frame_sizes(b"GIF89a" + struct.pack("<HH", 7, 8)) == [(7, 8)] and frame_sizes(b"BM" + b"\0" * 16 + struct.pack("<ii", 9, -10)) == [(9, 10)]
+    assert frame_sizes(b"RIFF\0\0\0\0WEBPVP8X" + b"\0" * 8 + (10).to_bytes(3, "little") + (20).to_bytes(3, "little")) == [(11, 21)]
+    assert frame_sizes(None) == frame_sizes(b"") == frame_sizes(b"\x89PNG\r\n\x1a\n") == frame_sizes(b"\xff\xd8\xff\xe0") == frame_sizes(b"text") == frame_sizes(_tiff((1, 2))[:20]) == []
+
+
+def test_ingest(spark):
+    from foliospark.sources import files, ingest
+
+    contents = {"/in/a.pdf": b"", "/in/b.epub": b"", "/in/c.png": _png(10, 20), "/in/book/p10.png": _png(3, 3), "/in/book/p2.tif": _tiff((1, 1), (2, 2)), "/in/book/p9.jpg": b"broken"}
+    table = spark.createDataFrame(list(contents.items()), "path string, content binary")
+    groups = ingest.dispatch(files.group_inputs(table.select("path"), "/in"))
+    assert {(r.document, r.kind, r.title) for r in groups.collect()} == {("/in/a.pdf", "pdf", "a"), ("/in/b.epub", "epub", "b"), ("/in/c.png", "images", "c"), ("/in/book", "images", "book")}
+    odd = ingest.dispatch(spark.createDataFrame([("x.doc", ["x.doc"])], "document string, files array<string>")).collect()[0]
+    assert odd.kind is None and odd.error == "unsupported input: x.doc"
+    pages = ingest.image_pages(groups.filter("kind = 'images'"), table).collect()
+    assert sorted((r.document, r.page_index, r.image_path, r.frame, r.width) for r in pages) == [("/in/book", 0, "/in/book/p2.tif", 0, 1), ("/in/book", 1, "/in/book/p2.tif", 1, 2), ("/in/book", 2, "/in/book/p10.png", 0, 3), ("/in/c.png", 0, "/in/c.png", 0, 10)]
+    assert ingest.image_pages(groups, table, 1).count() == 2
+
+
+def test_store(spark, tmp_path):
+    from foliospark.sources.ingest import Store, reusable_corrections
+
+    store = Store(spark, str(tmp_path / "kept"))
+    assert store.load("pages") is None
+    rows = lambda *x: spark.createDataFrame(list(x), "doc_id long, text string")
+    store.save("pages", rows((1, "a"), (1, "b"), (2, "c"), (300, "d")))
+    store.save("pages", rows((1, "new"), (4, "e")))
+    assert {tuple(r) for r in store.load("pages").collect()} == {(1, "new"), (2, "c"), (300, "d"), (4, "e")}
+    (tmp_path / "kept" / "broken").mkdir()
+    (tmp_path / "kept" / "broken" / "x.parquet").write_bytes(b"no table")
+    assert store.load("broken") is None
+    assert [r.doc_id for r in reusable_corrections(rows((1, "a"), (2, "b"), (2, "c")), rows((1, "x"), (2, "y"), (3, "z"))).collect()] == [1]
+
+
+def test_figures(spark):
+    from foliospark.operators import figures
+
+    rows = [_block(1, 0, "", 100.0, 300.9, "figure"), _block(2, 1, "", 0.0, 5.0, "figure"), _block(3, 1, "", -5.0, 3000.0, "figure", 1), _block(4, 1, "", 0.0, 300.0), _block(5, 2, "", None, 3.0, "figure")]
+    blocks = spark.createDataFrame(rows + [(6, 1, 0, 0, "figure", 0.0, 0.0, 500.0, 500.0, "", 0, "have.png", None)], BLOCK)
+    pages = spark.createDataFrame([(1, p, 1000, 1400) for p in range(3)], "doc_id long, page_index int, page_width int, page_height int")
+    crops = figures.figure_crops(blocks, pages)
+    assert [(r.block_id, r.left, r.top, r.right, r.bottom, r.name) for r in crops.orderBy("name").collect()] == [(1, 60, 100, 900, 300, "images/p0000_00.jpg"), (3, 60, 0, 900, 1400, "images/p0001_01.jpg")]
+    assert {r.block_id: r.image_path for r in figures.with_figures(blocks, crops).collect() if r.image_path} == {1: "images/p0000_00.jpg", 3: "images/p0001_01.jpg", 6: "have.png"}
+
+
+class _Echo:
+    def available(self):
+        return ""
+
+    def load(self):
+        pass
+
+    def read(self, path):
+        if path == "bad":
+            raise OSError("unreadable")
+        return [([(5, 1), (9, 2), (8, 7), (4, 6)], f" {path} ", 0.5), ([(0, 0), (1, 1)], "  ", 0.1)]
+
+    def close(self):
+        pass
+
+
+def test_engines(spark):
+    from foliospark.operators import engines
+
+    engines.engine("echo")(_Echo)
+    assert engines.choose("auto", ["none", "echo"]) == "echo" and engines.choose("echo", []) == "echo"
+    with pytest.raises(LookupError):
+        engines.choose("none", [])
+    pages = engines.recognise(spark.createDataFrame([(1, 0, "a.png"), (1, 1, "bad")], "doc_id long, page_index int, image_path string"), _Echo)
+    got = {r.page_index: (len(r.lines), r.error) for r in pages.collect()}
+    assert got == {0: (2, None), 1: (0, "OSError: unreadable")}
+    (line,) = engines.engine_lines(pages).collect()
+    assert (line.text, line.x0, line.y0, line.x1, line.y1) == ("a.png", 4.0, 1.0, 9.0, 7.0)
+
+
+def test_restoration(spark):
+    def restorer(path, actions):
+        if path == "bad":
+            raise ValueError("broken")
+        return path + "+" + "".join(actions)
+
+    rows = spark.createDataFrame([(1, 0, "a", ["crop"]), (1, 1, "b", []), (1, 2, "bad", ["crop"])], "doc_id long, page_index int, image_path string, actions array<string>")
+    done = quality.restore_pages(rows, restorer)
+    assert {r.page_index: (r.restored_path, r.changed, r.error) for r in done.collect()} == {0: ("a+crop", True, None), 1: ("b", False, None), 2: ("bad", False, "ValueError: broken")}
+    scores = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.7), (1, 2, 0.9), (1, 3, 0.8)], "doc_id long, page_index int, score double")
+    assert tuple(quality.restoration_report(done, scores).collect()[0]) == (1, 3, 1, 1, 0.8)
+
+
+def test_deep_engine_json(spark):
+    leaf = lambda text, **more: {"type": "text", "bbox": [0, 0, 10, 10], "lines": [{"spans": [{"type": "text", "content": text}]}], **more}
+    nest = lambda *x, **more: {"type": "list", "blocks": list(x), **more}
+    page = {"page_idx": 0, "page_size": [100, 100], "para_blocks": [nest(nest(nest(nest(leaf("deep", index=0), leaf("deeper")), leaf("third")), leaf("second")), leaf("first"), index=2), leaf("before", index=1)]}
+    rows = spark.createDataFrame([(1, json.dumps(page), 200, 200), (2, "no json", 1, 1)], "doc_id long, json string, width int, height int")
+    got = engine_json.engine_blocks(rows).orderBy("block_order").collect()
+    assert [r.text for r in got] == ["before", "deep", "deeper", "third", "second", "first"] and got[1].x1 == 20.0
+
+
+def test_slugs(spark):
+    assert values(spark, X.slug, ["Čapek: Růže & Dům", "Ünal Şahin", "Ελένη", "ﬁne  print", "...", None]) == ["Capek_Ruze_Dum", "Unal_Sahin", "Ελενη", "fine_print", "document", None]
+
+
+def test_text_layer(spark):
+    from foliospark.operators import textlayer
+
+    images = spark.createDataFrame([(1, 0, 0, 1000, 500, 0.0, 0.0, 360.0, 360.0, 720.0, 720.0), (1, 0, 1, 2000, 2000, 0.0, 0.0, 360.0, 360.0, 720.0, 720.0), (1, 1, 0, 0, 5, 0.0, 0.0, 1.0, 1.0, 720.0, 720.0)], "doc_id long, page_index int, image_no int, width int, height int, x0 double, y0 double, x1 double, y1 double, page_width double, page_height double")
+    assert {r.page_index: (round(r.dpi, 3), r.coverage) for r in textlayer.effective_dpi(images).collect()} == {0: (200.0, 0.25), 1: (300.0, 0.0)}
+    rows = spark.createDataFrame([("mmmmmmmm", 40.0, 12.0), ("iiii", 40.0, 12.0), ("a", 0.1, 0.1), ("two words here", 60.0, 30.0)], "t string, w double, h double")
+    got = [(r.s, r.e) for r in rows.select(textlayer.fitted_size(F.col("t"), F.col("w"), F.col("h")).alias("s"), textlayer.font_size(F.col("t"), F.col("w"), F.col("h")).alias("e")).collect()]
+    assert got[0][0] < got[0][1] and got[1][0] == got[1][1] and got[2][0] == 0.5 and 0.5 < got[3][0] <= got[3][1]
+
+
+def test_epub_images():
+    body = '<p>x</p><figure><img src="images/a&amp;b.png" alt="A"/><figcaption>A</figcaption></figure><figure><img src="gone.png" alt=""/></figure>'
+    made = render.epub_bytes("T", "", "en", "id", "2025-01-01T00:00:00Z", [("One", body), ("Two", body)], {"images/a&b.png": b"PNG", "unused.png": b"no"})
+    with zipfile.ZipFile(io.BytesIO(made)) as z:
+        names = z.namelist()
+        chapter = z.read("OEBPS/chapter_0001.xhtml").decode()
+        opf = z.read("OEBPS/content.opf").decode()
+        assert names[0] == "mimetype" and [n for n in names if "images/" in n] == ["OEBPS/images/0001.png"] and z.read("OEBPS/images/0001.png") == b"PNG" and "OEBPS/style.css" in names
+    assert 'src="images/0001.png"' in chapter and "gone.png" not in chapter and 'href="style.css"' in chapter and 'media-type="image/png"' in opf and 'media-type="text/css"' in opf
+
+
+def test_correction_server(spark):
+    from foliospark.operators import correction_server
+
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def log_message(self, *_):
+            pass
+
+        def answer(self, code, body):
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def do_GET(self):
+            self.answer(200, {"models": [{"name": "small:1b"}]})
+
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append("think" in body)
+            self.answer(400, {}) if "think" in body else self.answer(200, {"response": "<text>done</text>"})
+
+    with http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler) as served:
+        threading.Thread(target=served.serve_forever, daemon=True).start()
+        url = f"http://127.0.0.1:{served.server_address[1]}"
+        server = correction_server.Server(url, "small")
+        assert correction_server.corrector_or_none(server) == (server, "")
+        assert server("a") == server("b") == "<text>done</text>" and asked == [True, False, False]
+        assert "no model" in correction_server.corrector_or_none(correction_server.Server(url, "large"))[1]
+        served.shutdown()
+    assert correction_server.corrector_or_none(correction_server.Server(url, "small", timeout=1))[0] is None and correction_server.corrector_or_none(None)[0] is None
+
+
+@needs_data
+def test_pipeline_and_command_line(spark, tmp_path, capsys):
+    from foliospark import cli
+    from foliospark.plans import pipeline
+
+    out = str(tmp_path / "out")
+    assert cli.main([SMALL, "--output-dir", out, "--pages", "2", "--work-dir", str(tmp_path / "work"), "--only", "md", "--no-llm"]) in (pipeline.OK, pipeline.SOME_FAILED)
+    status = spark.read.parquet(f"{out}/outcomes")
+    assert status.filter("ok").count() > 0 and status.agg(F.max("n_pages")).first()[0] <= 2 and status.filter("NOT ok AND error IS NULL").count() == 0
+    assert len(os.listdir(f"{out}/markdown")) > 1 and not os.path.exists(f"{out}/epub")
+    assert cli.main(["/no/such/folder"]) == pipeline.NO_FILE and cli.main([]) == pipeline.NOTHING_TO_DO and cli.main(["--engine", "none", SMALL]) == pipeline.NO_ENGINE and cli.main(["--list-engines"]) == pipeline.OK
+
+
+@needs_data
+def test_corrections_are_kept(spark, tmp_path):
+    from foliospark.plans import pipeline
+    from foliospark.sources.ingest import Store
+
+    store = Store(spark, str(tmp_path))
+    settings_ = config.load(environ={})
+    els = spark.createDataFrame([(d, i, "text", "the clerk wrote a letter to the old mill", 0, None, None, [0], 1) for d in range(3) for i in range(2)], "doc_id long, seq long, type string, text string, level int, image_path string, html string, pages array<int>, n_parts int")
+    swap = lambda t: t.replace("clerk", "clark")
+    first = pipeline.corrected(els, settings_, swap, store)
+    assert first.filter("text LIKE '%clark%'").count() == 6
+    more = els.unionByName(els.filter("doc_id = 1 AND seq = 0").withColumn("seq", F.lit(9).cast("long")))
+    again = pipeline.corrected(more, settings_, lambda t: t.replace("clerk", "clork"), store)
+    assert {(r.doc_id, "clork" in r.text) for r in again.collect()} == {(0, False), (1, True), (2, False)}
+    assert pipeline.corrected(els, settings_, None, store).filter("text LIKE '%clerk%'").count() == 6
