@@ -25,6 +25,7 @@ from foliospark.sources import epub, files
 BLOCK = "block_id long, doc_id long, page_index int, block_order int, type string, x0 double, y0 double, x1 double, y1 double, text string, level int, image_path string, html string"
 ELEMENT = "doc_id long, seq long, type string, text string, level int, image_path string, html string, page_index int"
 SMALL = "/root/testdata/sf0.001"
+needs_data = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test data")
 
 
 def values(spark, f, texts):
@@ -411,24 +412,23 @@ def test_figures(spark):
     assert {r.block_id: r.image_path for r in figures.with_figures(blocks, crops).collect() if r.image_path} == {1: "images/p0000_00.jpg", 3: "images/p0001_01.jpg", 6: "have.png"}
 
 
-class _Echo:
-    def available(self):
-        return ""
-
-    def load(self):
-        pass
+def test_engines(spark):
+    from foliospark.operators import engines
 
-    def read(self, path):
-        if path == "bad":
-            raise OSError("unreadable")
-        return [([(5, 1), (9, 2), (8, 7), (4, 6)], f" {path} ", 0.5), ([(0, 0), (1, 1)], "  ", 0.1)]
+    class _Echo:
+        def available(self):
+            return ""
 
-    def close(self):
-        pass
+        def load(self):
+            pass
 
+        def read(self, path):
+            if path == "bad":
+                raise OSError("unreadable")
+            return [([(5, 1), (9, 2), (8, 7), (4, 6)], f" {path} ", 0.5), ([(0, 0), (1, 1)], "  ", 0.1)]
 
-def test_engines(spark):
-    from foliospark.operators import engines
+        def close(self):
+            pass
 
     engines.engine("echo")(_Echo)
     assert engines.choose("auto", ["none", "echo"]) == "echo" and engines.choose("echo", []) == "echo"
