@@ -1,20 +1,31 @@
-"""The registered queries in DuckDB's SQL, written apart from the operators; they share the patterns' text only."""
+"""The registered queries in DuckDB's SQL, written apart from the operators, with patterns of their own."""
 
 from __future__ import annotations
 
-from foliospark.functions import text as X
-
-
 def _q(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
-WS, NOT_WS = X.WS, X.NOT_WS
+# White space as Unicode and the C0 separators have it; letters of Latin up to U+024F; signs for a hyphen.
+_BLANK, _LATIN, _HYPHEN = r"\t-\r\x{1c}-\x{1f}\x{85}\p{Z}", "a-zA-ZÀ-ɏ", "\u2010\u2011\u2013\u00ad-"
+WS, NOT_WS = f"[{_BLANK}]", f"[^{_BLANK}]"
+LINE_BREAK = r"\r\n|[\n-\r\x{1c}-\x{1e}\x{85}\p{Zl}\p{Zp}]"
+LATIN_WORD, LETTERS_AND_BLANKS = f"[{_LATIN}]{{2,}}", f"[^{_BLANK}\\p{{L}}]"
+FOLIO_EDGE = r"^[\])}\[({.,—–\x20-]+|[\])}\[({.,—–\x20-]+$"
+FOLIO = f"^(?:(?i:page){WS}*)?[ivxlcdmIVXLCDM\\p{{Nd}}]+$"
+BROKEN_WORD = f"([{_LATIN}]{{2,}})[{_HYPHEN}]{WS}*\\n{WS}*([a-zà-ɏ])"
+SOFT_HYPHEN = f"([{_LATIN}]{{2,}})\u00ad{WS}*([a-zà-ɏ])"
+LIST_START = f"^{WS}*(?:[*•·–—-]|\\(?[cilvxCILVX0-9]{{1,4}}[).]|[a-zA-Z][).]){WS}+"
+TOKEN = r"\p{Nd}+|\p{L}+"
+# Fixed values, as in the operators: ligatures, plain forms of typographic marks, beginnings of refused answers.
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+GLYPHS = {"‘’‚‛′": "'", "“”„″": '"', "–—‒‐‑": "-", "…": "...", "\u00a0\u2009\u202f\n\r\t": " ", "\u00ad": ""}
+REFUSALS = ("i cannot", "i can't", "as an ai", "i'm sorry", "note:", "the text appears", "this text contains")
 OPEN_END = r"[\p{L}\p{N}\-\x{2010}\x{2011}\x{ad}\x{2013},;]$"
 
 
 def strip(x: str) -> str:
-    return "regexp_replace(" + x + ", '" + X.STRIP + "', '', 'g')"
+    return "regexp_replace(" + x + f", '^{WS}+|{WS}+$', '', 'g')"
 
 
 def every(x: str, pattern: str, to: str = "") -> str:
@@ -26,22 +37,22 @@ def words(x: str) -> str:
 
 
 def joined(x: str) -> str:
-    return f"array_to_string(list_filter(list_transform(regexp_split_to_array({x}, '{X.LINE_BREAK}'), lambda y: {strip('y')}), lambda y: y <> ''), ' ')"
+    return f"array_to_string(list_filter(list_transform(regexp_split_to_array({x}, '{LINE_BREAK}'), lambda y: {strip('y')}), lambda y: y <> ''), ' ')"
 
 
 def dehyphenated(x: str) -> str:
-    return f"regexp_replace(regexp_replace({x}, '{X.BROKEN_WORD}', '\\1\\2', 'g'), '{X.SOFT_HYPHEN}', '\\1\\2', 'g')"
+    return f"regexp_replace(regexp_replace({x}, '{BROKEN_WORD}', '\\1\\2', 'g'), '{SOFT_HYPHEN}', '\\1\\2', 'g')"
 
 
 def normalised(x: str) -> str:
-    for mark, plain in X.LIGATURES:
+    for mark, plain in LIGATURES.items():
         x = f"replace({x}, '{mark}', '{plain}')"
     return strip(f"regexp_replace(replace(replace({x}, chr(160), ' '), chr(8203), ''), '[ \\t]+', ' ', 'g')")
 
 
 def folio(x: str) -> str:
-    bare = every(strip(x), X.FOLIO_EDGE)
-    return f"coalesce(length({bare}) BETWEEN 1 AND 12 AND regexp_matches({bare}, '{X.FOLIO}'), false)"
+    bare = every(strip(x), FOLIO_EDGE)
+    return f"coalesce(length({bare}) BETWEEN 1 AND 12 AND regexp_matches({bare}, '{FOLIO}'), false)"
 
 
 def key(x: str) -> str:
@@ -98,11 +109,11 @@ els AS (SELECT doc_id, page_index * 100000 + place AS seq,
 def stitched(els: str) -> str:
     tail = f"regexp_replace(pt, '{WS}+$', '')"
     return f"""w AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY seq) AS pt, lag(type) OVER (PARTITION BY doc_id ORDER BY seq) AS ptype FROM {els} WHERE type <> 'page_break'),
-w1 AS (SELECT *, coalesce(ptype = 'text' AND type = 'text' AND {strip("text")} <> '' AND regexp_matches({tail}, '{OPEN_END}') AND NOT regexp_matches({strip("text")}, '{X.LIST_START}'), false) AS a, coalesce(length({tail}) >= 40, false) AS long_ FROM w),
+w1 AS (SELECT *, coalesce(ptype = 'text' AND type = 'text' AND {strip("text")} <> '' AND regexp_matches({tail}, '{OPEN_END}') AND NOT regexp_matches({strip("text")}, '{LIST_START}'), false) AS a, coalesce(length({tail}) >= 40, false) AS long_ FROM w),
 w2 AS (SELECT *, sum(CASE WHEN a THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY seq) AS island FROM w1),
 w3 AS (SELECT *, a AND max(CASE WHEN a AND long_ THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, island ORDER BY seq) = 1 AS cont FROM w2),
 w4 AS (SELECT *, sum(CASE WHEN cont THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY seq) AS para FROM w3),
-w5 AS (SELECT *, regexp_matches(regexp_replace(text, '{WS}+$', ''), '[{X.HYPHENS}]$') AND cont_next AND regexp_matches(next_text, '^{WS}*\\p{{Ll}}') AS drop_hyphen FROM (SELECT *, coalesce(lead(cont) OVER (PARTITION BY doc_id ORDER BY seq), false) AS cont_next, lead(text) OVER (PARTITION BY doc_id ORDER BY seq) AS next_text FROM w4)),
+w5 AS (SELECT *, regexp_matches(regexp_replace(text, '{WS}+$', ''), '[{_HYPHEN}]$') AND cont_next AND regexp_matches(next_text, '^{WS}*\\p{{Ll}}') AS drop_hyphen FROM (SELECT *, coalesce(lead(cont) OVER (PARTITION BY doc_id ORDER BY seq), false) AS cont_next, lead(text) OVER (PARTITION BY doc_id ORDER BY seq) AS next_text FROM w4)),
 w6 AS (SELECT *, CASE WHEN cont_next THEN CASE WHEN coalesce(drop_hyphen, false) THEN regexp_replace(regexp_replace(piece, '{WS}+$', ''), '.$', '') ELSE regexp_replace(piece, '{WS}+$', '') || ' ' END ELSE piece END AS glued FROM (SELECT *, CASE WHEN cont THEN regexp_replace(text, '^{WS}+', '') ELSE text END AS piece FROM w5)),
 st AS (SELECT doc_id, min(seq) AS seq, arg_min(type, seq) AS type, string_agg(glued, '' ORDER BY seq) AS text, arg_min(level, seq) AS level, array_to_string(list_sort(list_distinct(list(page_index))), ',') AS pages, CAST(count(*) AS INT) AS n_parts FROM w6 GROUP BY doc_id, para)"""
 
@@ -111,18 +122,28 @@ _ST = f"WITH {_ELS}, {stitched('els')}"
 _NATIVE = f"""src AS (SELECT DISTINCT doc_id, page_index, page_id, native_text FROM source_pages WHERE native_text IS NOT NULL),
 parts AS (SELECT doc_id, page_index, unnest(p) AS t, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, page_index, regexp_split_to_array({strip("native_text")}, '\\n{WS}*\\n') AS p FROM src)),
 nels AS (SELECT doc_id, page_index * 100000 + i AS seq, 'text' AS type, {joined(normalised(dehyphenated("t")))} AS text, 0 AS level, page_index FROM parts)"""
+# The names of the characters from U+00A0 on, in order.
+_NAMES = "nbsp iexcl cent pound curren yen brvbar sect uml copy ordf laquo not shy reg macr deg plusmn sup2 sup3 acute micro para middot cedil sup1 ordm raquo frac14 frac12 frac34 iquest Agrave Aacute Acirc Atilde Auml Aring AElig Ccedil Egrave Eacute Ecirc Euml Igrave Iacute Icirc Iuml ETH Ntilde Ograve Oacute Ocirc Otilde Ouml times Oslash Ugrave Uacute Ucirc Uuml Yacute THORN szlig agrave aacute acirc atilde auml aring aelig ccedil egrave eacute ecirc euml igrave iacute icirc iuml eth ntilde ograve oacute ocirc otilde ouml divide oslash ugrave uacute ucirc uuml yacute thorn yuml".split()
+_ENTITIES = ", ".join([f"'{n}': chr({160 + i})" for i, n in enumerate(_NAMES)] + ["'amp': '&'", "'lt': '<'", "'gt': '>'", "'quot': chr(34)"])
+_UNESCAPED = "array_to_string(list_transform(regexp_extract_all(t, '&#?[0-9A-Za-z]+;|[^&]+|&'), lambda y: CASE WHEN regexp_matches(y, '^&#[0-9]+;') THEN chr(CAST(regexp_extract(y, '[0-9]+') AS INT)) WHEN regexp_matches(y, '^&[0-9A-Za-z]+;') THEN coalesce(e.m[regexp_extract(y, '[0-9A-Za-z]+')], y) ELSE y END), '')"
+# Pages here have a head, and headings, paragraphs and list items that hold no other tags.
+_HTML = f"""e AS (SELECT MAP {{{_ENTITIES}}} AS m),
+hp AS (SELECT DISTINCT doc_id, page_index, page_id, native_html AS h FROM source_pages WHERE native_html <> ''),
+hb AS (SELECT doc_id, page_index, page_id, unnest(b) AS b, generate_subscripts(b, 1) AS i FROM (SELECT *, regexp_extract_all(regexp_replace(h, '(?s)<head>.*</head>', ''), '<(?:h[1-6]|p|li)>[^<]*') AS b FROM hp)),
+ht AS (SELECT doc_id, page_index, page_id, i, regexp_extract(b, '^<([a-z0-9]+)', 1) AS tag, trim(regexp_replace({_UNESCAPED.replace("(t,", "(regexp_replace(b, '^<[^>]*>', ''),")}, '{WS}+', ' ', 'g')) AS text FROM hb, e),
+hels AS (SELECT doc_id, page_index * 100000 + row_number() OVER (PARTITION BY page_id ORDER BY i) AS seq, CASE tag WHEN 'p' THEN 'text' WHEN 'li' THEN 'list' ELSE 'heading' END AS type, text, CASE WHEN tag LIKE 'h_' THEN CAST(tag[2] AS INT) ELSE 0 END AS level, page_index FROM ht WHERE text <> '')"""
 _GUARD = f"""{_B}, pairs AS (SELECT block_id, text AS o, coalesce(lead(text) OVER (PARTITION BY doc_id, page_index ORDER BY block_order, block_id), text) AS c FROM b WHERE type = 'text' AND text IS NOT NULL),
-ta AS (SELECT block_id, w, count(*) AS n FROM (SELECT block_id, unnest(regexp_extract_all(lower(o), '{X.TOKEN}')) AS w FROM pairs) GROUP BY block_id, w),
-tb AS (SELECT block_id, w, count(*) AS n FROM (SELECT block_id, unnest(regexp_extract_all(lower(c), '{X.TOKEN}')) AS w FROM pairs) GROUP BY block_id, w),
+ta AS (SELECT block_id, w, count(*) AS n FROM (SELECT block_id, unnest(regexp_extract_all(lower(o), '{TOKEN}')) AS w FROM pairs) GROUP BY block_id, w),
+tb AS (SELECT block_id, w, count(*) AS n FROM (SELECT block_id, unnest(regexp_extract_all(lower(c), '{TOKEN}')) AS w FROM pairs) GROUP BY block_id, w),
 common AS (SELECT block_id, sum(least(ta.n, tb.n)) AS n FROM ta JOIN tb USING (block_id, w) GROUP BY block_id),
 na AS (SELECT block_id, sum(n) AS n FROM ta GROUP BY block_id), nb AS (SELECT block_id, sum(n) AS n FROM tb GROUP BY block_id),
 bound AS (SELECT pairs.*, CASE WHEN na.n IS NULL AND nb.n IS NULL THEN 1.0 WHEN na.n IS NULL OR nb.n IS NULL THEN 0.0 ELSE 2.0 * coalesce(common.n, 0) / (na.n + nb.n) END AS bound FROM pairs LEFT JOIN common USING (block_id) LEFT JOIN na USING (block_id) LEFT JOIN nb USING (block_id))"""
-_PREFIXES = "|".join(X.META_PREFIXES).replace("'", "''")
+_PREFIXES = "|".join(REFUSALS).replace("'", "''")
 _BULLET = f"^{WS}*(?:[•·–—*]|[0-9]+[.)]){WS}+"
 _NUMBERED = f"^([0-9]+)[.)]{WS}+(.*)$"
-_ITEMS = f"list_filter(list_transform(regexp_split_to_array(text, '{X.LINE_BREAK}'), lambda y: {strip('y')}), lambda y: y <> '')"
+_ITEMS = f"list_filter(list_transform(regexp_split_to_array(text, '{LINE_BREAK}'), lambda y: {strip('y')}), lambda y: y <> '')"
 _GLYPHS = "text"
-for _marks, _plain in X.PLAIN_GLYPHS:
+for _marks, _plain in GLYPHS.items():
     _GLYPHS = f"regexp_replace({_GLYPHS}, '[{_q(_marks)}]', '{_q(_plain)}', 'g')"
 _GLYPHS = f"regexp_replace({_GLYPHS}, '[^\\x{{20}}-\\x{{7e}}\\x{{a1}}-\\x{{17f}}]', ' ', 'g')"
 _DURING = "regexp_replace(regexp_replace(regexp_replace(native_html, '(?is)<head\\b.*?</head>', ' ', 'g'), '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g')"
@@ -136,16 +157,16 @@ def _yaml(x: str) -> str:
 
 SQL: dict[str, str] = {
     "text_quality": f"""WITH d AS (SELECT doc_id, {strip("text")} AS t FROM documents),
-m AS (SELECT doc_id, t, {words("t")} AS nw, len(list_filter(regexp_split_to_array(t, '{X.LINE_BREAK}'), lambda y: {strip("y")} <> '')) AS nl, len(regexp_extract_all(t, '{X.LATIN_WORD}')) AS lw, len(list_filter(regexp_extract_all(t, '{X.LATIN_WORD}'), lambda y: length(y) >= 4)) AS ll, length(regexp_replace(t, '{X.NOT_ALPHA}', '', 'g')) AS al FROM d)
+m AS (SELECT doc_id, t, {words("t")} AS nw, len(list_filter(regexp_split_to_array(t, '{LINE_BREAK}'), lambda y: {strip("y")} <> '')) AS nl, len(regexp_extract_all(t, '{LATIN_WORD}')) AS lw, len(list_filter(regexp_extract_all(t, '{LATIN_WORD}'), lambda y: length(y) >= 4)) AS ll, length(regexp_replace(t, '{LETTERS_AND_BLANKS}', '', 'g')) AS al FROM d)
 SELECT doc_id, round(CASE WHEN length(t) < 40 OR lw = 0 THEN 0.0 ELSE round_even(0.45 * least(1.0, CAST(nw AS DOUBLE) / nl / 6.0) + 0.30 * (CAST(al AS DOUBLE) / length(t)) + 0.25 * least(1.0, CAST(ll AS DOUBLE) / lw / 0.45), 3) END, 2) AS quality FROM m""",
     "repeat_key_counts": f"WITH {_LINES} SELECT {key('text')} AS repeat_key, count(*) AS n FROM l WHERE text IS NOT NULL GROUP BY 1",
     "folio_flags": by_block(folio("text"), "is_folio"),
     "normalise_text": by_block(normalised("text"), "plain"),
     "dehyphenate": by_block(dehyphenated("text"), "joined"),
     "join_lines": by_block(joined("text"), "joined"),
-    "list_start_flags": f"WITH {_LINES} SELECT block_id, line_no, regexp_matches(text, '{X.LIST_START}') AS is_start FROM l WHERE text IS NOT NULL",
+    "list_start_flags": f"WITH {_LINES} SELECT block_id, line_no, regexp_matches(text, '{LIST_START}') AS is_start FROM l WHERE text IS NOT NULL",
     "list_format": f"WITH {_B}, i AS (SELECT block_id, text, {_ITEMS} AS items FROM b WHERE type = 'list' AND text IS NOT NULL), j AS (SELECT *, coalesce(items[1], {strip('text')}) AS one FROM i) SELECT block_id, CASE WHEN len(items) <= 1 THEN CASE WHEN regexp_matches(one, '{_BULLET}') THEN '- ' || regexp_replace(one, '{_BULLET}', '') ELSE one END ELSE array_to_string(list_transform(items, lambda y: CASE WHEN regexp_matches(y, '{_NUMBERED}') THEN regexp_replace(y, '{_NUMBERED}', '\\1. \\2') ELSE '- ' || regexp_replace(y, '{_BULLET}', '') END), chr(10)) END AS items FROM j",
-    "token_counts": by_block(f"CAST(len(regexp_extract_all(lower(text), '{X.TOKEN}')) AS INT)", "n_tokens"),
+    "token_counts": by_block(f"CAST(len(regexp_extract_all(lower(text), '{TOKEN}')) AS INT)", "n_tokens"),
     "plain_glyphs": by_block(_GLYPHS, "plain"),
     "yaml_escape": f"SELECT DISTINCT doc_id, '\"' || {strip('replace(replace(replace(coalesce(title, ' + chr(39) * 2 + '), chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), chr(10), chr(32))')} || '\"' AS quoted FROM document_meta",
     "html_escape": by_block("replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')", "escaped"),
@@ -181,7 +202,7 @@ SELECT doc_id, round(CASE WHEN length(t) < 40 OR lw = 0 THEN 0.0 ELSE round_even
     "page_feed": f"WITH {_B}, x AS (SELECT block_id, {joined(dehyphenated(normalised('text')))} AS text FROM b WHERE coalesce(type NOT IN ('header', 'footer', 'page_number'), true)) SELECT block_id, text FROM x WHERE text <> ''",
     "probe_route": f"""WITH p AS (SELECT doc_id, page_index, max(native_text) AS x, max(dpi) AS dpi FROM source_pages GROUP BY doc_id, page_index),
 q AS (SELECT doc_id, page_index, dpi, CASE WHEN x IS NULL THEN 1.0 ELSE 0.0 END AS coverage, {strip("x")} AS t FROM p),
-m AS (SELECT *, {words("t")} AS nw, len(list_filter(regexp_split_to_array(t, '{X.LINE_BREAK}'), lambda y: {strip("y")} <> '')) AS nl, len(regexp_extract_all(t, '{X.LATIN_WORD}')) AS lw, len(list_filter(regexp_extract_all(t, '{X.LATIN_WORD}'), lambda y: length(y) >= 4)) AS ll, length(regexp_replace(t, '{X.NOT_ALPHA}', '', 'g')) AS al FROM q),
+m AS (SELECT *, {words("t")} AS nw, len(list_filter(regexp_split_to_array(t, '{LINE_BREAK}'), lambda y: {strip("y")} <> '')) AS nl, len(regexp_extract_all(t, '{LATIN_WORD}')) AS lw, len(list_filter(regexp_extract_all(t, '{LATIN_WORD}'), lambda y: length(y) >= 4)) AS ll, length(regexp_replace(t, '{LETTERS_AND_BLANKS}', '', 'g')) AS al FROM q),
 s AS (SELECT doc_id, page_index, dpi, coverage, round(coalesce(CASE WHEN t IS NULL THEN NULL WHEN length(t) < 40 OR lw = 0 THEN 0.0 ELSE round_even(0.45 * least(1.0, CAST(nw AS DOUBLE) / nl / 6.0) + 0.30 * (CAST(al AS DOUBLE) / length(t)) + 0.25 * least(1.0, CAST(ll AS DOUBLE) / lw / 0.45), 3) END, 0.0), 2) AS quality FROM m),
 n AS (SELECT doc_id, max(page_index) + 1 AS n_pages FROM s GROUP BY doc_id),
 e AS (SELECT s.* FROM s JOIN n USING (doc_id) WHERE list_contains(list_transform(range(12), lambda i: i * n_pages // 12), page_index)),
@@ -202,4 +223,11 @@ SELECT doc_id, concat_ws(chr(10) || chr(10), concat_ws(chr(10), '---', 'title: '
     "correction_cache": f"{_ST}, h AS (SELECT doc_id, count(*) AS n FROM els GROUP BY doc_id), k AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM st UNION ALL SELECT doc_id FROM els WHERE type = 'page_break') GROUP BY doc_id) SELECT doc_id FROM h JOIN k USING (doc_id, n)",
     "ingest_manifest": "WITH p AS (SELECT DISTINCT page_id, doc_id, page_index, image_path, width, height FROM source_pages), m AS (SELECT doc_id, arg_max(mode, ingested_at) AS mode FROM document_meta GROUP BY doc_id), t AS (SELECT doc_id, count(DISTINCT page_index) AS total_pages FROM p JOIN m USING (doc_id) GROUP BY doc_id) SELECT doc_id, page_index, total_pages, 20 AS max_pages, image_path, width, height FROM p JOIN m USING (doc_id) JOIN t USING (doc_id) WHERE page_index < 20 AND coalesce(mode, 'ocr') <> 'native'",
     "input_kinds": "WITH f AS (SELECT DISTINCT source_file AS f FROM document_meta WHERE source_file IS NOT NULL), e AS (SELECT f, lower(regexp_extract(f, '\\.([^./]*)$', 1)) AS e, regexp_replace(regexp_extract(f, '([^/]*)$', 1), '\\.[^.]*$', '') AS title FROM f) SELECT f AS document, CASE WHEN e IN ('pdf', 'epub') THEN e WHEN e IN ('png', 'jpg', 'jpeg', 'tif', 'tiff', 'bmp', 'webp') THEN 'images' END AS kind, title FROM e",
+    "html_elements": f"WITH {_HTML} SELECT doc_id, seq, type, text, level FROM hels",
+    "native_documents": f"""WITH {_HTML}, {_NATIVE.replace("WHERE native_text IS NOT NULL", "WHERE native_text IS NOT NULL AND coalesce(native_html, '') = ''")},
+un AS (SELECT doc_id, seq, type, {joined(normalised("text"))} AS text, level, page_index FROM hels UNION ALL SELECT doc_id, seq, type, text, level, page_index FROM nels),
+nel AS (SELECT * FROM un WHERE text <> ''), {stitched("nel")},
+brk AS (SELECT doc_id, count(DISTINCT page_index) AS n_pages FROM source_pages WHERE native_text IS NOT NULL OR native_html IS NOT NULL GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) FILTER (type = 'heading') AS nh, count(*) FILTER (type NOT IN ('heading', 'figure')) AS np, sum({words("text")}) AS nw FROM st GROUP BY doc_id)
+SELECT doc_id, n_pages, coalesce(nh, 0) AS n_headings, CAST(0 AS BIGINT) AS n_figures, coalesce(np, 0) AS n_paragraphs, CAST(coalesce(nw, 0) AS BIGINT) AS n_words FROM brk LEFT JOIN c USING (doc_id)""",
 }
