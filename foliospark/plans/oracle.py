@@ -230,4 +230,15 @@ nel AS (SELECT * FROM un WHERE text <> ''), {stitched("nel")},
 brk AS (SELECT doc_id, count(DISTINCT page_index) AS n_pages FROM source_pages WHERE native_text IS NOT NULL OR native_html IS NOT NULL GROUP BY doc_id),
 c AS (SELECT doc_id, count(*) FILTER (type = 'heading') AS nh, count(*) FILTER (type NOT IN ('heading', 'figure')) AS np, sum({words("text")}) AS nw FROM st GROUP BY doc_id)
 SELECT doc_id, n_pages, coalesce(nh, 0) AS n_headings, CAST(0 AS BIGINT) AS n_figures, coalesce(np, 0) AS n_paragraphs, CAST(coalesce(nw, 0) AS BIGINT) AS n_words FROM brk LEFT JOIN c USING (doc_id)""",
+    "chapter_split": f"""{_ST}, al AS (SELECT doc_id, seq, type, text, level FROM st UNION ALL SELECT doc_id, seq, type, text, level FROM els WHERE type = 'page_break'),
+hd AS (SELECT doc_id, min(level) AS top FROM al WHERE type = 'heading' AND level > 0 GROUP BY doc_id),
+b0 AS (SELECT al.*, top, row_number() OVER (PARTITION BY doc_id ORDER BY seq) = 1 AS first, count(*) FILTER (type IN ('text', 'list', 'table', 'figure')) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS body FROM al LEFT JOIN hd USING (doc_id)),
+b1 AS (SELECT *, coalesce(type = 'heading' AND level = top AND NOT first, false) AS cut FROM b0),
+b2 AS MATERIALIZED (SELECT *, sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seq) AS part FROM b1),
+cd AS MATERIALIZED (SELECT doc_id, part, seq, body, row_number() OVER (PARTITION BY doc_id, part ORDER BY seq) AS rn FROM b2 WHERE type = 'heading' AND NOT cut),
+r AS (SELECT doc_id, part, CAST(0 AS BIGINT) AS rn, min(body) AS since, CAST(NULL AS BIGINT) AS seq, false AS forced FROM b2 GROUP BY doc_id, part
+  UNION ALL SELECT c.doc_id, c.part, c.rn, CASE WHEN c.body - r.since >= 400 THEN c.body ELSE r.since END, c.seq, c.body - r.since >= 400 FROM r JOIN cd c ON c.doc_id = r.doc_id AND c.part = r.part AND c.rn = r.rn + 1),
+b3 AS (SELECT b2.*, b2.cut OR coalesce(f.forced, false) AS begins, CASE WHEN type = 'heading' AND {strip("text")} <> '' THEN {strip("text")} END AS named FROM b2 LEFT JOIN (SELECT doc_id, seq, forced FROM r WHERE forced) f USING (doc_id, seq)),
+b4 AS (SELECT *, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seq) AS chapter FROM b3)
+SELECT doc_id, CAST(chapter AS INT) AS chapter, coalesce(arg_min(named, seq) FILTER (begins OR (first AND type = 'heading' AND level = top)), arg_min(named, seq), 'Part ' || (chapter + 1)) AS title, count(*) AS n_elements FROM b4 GROUP BY doc_id, chapter HAVING max(CASE WHEN type <> 'page_break' THEN 1 ELSE 0 END) = 1""".replace("WITH ", "WITH RECURSIVE ", 1),
 }
