@@ -65,7 +65,7 @@ def elements(blocks: DataFrame, pages: DataFrame, furniture: bool = True, headin
 
 def goes_on(prev: Column, text: Column) -> Column:
     """Whether a text goes on where the one before stopped, length apart: no sentence end before, no list start after."""
-    tail = F.regexp_replace(prev, f"{X.WS}+$", "")
+    tail = X.strip_right(prev)
     return F.coalesce((X.strip(text) != "") & tail.rlike(OPEN_END) & ~X.is_list_start(X.strip(text)), F.lit(False))
 
 
@@ -80,7 +80,7 @@ def stitch(els: DataFrame, breaks: DataFrame | None = None, least: int = 40) ->
     here = els.filter("type <> 'page_break'") if breaks is None else els
     doc = W.partitionBy("doc_id").orderBy("seq")
     prev_text, prev_type = F.lag("text").over(doc), F.lag("type").over(doc)
-    a = here.withColumn("_a", F.coalesce((prev_type == "text") & (F.col("type") == "text") & goes_on(prev_text, F.col("text")), F.lit(False))).withColumn("_b", F.coalesce(F.length(F.regexp_replace(prev_text, f"{X.WS}+$", "")) >= least, F.lit(False)))
+    a = here.withColumn("_a", F.coalesce((prev_type == "text") & (F.col("type") == "text") & goes_on(prev_text, F.col("text")), F.lit(False))).withColumn("_b", F.coalesce(F.length(X.strip_right(prev_text)) >= least, F.lit(False)))
     island = a.withColumn("_island", F.sum(F.when(F.col("_a"), 0).otherwise(1)).over(doc))
     cont = island.withColumn("_cont", F.col("_a") & (F.max(F.when(F.col("_a") & F.col("_b"), 1).otherwise(0)).over(W.partitionBy("doc_id", "_island").orderBy("seq")) == 1))
     numbered = cont.withColumn("_para", F.sum(F.when(F.col("_cont"), 0).otherwise(1)).over(doc))
@@ -95,7 +95,7 @@ def stitch(els: DataFrame, breaks: DataFrame | None = None, least: int = 40) ->
     )
 
     def glue(done: Column, x: Column) -> Column:
-        return X.let(F.struct(F.regexp_replace(done, f"{X.WS}+$", "").alias("tail"), F.regexp_replace(x["text"], f"^{X.WS}+", "").alias("head")), joined)
+        return X.let(F.struct(X.strip_right(done).alias("tail"), X.strip_left(x["text"]).alias("head")), joined)
 
     def joined(z: Column) -> Column:
         tail, head = z["tail"], z["head"]

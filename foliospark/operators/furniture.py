@@ -22,13 +22,13 @@ def mark_furniture(blocks: DataFrame, pages: DataFrame, band: float = 0.09, min_
     pages) times. Counts go by aggregation and join, so a long document is no single task. Blocks of pages that are
     not in `pages`, and blocks without text or position, are no furniture.
     """
-    text = X.strip(F.col("text"))
     sized = blocks.join(pages.select("doc_id", "page_index", "page_height"), ["doc_id", "page_index"], "left")
     h = F.when(F.col("page_height") > 0, F.col("page_height")).otherwise(1)
-    small = ~F.coalesce(F.col("type").isin("figure", "table"), F.lit(False)) & F.length(text).between(1, 120) & (F.col("y1") - F.col("y0") <= h * 0.06)
     where = F.when(F.col("y1") <= h * band, "top").when(F.col("y0") >= h * (1 - band), "bottom")
-    key = X.repeat_key(text)
-    tagged = sized.withColumn("_key", F.when(small & F.col("page_height").isNotNull() & (key != ""), key)).withColumn("_band", F.when(F.col("_key").isNotNull(), where))
+    flat = F.col("page_height").isNotNull() & ~F.coalesce(F.col("type").isin("figure", "table"), F.lit(False)) & (F.col("y1") - F.col("y0") <= h * 0.06)
+    # texts are looked at only in the bands
+    key = F.when(flat & where.isNotNull(), X.let(X.strip(F.col("text")), lambda t: F.when(F.length(t).between(1, 120), F.nullif(X.repeat_key(t), F.lit("")))))
+    tagged = sized.withColumn("_key", key).withColumn("_band", F.when(F.col("_key").isNotNull(), where))
     counts = tagged.filter("_band IS NOT NULL").groupBy("doc_id", "_band", "_key").agg(F.count("*").alias("_n"))
     need = pages.groupBy("doc_id").agg(F.greatest(F.lit(3), (F.count("*") * min_repeat).cast("int")).alias("_need"))
     often = counts.join(need, "doc_id").filter("_n >= _need").select("doc_id", "_band", "_key", F.lit(True).alias("_often"))
