@@ -390,6 +390,16 @@ def read(unit: str, channel: Channel) -> str | None:
     return unit
 
 
+class Pieces(dict):
+    """The pieces of each text in small letters, found once."""
+
+    def __missing__(self, text: str) -> list[str]:
+        if len(self) > 200_000:
+            self.clear()
+        got = self[text] = PIECE.findall(text.lower())
+        return got
+
+
 class Channels:
     """The readings of units in doubt, each found once."""
 
@@ -590,7 +600,7 @@ class Decoder:
     """Decodes fields: all units that may be damaged, through the channels that fit the field's units in doubt."""
 
     def __init__(self, letters: Letters) -> None:
-        self.letters, self.channels, self.lattices = letters, Channels(letters), Lattices(letters)
+        self.letters, self.channels, self.lattices, self.pieces = letters, Channels(letters), Lattices(letters), Pieces()
         self.counts: dict[str, int] = {}
         self.meant: dict[str, str] = {}
         self._scores: dict[tuple[str, bool], float] = {}
@@ -627,7 +637,7 @@ class Decoder:
             first = next((u for _, v in some if self.channels.in_doubt(v) for u in units(v)), None)
             if first is not None:
                 texts |= dict.fromkeys(self.channels.readings(first).values())
-        self.letters.learn([p for x in texts for p in PIECE.findall(x.lower())])
+        self.letters.learn([p for x in texts for p in self.pieces[x]])
 
     def search(self, some: list[tuple[int, str]]) -> list[Channel]:
         """The channels that fit units in doubt, by letters alone. A unit that a channel found before explains asks for no other.
@@ -637,18 +647,26 @@ class Decoder:
         """
         doubt = list(dict.fromkeys(u for _, v in some if self.channels.in_doubt(v) for u in units(v) if LOST not in u and not u.isascii()))
         gains: dict[Channel, dict[str, float]] = {}
+        totals: dict[Channel, float] = {}
         for u in doubt:
             base = self.score(u, True)
+            # channels far behind the best so far are asked again only by units that none of the others explains
+            ahead = max(totals.values(), default=0.0) - 3 * EXPLAINED
+            explained = False
             for c, own in gains.items():
-                x = self.channels.read(u, c)
-                own[u] = self.score(x, False) - base if x is not None and x != u else 0.0
-            if not any(own[u] > EXPLAINED for own in gains.values()):
+                if totals[c] >= ahead and (x := self.channels.read(u, c)) is not None and x != u:
+                    g = own[u] = self.score(x, False) - base
+                    totals[c] += max(0.0, g)
+                    explained = explained or g > EXPLAINED
+            if not explained:
                 options = self.channels.readings(u)
-                self.letters.learn([p for x in options.values() for p in PIECE.findall(x.lower())])
+                self.letters.learn([p for x in options.values() for p in self.pieces[x]])
                 new = [c for c, x in options.items() if self.score(x, False) > base]
-                self.letters.learn([p for v in doubt for c in new if (x := self.channels.read(v, c)) for p in PIECE.findall(x.lower())])
+                self.letters.learn([p for v in doubt for c in new if (x := self.channels.read(v, c)) for p in self.pieces[x]])
                 for c in new:
-                    gains.setdefault(c, {})[u] = self.score(options[c], False) - base
+                    g = self.score(options[c], False) - base
+                    totals[c] = totals.get(c, 0.0) + (g if u not in gains.setdefault(c, {}) else 0.0)
+                    gains[c][u] = g
         out: dict[Channel, None] = {}
         left = set(doubt)
         while left:
@@ -672,7 +690,7 @@ class Decoder:
         some = [u for u in all_units if LOST in u or (u.isascii() and ASKED.search(u))]
         texts = {u for u in all_units if LOST not in u} if channels or some else set()
         texts.update(x for row in self.readings(channels, all_units).values() for x in row if x)
-        out = {p for x in texts for p in PIECE.findall(x.lower()) if p.isalpha()}
+        out = {p for x in texts for p in self.pieces[x] if p.isalpha()}
         for u in some:
             shown = u if LOST in u else ASKED.sub(lambda m: LOST * len(m[0]), u)
             out.update(m[0].lower() for m in CORE.finditer(shown) if LOST in m[0])
@@ -686,7 +704,7 @@ class Decoder:
         if key in self._scores:
             return self._scores[key]
         s = CAPITAL_WITHIN * len(CAMEL.findall(text))
-        for p in PIECE.findall(text.lower()):
+        for p in self.pieces[text]:
             if p.isdecimal() and p.isascii():
                 continue
             if len(p) == 1 and not p.isalpha():
@@ -723,7 +741,7 @@ class Decoder:
         parsed = [self.parse(t, h) for t, h, _ in fields]
         told = [self.readings(c, us) for (_, _, c), (_, _, us) in zip(fields, parsed, strict=True)]
         texts = {x for row in told for xs in row.values() for x in xs if x}.union(u for (_, _, us), row in zip(parsed, told, strict=True) if row for u in us)
-        self.letters.learn([p for x in texts for p in PIECE.findall(x.lower())])
+        self.letters.learn([p for x in texts for p in self.pieces[x]])
         return [self._decoded(t, h, p, r) for (t, h, _), p, r in zip(fields, parsed, told, strict=True)]
 
     def _decoded(self, text: str, is_html: bool, parsed: tuple, told: dict[Channel, tuple]) -> tuple[str, bool]:

@@ -26,4 +26,5 @@ def informed(rows: DataFrame, counts: DataFrame) -> DataFrame:
     asked = rows.select("bucket", F.explode("asks").alias("word")).distinct()
     told = asked.join(counts, "word").withColumn("told", F.lit(True))
     both = rows.drop("asks").withColumn("told", F.lit(False)).unionByName(told, allowMissingColumns=True)
-    return both.repartition("bucket").sortWithinPartitions("bucket", F.desc("told"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that few bytes of much work aren't put into few tasks
+    return both.repartition(parts, "bucket").sortWithinPartitions("bucket", F.desc("told"))
