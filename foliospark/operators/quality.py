@@ -86,10 +86,14 @@ def probe_route(pages: DataFrame, sample: int = 12, scan_share: float = 0.55, le
     """
     total = pages.groupBy("doc_id").agg((F.max("page_index") + 1).alias("n_pages"))
     some = pages.join(total, "doc_id").filter(aggregates.evenly_spaced("page_index", "n_pages", sample))
-    out = total
-    for name in ("coverage", "dpi", "quality"):
-        values = some.filter(F.col("dpi") > 0) if name == "dpi" else some
-        out = out.join(aggregates.upper_median(values, ["doc_id"], name, name), "doc_id", "left")
+
+    def middle(c: Column) -> Column:
+        """Of at most `sample` values, so that they fit an array."""
+        values = F.array_sort(F.collect_list(c))
+        return F.get(values, F.floor(F.size(values) / 2).cast("int"))
+
+    medians = some.groupBy("doc_id").agg(middle(F.col("coverage")).alias("coverage"), middle(F.when(F.col("dpi") > 0, F.col("dpi"))).alias("dpi"), middle(F.col("quality")).alias("quality"))
+    out = total.join(medians, "doc_id", "left")
     scan = F.coalesce(F.col("coverage") >= scan_share, F.lit(False))
     native = ~scan & F.coalesce(F.col("quality") >= least_quality, F.lit(False)) & F.lit(not force_ocr)
     return out.select("doc_id", "n_pages", "coverage", F.coalesce("dpi", F.lit(300.0)).alias("dpi"), "quality", scan.alias("is_scan"), F.when(native, "native").otherwise("ocr").alias("mode"))

@@ -287,6 +287,10 @@ def test_group_inputs(spark):
 def test_upper_median_and_resume(spark):
     df = spark.createDataFrame([("a", float(v)) for v in (1, 2, 3, 4)] + [("b", None)], "k string, v double")
     assert [tuple(r) for r in aggregates.upper_median(df, ["k"], "v").collect()] == [("a", 3.0)]
+    rng = np.random.default_rng(2)
+    many = [(k, float(v)) for k in ("x", None) for v in np.concatenate([rng.exponential(size=3001 if k else 3000) ** 4, np.zeros(900)])]
+    got = {r.k: r.median for r in aggregates.upper_median(spark.createDataFrame(many, "k string, v double"), ["k"], "v").collect()}
+    assert got == {k: sorted(v for q, v in many if q == k)[sum(q == k for q, _ in many) // 2] for k in ("x", None)}
     jobs, done = spark.createDataFrame([(1, 0), (1, 1)], "doc_id long, page_index int"), spark.createDataFrame([(1, 0), (1, 0)], "doc_id long, page_index int")
     assert [r.page_index for r in quality.missing_pages(jobs, done).collect()] == [1]
     assert quality.cache_complete(done, spark.createDataFrame([(1, 2)], "doc_id long, total long")).first().complete is False
