@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from foliospark.functions import text as X
 from foliospark.operators import html
 from foliospark.operators.furniture import FURNITURE, mark_furniture, promote_headings
+from foliospark.session import cut
 
 CONTENT = ("text", "list", "table", "figure", "formula", "heading", "caption", "footnote")
 OPEN_END = r"[\p{L}\p{N}\-\x{2010}\x{2011}\x{ad}\x{2013},;]$"
 #: Positions on a page; a page's blocks are numbered below this.
 PAGE = 100_000
+#: Pages of a document that one task stitches.
+SEGMENT_PAGES = 64
 
 
 def page_breaks(pages: DataFrame) -> DataFrame:
@@ -63,30 +66,53 @@ def elements(blocks: DataFrame, pages: DataFrame, furniture: bool = True, headin
     return page_breaks(pages).unionByName(content(blocks, pages, furniture, headings))
 
 
-def goes_on(prev: Column, text: Column) -> Column:
-    """Whether a text goes on where the one before stopped, length apart: no sentence end before, no list start after."""
-    tail = X.strip_right(prev)
-    return F.coalesce((X.strip(text) != "") & tail.rlike(OPEN_END) & ~X.is_list_start(X.strip(text)), F.lit(False))
+def paragraph_starts(els: DataFrame, least: int) -> DataFrame:
+    """(doc_id, seq, _start): for each element the place where its paragraph starts.
+
+    A text is merged if it goes on from the one before and that, or a merged text before it, is long enough. A document is cut into segments of SEGMENT_PAGES pages;
+    windows run over segments, and what a segment needs of those before it (its last element, whether a run of merges is open and
+    long enough, where the last paragraph started) comes from a row for each segment, so no task holds a document.
+    """
+    t = X.strip_right(F.col("text"))
+    is_text = F.col("type") == "text"
+    row = els.select(
+        "doc_id", "seq", F.floor(F.col("seq") / (PAGE * SEGMENT_PAGES)).alias("_seg"), F.coalesce(is_text, F.lit(False)).alias("_t"),
+        F.coalesce(is_text & t.rlike(OPEN_END), F.lit(False)).alias("_open"), F.coalesce(F.length(t) >= least, F.lit(False)).alias("_long"),
+        F.coalesce(is_text & (X.strip(F.col("text")) != "") & ~X.is_list_start(X.strip(F.col("text"))), F.lit(False)).alias("_joins"),
+    )
+    key = ["doc_id", "_seg"]
+    within, segments = W.partitionBy(*key).orderBy("seq"), W.partitionBy("doc_id").orderBy("_seg")
+    own = F.struct("_open", "_long")
+    row = cut(row.withColumn("_prev", F.lag(own).over(within)).withColumn("_own", own))
+    ends = row.groupBy(*key).agg(F.max_by("_own", "seq").alias("_last")).withColumn("_carried", F.lag("_last").over(segments)).drop("_last")
+    row = row.join(ends, key).withColumn("_prev", F.coalesce("_prev", "_carried"))
+    a = F.coalesce(F.col("_joins") & F.col("_prev._open"), F.lit(False))
+    row = row.select(*key, "seq", a.alias("_a"), (a & F.coalesce(F.col("_prev._long"), F.lit(False))).alias("_b"))
+    row = row.withColumn("_island", F.sum(F.when(F.col("_a"), 0).otherwise(1)).over(within))
+    row = cut(row.withColumn("_seen", F.max("_b").over(W.partitionBy(*key, "_island").orderBy("seq"))))
+    breaks = row.groupBy(*key).agg(F.max(~F.col("_a")).alias("_breaks"), F.max_by("_seen", "seq").alias("_seen_last"))
+    breaks = breaks.withColumn("_group", F.sum(F.col("_breaks").cast("int")).over(segments))
+    breaks = breaks.withColumn("_state", F.max("_seen_last").over(W.partitionBy("doc_id", "_group").orderBy("_seg"))).withColumn("_state", F.lag("_state").over(segments)).select(*key, "_state")
+    goes = F.col("_a") & (F.col("_seen") | ((F.col("_island") == 0) & F.coalesce("_state", F.lit(False))))
+    row = row.join(breaks, key).select(*key, "seq", F.when(~goes, F.col("seq")).alias("_new"))
+    row = cut(row.withColumn("_start", F.last("_new", ignorenulls=True).over(within)))
+    last = row.groupBy(*key).agg(F.max("_new").alias("_end"))
+    last = last.withColumn("_from", F.last("_end", ignorenulls=True).over(segments.rowsBetween(W.unboundedPreceding, -1))).drop("_end")
+    return row.join(last, key).select("doc_id", "seq", F.coalesce("_start", "_from").alias("_start"))
 
 
 def stitch(els: DataFrame, breaks: DataFrame | None = None, least: int = 40) -> DataFrame:
     """Paragraphs split across columns and pages put together; page breaks stay where they are.
 
-    A paragraph takes the seq of its first part; pages are all pages of its parts. A text is merged if it goes on from the one before
-    and that, or a merged text before it, is long enough, which window functions over the document express exactly.
-    A document is one window partition, which spills to disk; no row is collected into one value but a paragraph's parts.
-    Page breaks are taken out of els, or given apart, which spares reading the content twice.
+    A paragraph takes the seq of its first part; pages are all pages of its parts. The elements are written once to the checkpoint folder, as they are
+    read twice: for where paragraphs start, and to put them together. No row is collected into one value but a paragraph's parts.
+    Page breaks are taken out of els, or given apart.
     """
+    els = cut(els)
     here = els.filter("type <> 'page_break'") if breaks is None else els
-    doc = W.partitionBy("doc_id").orderBy("seq")
-    prev_text, prev_type = F.lag("text").over(doc), F.lag("type").over(doc)
-    a = here.withColumn("_a", F.coalesce((prev_type == "text") & (F.col("type") == "text") & goes_on(prev_text, F.col("text")), F.lit(False))).withColumn("_b", F.coalesce(F.length(X.strip_right(prev_text)) >= least, F.lit(False)))
-    island = a.withColumn("_island", F.sum(F.when(F.col("_a"), 0).otherwise(1)).over(doc))
-    cont = island.withColumn("_cont", F.col("_a") & (F.max(F.when(F.col("_a") & F.col("_b"), 1).otherwise(0)).over(W.partitionBy("doc_id", "_island").orderBy("seq")) == 1))
-    numbered = cont.withColumn("_para", F.sum(F.when(F.col("_cont"), 0).otherwise(1)).over(doc))
+    numbered = here.join(paragraph_starts(here, least), ["doc_id", "seq"])
     part = F.struct("seq", "text", "page_index")
-    merged = numbered.groupBy("doc_id", "_para").agg(
-        F.min("seq").alias("seq"),
+    merged = numbered.groupBy("doc_id", F.col("_start").alias("seq")).agg(
         F.min_by("type", "seq").alias("type"),
         F.array_sort(F.collect_list(part)).alias("_parts"),
         F.min_by("level", "seq").alias("level"),

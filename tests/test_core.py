@@ -123,7 +123,9 @@ def _fold(els):
     return out
 
 
-def test_stitching_is_the_fold(spark):
+@pytest.mark.parametrize("pages", [64, 3 / assembly.PAGE])  # in the second case a segment has three elements
+def test_stitching_is_the_fold(spark, monkeypatch, pages):
+    monkeypatch.setattr(assembly, "SEGMENT_PAGES", pages)
     rng = np.random.default_rng(3)
     pool = ["short end", "this is a longer paragraph that has no stop at its end", "a complete sentence of more than forty characters, it is.", "- item", "broken at the end of a rather long line of tex-", "tail"]
     rows, want = [], {}
