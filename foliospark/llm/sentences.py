@@ -35,12 +35,14 @@ BUCKET, EVIDENCE = 1_000_000, 3
 CLOSERS = "\"'»”“’›)]」』）］】〉》"
 OPENERS = "\"'«“„‘‹([「『（［【〈《¿¡‚"
 STOPS = ".!?…。！？｡।॥؟۔;።។။"
-CANDIDATE = regex.compile(rf"[{regex.escape(STOPS)}]+(?:[ ](?=[»›]))?[{regex.escape(CLOSERS)}]*")
+CANDIDATE = re.compile(rf"[{re.escape(STOPS)}]+(?:[ ](?=[»›]))?[{re.escape(CLOSERS)}]*")
+THAI = re.compile("[฀-๿]")
 THAI_SPACE = regex.compile(r"(?<=[฀-๿])[^\S]+|[^\S]+(?=[฀-๿])")
 PARAGRAPH = regex.compile(r"\n[^\S\n]*\n\s*")
 FULL_STOP_ALWAYS = set("。！？｡।॥؟۔።។။")
 WIDE = set("。！？｡")
-LAST_WORD = regex.compile(r"[\p{L}\p{M}]+$|\p{Nd}+$")
+#: Read backwards: its match ends where the search does.
+LAST_WORD = regex.compile(r"(?r)[\p{L}\p{M}]+|\p{Nd}+")
 GREEK = regex.compile(r"[Ͱ-Ͽἀ-῿]")
 CASELESS = regex.compile(r"[֐-ࣿऀ-෿฀-႟ក-៿぀-ヿ㐀-鿿가-힯]")
 SPACELESS = regex.compile(r"[぀-ヿ㐀-鿿]")
@@ -85,7 +87,7 @@ def observations(text: str, a: int, b: int) -> Iterator[tuple[str, str, int]]:
     while at >= 0:
         nxt = at + 1
         if (nxt == b or text[nxt].isspace()) and text[at - 1 : at] not in ("", ".", " "):
-            m = LAST_WORD.search(text, max(a, at - 24), at)
+            m = LAST_WORD.match(text, max(a, at - 24), at)
             if m and not (m[0].isdigit()):
                 while nxt < b and text[nxt].isspace():
                     nxt += 1
@@ -158,12 +160,13 @@ class Splitter:
         return out
 
     def _paragraph(self, text: str, a: int, b: int, here: set[str], out: list[int]) -> None:
-        start, german = a, False
+        start = a
+        low_quote = text.find("„", a, b)
         marks = [(m.start(), m.end()) for m in CANDIDATE.finditer(text, a, b)]
-        thai = [m.start() for m in THAI_SPACE.finditer(text, a, b) if self._thai_end(text, m.start(), m.end(), b)] if THAI_SPACE.search(text, a, b) else []
+        thai = [m.start() for m in THAI_SPACE.finditer(text, a, b) if self._thai_end(text, m.start(), m.end(), b)] if THAI.search(text, a, b) else []
         ends = []
         for s, e in marks:
-            german = german or "„" in text[a:e]
+            german = 0 <= low_quote < e
             end = self._end_at(text, a, b, start, s, e, german, here)
             if end and end < b:
                 ends.append(end)
@@ -228,7 +231,7 @@ class Splitter:
                 return e
             # a missing space: letters, a stop, a capital and more letters
             if c.isupper() and before.isalpha() and before.islower() and s - 2 >= a and text[s - 2].isalpha() and nxt + 1 <= b:
-                w = LAST_WORD.search(text, max(a, s - 24), s)
+                w = LAST_WORD.match(text, max(a, s - 24), s)
                 return 0 if w and (w[0] in here or w[0] in self.known.never) else e
             return 0
         if c in ",;:،؛–—-" or (c in CLOSERS and c not in OPENERS):
@@ -259,7 +262,7 @@ class Splitter:
     def _after_full_stop(self, text: str, a: int, b: int, start: int, s: int, nxt: int, c: str, here: set[str]) -> bool:
         if c.islower():
             return False
-        m = LAST_WORD.search(text, max(a, s - 40), s)
+        m = LAST_WORD.match(text, max(a, s - 40), s)
         if not m:
             return not c.isdigit() or not text[s - 1].isalnum()
         word = m[0]
@@ -314,7 +317,7 @@ def _asked(text: str, a: int, b: int) -> Iterator[str]:
         while nxt < b and text[nxt].isspace():
             nxt += 1
         for back in (24, 40):
-            if w := LAST_WORD.search(text, max(a, s - back), s):
+            if w := LAST_WORD.match(text, max(a, s - back), s):
                 yield w[0]
         if w := NEXT_WORD.match(text, nxt, b):
             yield w[0]
