@@ -16,6 +16,7 @@ document that holds several items gives a row for each; other columns are ignore
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -74,16 +75,23 @@ class Side:
     size: int
     vocabulary: dict[str, int] = field(default_factory=dict)
     items: list[int] = field(default_factory=list)
-    flat: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    parts: list[np.ndarray] = field(default_factory=list)
     offsets: list[int] = field(default_factory=lambda: [0])
 
     def add(self, item: int, tokens: list[str]) -> None:
         if len(tokens) < self.run:
             return
         ids = [self.vocabulary.setdefault(t, len(self.vocabulary)) for t in tokens]
-        self.flat = np.concatenate([self.flat, np.array([*ids, -1], np.int64)])
+        self.parts.append(np.array([*ids, -1], np.int64))
         self.items.append(item)
-        self.offsets.append(len(self.flat))
+        self.offsets.append(self.offsets[-1] + len(ids) + 1)
+
+    @property
+    def flat(self) -> np.ndarray:
+        """The items' ids one after the other, put together once."""
+        if len(self.parts) != 1:
+            self.parts = [np.concatenate([np.zeros(0, np.int64), *self.parts])]
+        return self.parts[0]
 
     def shingles(self) -> np.ndarray:
         h = hashes(self.flat, self.size)
@@ -93,14 +101,14 @@ class Side:
         """Hashes, sorted, and item positions of each window's rarest shingle."""
         h = hashes(self.flat, self.size)
         rarity = np.array([counts.get(int(x), 0) for x in h.astype(np.int64)], np.int64)
-        per, chosen = self.run - self.size + 1, set()
-        for a, b in zip(self.offsets, self.offsets[1:], strict=False):
-            for s in range(a, b - 1 - self.run + 1):
-                at = min(range(s, s + per), key=lambda i: (rarity[i], h[i]))
-                chosen.add(at)
+        per = self.run - self.size + 1
+        rank = np.empty(len(h), np.int64)
+        rank[np.lexsort((h, rarity))] = np.arange(len(h))
+        starts = np.concatenate([np.zeros(0, np.int64), *(np.arange(a, b - self.run) for a, b in itertools.pairwise(self.offsets))])
+        windows = np.lib.stride_tricks.sliding_window_view(rank, per) if len(rank) >= per else rank[:0]
+        chosen = [starts[k : k + 100_000] + windows[starts[k : k + 100_000]].argmin(axis=1) for k in range(0, len(starts), 100_000)]
         # a shingle that is some window's prefix may stand at several places, and each is an alignment to try
-        keys = {int(h[i]) for i in chosen}
-        at = np.array([i for i in range(len(h)) if int(h[i]) in keys], np.int64)
+        at = np.flatnonzero(np.isin(h, h[np.unique(np.concatenate(chosen))])) if chosen else starts
         order = np.argsort(h[at], kind="stable")
         return h[at][order], at[order]
 
