@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as X
+from foliospark.operators.running import running_sums
 
 CLEANABLE = ("text", "list", "caption", "footnote")
 BODY = ("text", "list", "table", "figure")
@@ -95,14 +96,14 @@ def split_chapters(els: DataFrame, most: int = 400) -> DataFrame:
     Chapters of page breaks only are left out after numbering. The title is the heading that began the chapter, else the first one in
     it, else "Part k".
     """
-    doc = W.partitionBy("doc_id").orderBy("seq")
     heading = (F.col("type") == "heading") & (F.coalesce("level", F.lit(0)) > 0)
     # read several times: without texts but headings', on disk
     els = els.select("doc_id", "seq", "type", F.when(F.col("type") == "heading", F.col("text")).alias("text"), "level").persist(StorageLevel.DISK_ONLY)
-    top = els.filter(heading).groupBy("doc_id").agg(F.min("level").alias("_top"))
-    base = els.select("doc_id", "seq", "type", "text", "level").join(top, "doc_id", "left").withColumn("_first", F.row_number().over(doc) == 1)
+    tops = els.groupBy("doc_id").agg(F.min(F.when(heading, F.col("level"))).alias("_top"), F.min("seq").alias("_begin"))
+    base = els.join(tops, "doc_id").withColumn("_first", F.col("seq") == F.col("_begin")).drop("_begin")
     base = base.withColumn("_cut", F.coalesce((F.col("type") == "heading") & (F.col("level") == F.col("_top")) & ~F.col("_first"), F.lit(False)))
-    base = base.withColumn("_part", F.sum(F.col("_cut").cast("int")).over(doc)).withColumn("_body", F.coalesce(F.sum(F.col("type").isin(*BODY).cast("int")).over(doc.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    body = F.coalesce(F.col("type").isin(*BODY), F.lit(False)).cast("int")
+    base = running_sums(base, _part=F.col("_cut").cast("int"), _body=body).withColumn("_body", F.col("_body") - body)
     start = base.groupBy("doc_id", "_part").agg(F.min("_body").alias("_from"), F.max("_body").alias("_to")).filter(F.col("_to") - F.col("_from") >= most)
     inner = base.filter("type = 'heading' AND NOT _cut").join(start, ["doc_id", "_part"]).filter(F.col("_body") - F.col("_from") >= most).select("doc_id", "_part", "seq", "_body", "_from")
 
@@ -117,7 +118,7 @@ def split_chapters(els: DataFrame, most: int = 400) -> DataFrame:
 
     forced = inner.groupBy("doc_id", "_part").applyInPandas(force, "doc_id long, seq long").withColumn("_forced", F.lit(True))
     cut = base.join(forced, ["doc_id", "seq"], "left").withColumn("_cut", F.col("_cut") | F.coalesce("_forced", F.lit(False)))
-    numbered = cut.withColumn("chapter", F.sum(F.col("_cut").cast("int")).over(doc).cast("int"))
+    numbered = running_sums(cut.drop("_forced"), chapter=F.col("_cut").cast("int")).withColumn("chapter", F.col("chapter").cast("int"))
     first_is_split = F.col("_first") & (F.col("type") == "heading") & (F.col("level") == F.col("_top"))
     named = F.when(F.col("type") == "heading", F.when(X.strip(F.col("text")) != "", X.strip(F.col("text"))))
     titles = numbered.groupBy("doc_id", "chapter").agg(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -47,6 +48,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes the frame to the shared checkpoint folder and returns it with its lineage cut."""
+    """Writes the frame to the shared checkpoint folder and returns it with its lineage cut.
+
+    A checkpoint runs the frame once to see it and once to write it; what is kept on disk in between spares the second run.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    kept = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        return kept.checkpoint()
+    finally:
+        kept.unpersist()

@@ -159,6 +159,23 @@ def test_chunks_are_the_fold(spark, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("pages", [64, 4 / assembly.PAGE])
+def test_running(spark, monkeypatch, pages):
+    from foliospark.operators import running
+
+    monkeypatch.setattr(assembly, "SEGMENT_PAGES", pages)
+    rng = np.random.default_rng(4)
+    rows = [(d, i, int(v), None if v == 2 else str(v)) for d in range(8) for i, v in enumerate(rng.integers(0, 3, size=rng.integers(1, 30)))]
+    df = spark.createDataFrame(rows, "doc_id long, seq long, v int, t string")
+    got = {(r.doc_id, r.seq): (r.s, r.b, r.a) for r in running.neighbours(running.running_sums(df, s=F.col("v")), "t", "b", "a").collect()}
+    want = {}
+    for d in range(8):
+        own = [r for r in rows if r[0] == d]
+        for k, r in enumerate(own):
+            want[d, r[1]] = (sum(x[2] for x in own[: k + 1]), own[k - 1][3] if k else None, own[k + 1][3] if k + 1 < len(own) else None)
+    assert got == want
+
+
 def test_chapters(spark):
     els = [(1, 0, "page_break", "", 0), (1, 1, "heading", "One", 1), (1, 2, "text", "a", 0), (1, 3, "heading", "Sub", 2), (1, 4, "text", "b", 0), (1, 5, "text", "c", 0), (1, 6, "heading", "Sub two", 2), (1, 7, "heading", "Two", 1), (2, 0, "text", "no heading", 0)]
     df = spark.createDataFrame([(d, s, k, t, lv, None, None, 0) for d, s, k, t, lv in els], ELEMENT)
