@@ -97,8 +97,21 @@ often AS (SELECT source, k, count(DISTINCT doc_id) AS n_docs FROM longer JOIN sr
 """
 
 
+# Words without case, accents and marks; runs of 12 words, or of 24 letters and digits of items in scripts without spaces, compared as strings.
+_PLAIN = r"regexp_replace(strip_accents(lower(nfc_normalize(text))), '[\p{Mn}\p{Cf}]', '', 'g')"
+_LEAKS = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_PLAIN}, '[\p{{L}}\p{{N}}]+') AS w, regexp_matches(text, '[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}]') AS wide FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all({_PLAIN}, '[\p{{L}}\p{{N}}]+') AS w, 2 * length(regexp_replace(text, '[^\p{{Han}}\p{{Hiragana}}\p{{Katakana}}]', '', 'g')) > length(regexp_replace(text, '[^\p{{L}}\p{{N}}]', '', 'g')) AS wide FROM eval_items WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
+iw AS (SELECT item_id, array_to_string(w[k:k + 11], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE NOT wide)),
+dc AS (SELECT doc_id, x[k:k + 23] AS run FROM (SELECT doc_id, x, unnest(range(1, length(x) - 22)) AS k FROM (SELECT doc_id, array_to_string(w, '') AS x FROM d WHERE wide))),
+ic AS (SELECT item_id, x[k:k + 23] AS run FROM (SELECT item_id, x, unnest(range(1, length(x) - 22)) AS k FROM (SELECT item_id, array_to_string(w, '') AS x FROM i WHERE wide)))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (run) UNION SELECT DISTINCT doc_id, item_id FROM dc JOIN ic USING (run)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p7_found": _LEAKS,
         "p3_found": "SELECT DISTINCT block_id FROM blocks JOIN chunk_limits USING (type) WHERE length(text) > max_chars",
         "p6_found": _SITE + "SELECT DISTINCT block_id, CAST(line_no AS INTEGER) AS line_no FROM longer JOIN src USING (doc_id) JOIN often USING (source, k)",
         "p6_sources": _SITE + "SELECT source, CAST(count(*) AS BIGINT) AS n_lines, CAST(max(n_docs) AS BIGINT) AS most_docs FROM often GROUP BY source",
