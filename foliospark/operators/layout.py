@@ -236,6 +236,21 @@ def reading_order(blocks: DataFrame, pages: DataFrame, prefer_engine: bool = Tru
     return by_page(slim, ["block_id"], resolve, "doc_id long, page_index int, block_id long, new_order int, new_column int, n_columns int, confidence double, method string")
 
 
+def left_edge_columns(blocks: DataFrame, pages: DataFrame, max_columns: int = 4) -> DataFrame:
+    """(doc_id, page_index, column_no, left, right): the columns that clusters of left edges give alone; no rows for pages where they give none."""
+    slim = blocks.select("doc_id", "page_index", "block_id", "type", "x0", "y0", "x1", "y1").join(pages.select("doc_id", "page_index", "page_width"), ["doc_id", "page_index"])
+
+    def cluster(p: Arrays) -> Arrays:
+        x0, y0, x1, y1 = (p[c].astype(float) for c in ("x0", "y0", "x1", "y1"))
+        flowing = np.isin(p["type"].astype(str), FLOWING) & (x1 > x0) & (y1 > y0)
+        width = float(p["page_width"][0])
+        found = by_left_edges(x0[flowing], x1[flowing], width if width > 0 else 1.0, max_columns)
+        spans = np.array(found.spans if found else [], float).reshape(-1, 2)
+        return {"column_no": np.arange(len(spans)), "left": spans[:, 0], "right": spans[:, 1]}
+
+    return by_page(slim, ["block_id"], cluster, "doc_id long, page_index int, column_no int, left double, right double")
+
+
 def split_axis(blocks: DataFrame, lo: str, hi: str, gap: float) -> DataFrame:
     """The boxes with axis_group: a new group begins where more than `gap` lies empty after all boxes before; boxes without extent are left out."""
     w = W.partitionBy("doc_id", "page_index").orderBy(lo, "block_id")

@@ -417,6 +417,7 @@ def queries() -> dict[str, Query]:
         "method_histogram": method_histogram,
         "noted_methods": noted_methods,
         "column_detect": column_detect,
+        "left_edge_columns": lambda s, d: layout.left_edge_columns(blocks(s, d), pages(s, d)),
         "xy_cut_order": xy_cut_order,
         "order_checks": order_checks,
         "axis_split": axis_split,

@@ -213,6 +213,14 @@ def test_reading_order(spark):
     assert all(r.new_order == r.block_id % 100 for r in got)
 
 
+def test_left_edges(spark):
+    x0, y0, x1, y1 = _two_columns(530.0)
+    rows = [(i, 1, 0, i, "text", float(x0[i]), float(y0[i]), float(x1[i]), float(y1[i]), "t", 0, None, None) for i in range(50)] + [(99, 1, 1, 0, "text", None, None, None, None, "t", 0, None, None)]
+    pages = spark.createDataFrame([(1, p, 1000, 1400) for p in range(2)], "doc_id long, page_index int, page_width int, page_height int")
+    got = layout.left_edge_columns(spark.createDataFrame(rows, BLOCK), pages).orderBy("column_no").collect()
+    assert [(r.page_index, r.column_no, r.left) for r in got] == [(0, 0, 60.0), (0, 1, 540.0)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 900), st.integers(0, 1300), st.integers(1, 300), st.integers(1, 80)), max_size=30))
 def test_xy_cut_is_a_permutation(boxes):
