@@ -83,19 +83,19 @@ def paragraph_starts(els: DataFrame, least: int) -> DataFrame:
     key = ["doc_id", "_seg"]
     within, segments = W.partitionBy(*key).orderBy("seq"), W.partitionBy("doc_id").orderBy("_seg")
     own = F.struct("_open", "_long")
-    row = cut(row.withColumn("_prev", F.lag(own).over(within)).withColumn("_own", own))
+    row = cut(row.withColumn("_prev", F.lag(own).over(within)).withColumn("_own", own), costly=False)
     ends = row.groupBy(*key).agg(F.max_by("_own", "seq").alias("_last")).withColumn("_carried", F.lag("_last").over(segments)).drop("_last")
     row = row.join(ends, key).withColumn("_prev", F.coalesce("_prev", "_carried"))
     a = F.coalesce(F.col("_joins") & F.col("_prev._open"), F.lit(False))
     row = row.select(*key, "seq", a.alias("_a"), (a & F.coalesce(F.col("_prev._long"), F.lit(False))).alias("_b"))
     row = row.withColumn("_island", F.sum(F.when(F.col("_a"), 0).otherwise(1)).over(within))
-    row = cut(row.withColumn("_seen", F.max("_b").over(W.partitionBy(*key, "_island").orderBy("seq"))))
+    row = cut(row.withColumn("_seen", F.max("_b").over(W.partitionBy(*key, "_island").orderBy("seq"))), costly=False)
     breaks = row.groupBy(*key).agg(F.max(~F.col("_a")).alias("_breaks"), F.max_by("_seen", "seq").alias("_seen_last"))
     breaks = breaks.withColumn("_group", F.sum(F.col("_breaks").cast("int")).over(segments))
     breaks = breaks.withColumn("_state", F.max("_seen_last").over(W.partitionBy("doc_id", "_group").orderBy("_seg"))).withColumn("_state", F.lag("_state").over(segments)).select(*key, "_state")
     goes = F.col("_a") & (F.col("_seen") | ((F.col("_island") == 0) & F.coalesce("_state", F.lit(False))))
     row = row.join(breaks, key).select(*key, "seq", F.when(~goes, F.col("seq")).alias("_new"))
-    row = cut(row.withColumn("_start", F.last("_new", ignorenulls=True).over(within)))
+    row = cut(row.withColumn("_start", F.last("_new", ignorenulls=True).over(within)), costly=False)
     last = row.groupBy(*key).agg(F.max("_new").alias("_end"))
     last = last.withColumn("_from", F.last("_end", ignorenulls=True).over(segments.rowsBetween(W.unboundedPreceding, -1))).drop("_end")
     return row.join(last, key).select("doc_id", "seq", F.coalesce("_start", "_from").alias("_start"))

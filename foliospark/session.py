@@ -47,12 +47,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return made
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, costly: bool = True) -> DataFrame:
     """Writes the frame to the shared checkpoint folder and returns it with its lineage cut.
 
-    A checkpoint runs the frame once to see it and once to write it; what is kept on disk in between spares the second run.
+    A checkpoint runs the frame once to see it and once to write it, from its last exchange on. Where that is costly, what is kept on disk in
+    between spares the second run.
     """
     checkpoint_dir(df.sparkSession)
+    if not costly:
+        return df.checkpoint()
     kept = df.persist(StorageLevel.DISK_ONLY)
     try:
         return kept.checkpoint()
