@@ -212,7 +212,7 @@ def _running_heads(edges: DataFrame, blocks: DataFrame, meta: DataFrame, site_do
     A long line that stands at page edges in several documents of a source is a notice of the source, not a title.
     """
     once = edges.select("doc_id", "key", "page_index").distinct()
-    groups = cut(once.groupBy("doc_id", "key").agg(F.count("*").alias("pages")))
+    groups = cut(once.groupBy("doc_id", "key").agg(F.count("*").alias("pages")), costly=False)
     # fuzzy: keys of a document that share a third of their letters at one place may be one title; thirds are joined on, never all pairs.
     # Two widths each, so that keys differing in length by two share one
     widths = F.array_distinct(F.array(F.ceil((F.length("key") - 1) / 3).cast("int"), F.ceil((F.length("key") + 1) / 3).cast("int")))
@@ -226,12 +226,12 @@ def _running_heads(edges: DataFrame, blocks: DataFrame, meta: DataFrame, site_do
     led = by_part.join(heads, ["doc_id", "w", "at", "part"]).filter("head <> key AND levenshtein(head, key) <= greatest(1, length(head) div 6)")
     best = led.groupBy("doc_id", "key").agg(F.min("head").alias("head"))
     merged = groups.join(best, ["doc_id", "key"], "left").withColumn("head", F.coalesce("head", "key"))
-    titled = cut(edges.join(merged.select("doc_id", "key", "head"), ["doc_id", "key"]))
+    titled = cut(edges.join(merged.select("doc_id", "key", "head"), ["doc_id", "key"]), costly=False)
     enough = titled.groupBy("doc_id", "head").agg(F.countDistinct("page_index").alias("pages")).filter(F.col("pages") >= MIN_PAGES)
     sources = meta.filter("source IS NOT NULL").select("doc_id", "source").distinct()
     sized = sources.join(blocks.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("source").agg(F.count("*").alias("docs"))
     notices = groups.filter(F.length("key") >= 12).join(sources, "doc_id").groupBy("source", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= site_docs).join(sized, "source").filter(F.col("n") >= site_share * F.col("docs"))
-    found = cut(titled.join(enough.select("doc_id", "head"), ["doc_id", "head"], "left_semi"))
+    found = cut(titled.join(enough.select("doc_id", "head"), ["doc_id", "head"], "left_semi"), costly=False)
     of_site = found.join(sources, "doc_id").join(notices.select("source", "key"), ["source", "key"], "left_semi").select("block_id")
     return found.select("block_id").distinct().join(of_site.distinct(), "block_id", "left_anti")
 
@@ -239,9 +239,9 @@ def _running_heads(edges: DataFrame, blocks: DataFrame, meta: DataFrame, site_do
 def furniture(blocks: DataFrame, meta: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """(block_id, noise), distinct: running heads and page numbers."""
     edges = cut(_edges(blocks, pages))
-    numbers = cut(_page_numbers(edges))
+    numbers = cut(_page_numbers(edges), costly=False)
     lines = edges.filter("key <> ''").select("doc_id", "page_index", "block_id", "key")
-    heads = _running_heads(cut(lines.join(numbers, "block_id", "left_anti")), blocks, meta)
+    heads = _running_heads(cut(lines.join(numbers, "block_id", "left_anti"), costly=False), blocks, meta)
     return heads.withColumn("noise", F.lit("running_head")).unionByName(numbers.withColumn("noise", F.lit("page_number")))
 
 
@@ -443,7 +443,7 @@ def judgements(counted: DataFrame, asked: DataFrame) -> DataFrame:
 
     `counted` are _gather's rows of the texts whose vocabulary counts, `asked` those of the texts to judge; each distinct word or pair is judged once. To the driver come the letter tables, of fixed size, and two numbers.
     """
-    words = cut(counted.filter(F.col("k") == WORD).groupBy("word").agg(F.sum("n").alias("n")))
+    words = cut(counted.filter(F.col("k") == WORD).groupBy("word").agg(F.sum("n").alias("n")), costly=False)
     total, most = words.agg(F.sum("n"), F.max("n")).first()
     total, most = float(total or 1), float(most or 0)
     letters = Letters(dense_tables(counted.filter(F.col("k") >= GRAM).select((F.col("k") - GRAM).alias("k"), "slot", "n"), 3, BITS), {}, total)
