@@ -443,7 +443,8 @@ class Channels:
             if len(self._of) > 100_000:
                 self._of.clear()
             got = {} if LOST in unit or unit.isascii() else self._as_utf8(unit)
-            if not any(self.letters.known(x) for x in got.values()):  # what is UTF-8 by its bytes and known letters is nothing else
+            # what is UTF-8 by all of its bytes and known letters is nothing else
+            if not any(self.letters.known(x) and as_read(raw_of(unit, c[0]) or b"\xff", "utf-8") is not None for c, x in got.items()):
                 got |= {} if LOST in unit or unit.isascii() else self._in_pairs(unit)
             self._of[unit] = got
         return got

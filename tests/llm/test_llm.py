@@ -24,9 +24,9 @@ def block(i, doc=1, page=0, kind="text", y0=300.0, text="x"):
 
 # --- 1
 
-PROSE = ["Die Mühle über der Brücke gehörte dem Händler.", "Später führte die Straße für größere Körbe zur Mühle.", "Le château près de la rivière était très élevé.", "Река была старая и мост стоял над рекой.", "水车的磨坊在河流旁边，木匠买了木材。"] * 12
+PROSE = ["Die Mühle über der Brücke gehörte dem Händler.", "Später führte die Straße für größere Körbe zur Mühle.", "Le château près de la rivière était très élevé.", "Река была старая и мост стоял над рекой.", "水车的磨坊在河流旁边，木匠买了木材。", "古い村の水車と新しい橋。"] * 12
 DAMAGED = [
-    ("Mühle", "utf-8", "latin-1"), ("für größere", "utf-8", "cp1252"), ("château", "utf-8", "mac-roman"), ("Später führte", "utf-8", "cp1250"), ("Straße", "utf-8", "cp437"), ("Река была", "utf-8", "cp1252"), ("磨坊在河流", "gb18030", "latin-1"),
+    ("古い村", "cp932", "cp1252"), ("Mühle", "utf-8", "latin-1"), ("für größere", "utf-8", "cp1252"), ("château", "utf-8", "mac-roman"), ("Später führte", "utf-8", "cp1250"), ("Straße", "utf-8", "cp437"), ("Река была", "utf-8", "cp1252"), ("磨坊在河流", "gb18030", "latin-1"),
 ]
 
 
